@@ -117,7 +117,10 @@ def rollout_record(text: str | None) -> tuple[dict | None, Fault | None]:
     if faults or len(records) != 1:
         f = faults[0] if faults else None
         return None, ("syntax", f.expected if f else "one record", f.offset if f else 0)
-    obj = records[0]
+    return rollout_of(records[0])
+
+
+def rollout_of(obj: dict) -> tuple[dict | None, Fault | None]:
     got: dict[str, Any] = {}
     for name, kind in ROLLOUT_FIELDS.items():
         v = obj.get(name)

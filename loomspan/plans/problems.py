@@ -7,12 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import bad_rows, hierarchy
+from loomspan.operators import bad_rows, drift, flatten, hierarchy, instants
 from loomspan.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _schemas(spark: SparkSession, d: str) -> DataFrame:
+    return drift.file_schemas(
+        *[table(spark, d, t) for t in ("snapshot_files", "ledger_lines", "legacy_rollouts", "transcript_lines", "sources")]
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(_schemas(spark, d), table(spark, d, "schema_baseline")).drop("new_name")
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many files have each change."""
+    found = drift.changes(_schemas(spark, d), table(spark, d, "schema_baseline"))
+    return found.groupBy("src_table", "field_path", "change_kind").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _consistent(src: str) -> Query:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        key = {"snapshot_files": "snapshots", "ledger_lines": "ledger", "legacy_rollouts": "rollouts", "transcript_lines": "transcripts"}[src]
+        rows, sources, base = (table(spark, d, t) for t in (src, "sources", "schema_baseline"))
+        found = drift.changes(drift.file_schemas(**{key: rows, "sources": sources}), base)
+        return drift.consistent_table(rows, src, found, base, sources)
+
+    return q
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    t = flatten.snapshot_triples(table(spark, d, "snapshot_files"), values=False).unionByName(
+        flatten.ledger_triples(table(spark, d, "ledger_lines"), table(spark, d, "sources"), values=False)
+    )
+    return flatten.nodes(t).drop("ordinal")
+
+
+def _flat(kind: str) -> Query:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        t = flatten.snapshot_triples(table(spark, d, "snapshot_files"))
+        if kind in ("op", "payload_ref", "child_session"):
+            t = t.unionByName(flatten.ledger_triples(table(spark, d, "ledger_lines"), table(spark, d, "sources")))
+        return flatten.pivot_group(t, kind)
+
+    return q
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    return instants.project_times(
+        *[table(spark, d, t) for t in ("transcript_lines", "ledger_lines", "snapshot_files", "sessions", "sources")]
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _times(spark, d).where("is_case").select("src_table", "row_id", "utc_us")
+
+
+def p4_utc(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that stands for a time, with the form it was read in."""
+    return _times(spark, d).select("src_table", "row_id", "form", "utc_us")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     r = hierarchy.session_forest(table(spark, d, "sessions"), table(spark, d, "expected_events"))
     return r.where("named").select("src_table", "source_id", "node_id", "top_id", F.col("depth").cast("int").alias("depth"))
@@ -103,6 +161,8 @@ select node as node_id, full_path from paths"""
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p1_found, p1_kinds, p3_found, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
+QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
+QUERIES |= {f"p3_{kind}s": _flat(kind) for kind in flatten.FIELDS}
 SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL}

@@ -23,6 +23,7 @@ def build_session(app: str = "loomspan", cpus: str = "*", **conf: str) -> SparkS
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
     )

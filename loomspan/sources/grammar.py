@@ -9,6 +9,7 @@ or bracket lost in one record does not swallow the following ones.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -43,7 +44,9 @@ _HEX4 = re.compile(r"[0-9a-fA-F]{4}")
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 _WORDS = (("true", True), ("false", False), ("null", None))
 _START = re.compile(r'\{[ \t\n\r]*(?:"|\})')
-MAX_DEPTH = 400
+#: Nesting beyond this is a syntax fault; a level takes two Python frames.
+MAX_DEPTH = 4000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * MAX_DEPTH + 2000))
 
 
 def _string(s: str, i: int) -> tuple[str, int]:
