@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import conversations, pii
-from loomspan.runtime import table
+from loomspan.llm import conversations, mixing, packing, pii, quality, tokens
+from loomspan.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,5 +40,80 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "transcript_lines"), table(spark, d, "name_lexicon"), DEMO_KEY)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted)}
+def _sizes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return stage(tokens.count_tokens(table(spark, d, "documents"), keep=keep))
+
+
+def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    """The budgets, a fixed handful of rows."""
+    rows = table(spark, d, "pack_budgets").where("capacity_tokens > 0").collect()
+    return sorted((r["budget_name"], r["capacity_tokens"]) for r in rows)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    largest = max(c for _, c in _capacities(spark, d))
+    return packing.pack(_sizes(spark, d), largest).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every document, or piece of one that is too long, for every budget."""
+    sizes = _sizes(spark, d)
+    out = None
+    for name, capacity in _capacities(spark, d):
+        p = packing.pack(sizes, capacity).select(F.lit(name).alias("budget_name"), "*")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused space of every budget."""
+    sizes = _sizes(spark, d)
+    out = None
+    for name, capacity in _capacities(spark, d):
+        p = packing.pack(sizes, capacity)
+        b = p.groupBy("bin_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
+        b = b.where("used > 0").agg(
+            F.lit(name).alias("budget_name"),
+            F.count(F.lit(1)).alias("n_containers"),
+            F.sum("n").alias("n_pieces"),
+            F.sum("used").alias("tokens"),
+            F.sum(F.col("exact").cast("int")).alias("n_full"),
+            F.max("used").alias("most_used"),
+            (1 - F.sum("used") / (F.count(F.lit(1)) * F.lit(capacity))).alias("unused_share"),
+        )
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents and how often each is repeated."""
+    return mixing.mix(_sizes(spark, d, "source"), table(spark, d, "mix_targets")).select("doc_id", "source", "n_tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(stage(mixing.mix(_sizes(spark, d, "source"), targets)), targets)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(*[table(spark, d, t) for t in ("documents", "common_words", "quality_labels")])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("not is_prose").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, scores and verdict."""
+    return _judged(spark, d)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted, p8_found, p8_packed, p8_fill,
+        p9_mix, p9_shares, p10_found, p10_statistics,
+    )
+}
 SQL: dict[str, str] = {}
