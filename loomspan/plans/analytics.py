@@ -539,3 +539,142 @@ def search_grammar(spark: SparkSession, d: str) -> DataFrame:
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     n = filters.clamped(None, filters.SEARCH_DEFAULT, filters.SEARCH_MAX)
     return search.search(table(spark, d, "documents"), "doc_id", "text", "cursor retry", n)
+
+
+# ---- event folds, windows, parity -------------------------------------------------------------------------
+from loomspan.operators import merge, parity, windows  # noqa: E402
+
+EVENT_SQL = """, j as (select kind as event_kind, event_id as ord, nullif(payload ->> '$.SourceID', '') as source_id,
+    coalesce(nullif(payload ->> '$.NativeID', ''), nullif(payload ->> '$.SessionNativeID', '')) as native_id, cast(payload ->> '$.Ts' as bigint) as ts,
+    nullif(payload ->> '$.AgentName', '') as agent_name, nullif(payload ->> '$.Model', '') as model, nullif(payload ->> '$.Cwd', '') as cwd,
+    nullif(payload ->> '$.ParentNativeID', '') as parent_native_id, nullif(payload ->> '$.RootNativeID', '') as root_native_id,
+    nullif(payload ->> '$.Status', '') as status, cast(payload ->> '$.EndTs' as bigint) as end_ts, payload -> '$.Extras' as extras
+  from expected_events),
+fs as (select source_id, native_id, min(ts) filter (where event_kind = 'session_started') as start_ts, max(ts) as last_activity_ts,
+    max_by(agent_name, ord) filter (where agent_name is not null) as agent_name, max_by(model, ord) filter (where model is not null) as model,
+    max_by(cwd, ord) filter (where cwd is not null) as cwd, min_by(parent_native_id, ord) filter (where parent_native_id is not null) as parent_native_id,
+    max_by(root_native_id, ord) filter (where root_native_id is not null) as root_native_id,
+    coalesce(max_by(coalesce(status, 'running'), ord) filter (where event_kind = 'session_finalized'), 'running') as status,
+    max(end_ts) filter (where ord = m) as end_ts, not bool_or(event_kind = 'session_started') as is_stub, count(*) as n_events
+  from (select *, max(case when event_kind = 'session_finalized' then ord end) over (partition by source_id, native_id) as m from j) where native_id is not null group by all)
+"""
+
+
+@query(EVENT_SQL + "select * from fs")
+def fold_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = merge.fold_sessions(merge.session_events(table(spark, d, "expected_events")))
+    return s.select("source_id", "native_id", "start_ts", "last_activity_ts", "agent_name", "model", "cwd", "parent_native_id", "root_native_id", "status", "end_ts", "is_stub", "n_events")
+
+
+@query(
+    EVENT_SQL
+    + """, i as (select *, substr(sha256(source_id || chr(31) || native_id), 1, 32) as id from fs)
+select i.id, p.id as parent_session_id, r.id as root_session_id from i left join i p on p.source_id = i.source_id and p.native_id = i.parent_native_id
+left join i r on r.source_id = i.source_id and r.native_id = i.root_native_id"""
+)
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    s = merge.fold_sessions(merge.session_events(table(spark, d, "expected_events")))
+    return merge.linked(s).select("id", "parent_session_id", "root_session_id")
+
+
+@query(
+    EVENT_SQL
+    + """, kv as (select source_id, native_id, ord, unnest(json_keys(extras)) as k, extras from j where extras is not null and json_type(extras) = 'OBJECT')
+select source_id, native_id, k as extra_key, max_by(extras ->> k, ord) as extra_value from kv where native_id is not null group by all"""
+)
+def merged_extras(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_extras(merge.session_events(table(spark, d, "expected_events")))
+
+
+def _counter(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.floor(F.col("value") * 100).cast("bigint").alias("reading"), "event_type")
+
+
+COUNTER_SQL = ", c as (select user_id, event_id, epoch_us(ts) as us, cast(floor(value * 100) as bigint) as reading, event_type from events)\n"
+
+
+@query(COUNTER_SQL + "select event_id, greatest(reading - coalesce(lag(reading) over (partition by user_id order by us, event_id), 0), 0) as delta from c")
+def counter_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return windows.cumulative_to_delta(_counter(spark, d), ["user_id"], ["us", "event_id"], "reading", "delta").select("event_id", "delta")
+
+
+@query(
+    COUNTER_SQL
+    + """, t as (select *, sum(case when event_type = (select min(event_type) from events) then 1 else 0 end) over (partition by user_id order by us, event_id) as turn_seq from c)
+select event_id, cast(turn_seq as bigint) as turn_seq, row_number() over (partition by user_id, turn_seq order by us, event_id) as op_seq from t"""
+)
+def synthesised_turns(spark: SparkSession, d: str) -> DataFrame:
+    c = _counter(spark, d)
+    first = c.agg(F.min("event_type")).first()[0]
+    t = windows.numbered_turns(c.withColumn("p", F.col("event_type") == first), ["user_id"], ["us", "event_id"], "p")
+    return windows.positions(t, ["user_id", "turn_seq"], ["us", "event_id"], "op_seq").select("event_id", "turn_seq", "op_seq")
+
+
+@query(
+    COUNTER_SQL
+    + """select event_id, last_value(case when reading % 3 = 0 then reading end ignore nulls) over (partition by user_id order by us, event_id) as last_set from c"""
+)
+def last_set_values(spark: SparkSession, d: str) -> DataFrame:
+    c = _counter(spark, d).withColumn("v", F.when(F.col("reading") % 3 == 0, F.col("reading")))
+    return windows.carry_last(c, ["user_id"], ["us", "event_id"], "v", "last_set", include_row=True).select("event_id", "last_set")
+
+
+@query(COUNTER_SQL + "select user_id, event_type, event_id, us from c qualify row_number() over (partition by user_id, event_type order by us, event_id) = 1")
+def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    c = _counter(spark, d).select("user_id", "event_type", "event_id", "us")
+    return windows.first_of(c, ["user_id", "event_type"], ["us", "event_id"])
+
+
+PAIR_SQL = """, k as (select event_type, row_number() over (order by event_type) as i from (select distinct event_type from events)),
+a as (select user_id, us, event_id, row_number() over (partition by user_id order by us, event_id) as nth from c join k using (event_type) where i = 1),
+b as (select user_id, us, event_id, row_number() over (partition by user_id order by us, event_id) as nth from c join k using (event_type) where i = 2)
+"""
+
+
+@query(COUNTER_SQL + PAIR_SQL + "select a.event_id, a.nth, b.event_id as end_event_id from a left join b using (user_id, nth)")
+def fifo_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = _counter(spark, d)
+    kinds = sorted(r[0] for r in c.select("event_type").distinct().collect())  # the few event types
+    at = lambda k: c.where(F.col("event_type") == kinds[k]).select("user_id", "us", "event_id")
+    return windows.fifo_pairs(at(0), at(1), ["user_id"], ["us", "event_id"]).select("event_id", "nth", "end_event_id")
+
+
+def _artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as artifacts, and a derived side that lost, doubled, reclassified and changed some."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    s = o.select(
+        k.alias("key"), F.col("o_orderpriority").alias("cls"), F.col("o_orderstatus").alias("availability"),
+        F.sha2(k.cast("string"), 256).alias("sha256"), (k % 1000).alias("bytes"),
+    )
+    d_ = s.where("key % 97 <> 0").withColumn("cls", F.when(F.col("key") % 83 == 0, "other").otherwise(F.col("cls")))
+    d_ = d_.withColumn("bytes", F.when(F.col("key") % 79 == 0, -1).otherwise(F.col("bytes"))).withColumn("n", F.when(F.col("key") % 71 == 0, 2).otherwise(1))
+    d_ = d_.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).drop("n", "i")
+    extra = s.where("key % 89 = 0").withColumn("key", F.col("key") + 1_000_000_000)
+    return s, d_.unionByName(extra)
+
+
+PARITY_SQL = """, s as (select o_orderkey as key, o_orderpriority as cls, o_orderkey % 1000 as bytes from orders),
+f as (
+  select key, case when key % 83 = 0 then 'other' else cls end as cls, 'duplicate' as code, 'derived' as field from s where key % 71 = 0 and key % 97 <> 0
+  union all select key, cls, 'differs', 'bytes' from s where key % 79 = 0 and key % 97 <> 0 and key % 83 <> 0
+  union all select key, cls, 'missing', '' from s where key % 97 = 0
+  union all select key, cls, 'class mismatch', 'other' from s where key % 83 = 0 and key % 97 <> 0
+  union all select key + 1000000000, cls, 'extra', cls from s where key % 89 = 0)
+"""
+
+
+@query(PARITY_SQL + "select * from f")
+def parity_findings(spark: SparkSession, d: str) -> DataFrame:
+    return parity.findings(*_artifacts(spark, d))
+
+
+@query(PARITY_SQL + "select code, cls, field, count(*) as n from f group by all")
+def parity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return parity.summary(parity.findings(*_artifacts(spark, d)))
+
+
+@query(PARITY_SQL + "select * from f order by code, key, cls, field limit 25")
+def parity_sample(spark: SparkSession, d: str) -> DataFrame:
+    return parity.sample(parity.findings(*_artifacts(spark, d)), 25)
