@@ -7,7 +7,7 @@ A field that is only renamed or spelled in another JSON type and still gives
 its value is no failure.
 
 Defined results: NULL and blank ledger lines are no rows at all; NULL and empty
-rollouts and CSV texts are ``syntax``; repeated rows each get their own result;
+rollouts and CSV texts are ``syntax``; a NULL row id is reported as -1; repeated rows each get their own result;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -183,9 +183,15 @@ def with_zone(df: DataFrame, sources: DataFrame) -> DataFrame:
     zones = sources.select(
         F.col("id").alias("_zone_of"), F.get_json_object("meta_json", "$.tz").alias("_tz")
     ).dropDuplicates(["_zone_of"])
+    df = df.drop("_tz", "_zone_of")
     return df.join(zones, df["source_id"] == zones["_zone_of"], "left").drop("_zone_of")
 
 
+def known_id(df: DataFrame, name: str) -> DataFrame:
+    """A NULL id is reported as -1, so every row keeps one."""
+    return df.withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
+
+
 def _mapped(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -212,7 +218,7 @@ def ledger_faults(ledger: DataFrame, sources: DataFrame) -> DataFrame:
                 out.append(("ledger_lines", rid, *fault))
         return pd.DataFrame(out, columns=["src_table", "row_id", "reason", "detail", "fault_offset"])
 
-    return _mapped(with_zone(ledger, sources).select("row_id", "raw_text", "_tz"), fn, _FAULT)
+    return _mapped(known_id(with_zone(ledger, sources).select("row_id", "raw_text", "_tz"), "row_id"), fn, _FAULT)
 
 
 def rollout_faults(rollouts: DataFrame) -> DataFrame:
@@ -226,7 +232,7 @@ def rollout_faults(rollouts: DataFrame) -> DataFrame:
                 out.append(("legacy_rollouts", rid, *fault))
         return pd.DataFrame(out, columns=["src_table", "row_id", "reason", "detail", "fault_offset"])
 
-    return _mapped(rollouts.select("row_id", "raw_text"), fn, _FAULT)
+    return _mapped(known_id(rollouts.select("row_id", "raw_text"), "row_id"), fn, _FAULT)
 
 
 def export_faults(export: DataFrame) -> DataFrame:
@@ -240,7 +246,7 @@ def export_faults(export: DataFrame) -> DataFrame:
                 out.append(("session_export", rid, *fault))
         return pd.DataFrame(out, columns=["src_table", "row_id", "reason", "detail", "fault_offset"])
 
-    return _mapped(export.select("row_id", "raw_text"), fn, _FAULT)
+    return _mapped(known_id(export.select("row_id", "raw_text"), "row_id"), fn, _FAULT)
 
 
 def all_faults(ledger: DataFrame, rollouts: DataFrame, export: DataFrame, sources: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def valid_ledger(ledger: DataFrame, sources: DataFrame) -> DataFrame:
         return p
 
     return _mapped(
-        with_zone(ledger, sources).select("row_id", "source_id", "file_name", "line_no", "raw_text", "_tz"),
+        known_id(with_zone(ledger, sources).select("row_id", "source_id", "file_name", F.coalesce("line_no", F.lit(-1)).alias("line_no"), "raw_text", "_tz"), "row_id"),
         fn,
         "row_id bigint, source_id string, file_name string, line_no int, version int, record_type string, seq bigint, ts_us bigint,"
         " origin_id string, session_id string, turn bigint, status string, body string",
@@ -289,7 +295,7 @@ def valid_export(export: DataFrame) -> DataFrame:
 
     types = {"start_ts": "bigint", "turn_count": "bigint", "cost_usd": "double"}
     return _mapped(
-        export.select("row_id", "raw_text"),
+        known_id(export.select("row_id", "raw_text"), "row_id"),
         fn,
         "row_id bigint, " + ", ".join(f"{c} {types.get(c, 'string')}" for c in EXPORT_COLUMNS),
     )
@@ -310,7 +316,7 @@ def valid_rollouts(rollouts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["row_id", "source_id", "file_name", "session_id", "item_no", "item_type", "item"])
 
     return _mapped(
-        rollouts.select("row_id", "source_id", "file_name", "raw_text"),
+        known_id(rollouts.select("row_id", "source_id", "file_name", "raw_text"), "row_id"),
         fn,
         "row_id bigint, source_id string, file_name string, session_id string, item_no int, item_type string, item string",
     )

@@ -16,7 +16,7 @@ MAX_CANDIDATES squared), and pass 2 decodes every partition with its borders fix
 Defined results: NULL, blank, zero, negative and impossible values have no
 instant and take no part; digits finer than microseconds are cut off; repeated
 rows each get their instant; a NULL zone is UTC; NULL sources form one
-sequence; extra columns are ignored; empty tables give empty results.
+sequence; a NULL row id is -1; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.instants import Reading, readings
-from loomspan.operators.bad_rows import ledger_record, time_text, with_zone
+from loomspan.operators.bad_rows import known_id, ledger_record, time_text, with_zone
 from loomspan.runtime import stage
 from loomspan.sources.grammar import one_json_object
 
@@ -79,7 +79,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def text_values(df: DataFrame, src_table: str, row_id: str, column: str, sources: DataFrame) -> DataFrame:
     """Candidates of a text column. The usual form never leaves the JVM."""
-    base = df.select(
+    base = known_id(df, row_id).select(
         F.lit(src_table).alias("src_table"),
         "source_id",
         _padded(F.col(row_id)).alias("ord"),
@@ -103,7 +103,7 @@ def text_values(df: DataFrame, src_table: str, row_id: str, column: str, sources
 
 def number_values(df: DataFrame, src_table: str, row_id: str, column: str, sources: DataFrame) -> DataFrame:
     """Candidates of an integer column whose usual form is microseconds."""
-    base = df.select(
+    base = known_id(df, row_id).select(
         F.lit(src_table).alias("src_table"),
         "source_id",
         _padded(F.col(row_id)).alias("ord"),
@@ -141,7 +141,7 @@ def ledger_values(ledger: DataFrame, sources: DataFrame) -> DataFrame:
                 rows.append(("ledger_lines", s, f"{name}#{0 if pd.isna(no) else int(no):010d}#{i:020d}", i, case, *_pack(readings(w, tz))))
             yield _frame(rows)
 
-    return with_zone(ledger, sources).select("source_id", "file_name", "line_no", "row_id", "raw_text", "_tz").mapInPandas(run, _SCHEMA)
+    return known_id(with_zone(ledger, sources).select("source_id", "file_name", "line_no", "row_id", "raw_text", "_tz"), "row_id").mapInPandas(run, _SCHEMA)
 
 
 def snapshot_values(snapshots: DataFrame, sources: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def snapshot_values(snapshots: DataFrame, sources: DataFrame) -> DataFrame:
                 rows.append(("snapshot_files", s, f"{i:020d}", i, case, *_pack(readings(w, tz if isinstance(tz, str) else None))))
             yield _frame(rows)
 
-    return with_zone(snapshots, sources).select("source_id", "row_id", "raw_text", "_tz").mapInPandas(run, _SCHEMA)
+    return known_id(with_zone(snapshots, sources).select("source_id", "row_id", "raw_text", "_tz"), "row_id").mapInPandas(run, _SCHEMA)
 
 
 def _step(a: Reading, b: Reading) -> float:

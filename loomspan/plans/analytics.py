@@ -678,3 +678,52 @@ def parity_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(PARITY_SQL + "select * from f order by code, key, cls, field limit 25")
 def parity_sample(spark: SparkSession, d: str) -> DataFrame:
     return parity.sample(parity.findings(*_artifacts(spark, d)), 25)
+
+
+# ---- source adapters --------------------------------------------------------------------------------------
+from loomspan.sources import adapters  # noqa: E402
+
+
+def _ledger_events(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.get("aiagent_v3")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
+
+
+def _snapshot_events(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.get("aiagent_v2")(table(spark, d, "snapshot_files"), table(spark, d, "sources"))
+
+
+@query(None)
+def ledger_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _ledger_events(spark, d).groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def snapshot_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _snapshot_events(spark, d).groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def ledger_operations(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_ops(_ledger_events(spark, d))
+
+
+@query(None)
+def snapshot_operations(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_ops(_snapshot_events(spark, d))
+
+
+@query(None)
+def ledger_turns(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_turns(_ledger_events(spark, d))
+
+
+@query(
+    """, o as (select message from (select *, row_number() over (partition by session_id, coalesce(uuid, cast(line_id as varchar)) order by line_id) as k from transcript_lines) where k = 1
+  and lower(trim(line_type)) = 'assistant'),
+b as (select unnest(cast(json_extract(message, '$.content') as json[])) as b from o where json_type(message, '$.content') = 'ARRAY')
+select case b ->> '$.type' when 'tool_use' then 'tool' else 'reasoning' end as op_kind, b ->> '$.name' as name, count(*) as n from b where b ->> '$.type' in ('tool_use', 'thinking') group by all
+union all select 'llm', message ->> '$.model', count(*) from o group by all"""
+)
+def transcript_operations(spark: SparkSession, d: str) -> DataFrame:
+    ops = adapters.transcript_ops(table(spark, d, "transcript_lines"))
+    return ops.where("op_kind <> 'internal'").groupBy("op_kind", "name").agg(F.count(F.lit(1)).alias("n"))
