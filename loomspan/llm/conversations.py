@@ -14,7 +14,7 @@ as in one piece.
 
 Defined results: NULL session ids form the session '', NULL agents the main
 conversation ''; lines delivered twice (same uuid) count once; a line without
-uuid can be no parent; unreadable or NULL messages have no text; extra columns are
+uuid can be no parent; a NULL line id is -1; unreadable or NULL messages have no text; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -92,7 +92,7 @@ def symbols(transcripts: DataFrame) -> DataFrame:
     return transcripts.select(
         F.coalesce("session_id", F.lit("")).alias("session_id"),
         F.coalesce("agent_id", F.lit("")).alias("agent_id"),
-        "line_id",
+        F.coalesce("line_id", F.lit(-1)).alias("line_id"),
         void("uuid").alias("uuid"),
         void("parent_uuid").alias("parent"),
         F.coalesce(F.lower(F.trim("line_type")), F.lit("")).alias("kind"),

@@ -106,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
         (r["source"] or "").strip().lower(): (float(r["target_share"] or 0), int(r["max_repeats"] or 0))
         for r in targets.select("source", "target_share", "max_repeats").collect()  # one row per source
     }
-    base = docs.select("doc_id", normal_source("source").alias("source"), "n_tokens").where(
+    base = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), normal_source("source").alias("source"), "n_tokens").where(
         F.col("source").isin(*aims) & (F.col("n_tokens") > 0)
     )
     base = stage(base)

@@ -10,7 +10,7 @@ Texts are read whole, one row at a time within Arrow batches: no shuffle, and no
 state but the name lexicon, whose size is checked before it is sent to the workers.
 
 Defined results: NULL and empty texts have no finding and stay as they are;
-messages that are no JSON are read as plain text; repeated rows each have their
+messages that are no JSON are read as plain text; a NULL id is -1; repeated rows each have their
 findings; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,6 +25,7 @@ from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "national_id", "address", "name")
 #: Rows of a lexicon that may be sent to every worker.
@@ -448,7 +449,7 @@ def findings(lines: DataFrame, names: DataFrame) -> DataFrame:
                     rows += [(i, "cwd", k) for k in paths[cwd]]
             yield pd.DataFrame(rows, columns=["line_id", "field_name", "pii_type"])
 
-    return lines.select("line_id", "message", "cwd").mapInPandas(run, "line_id bigint, field_name string, pii_type string")
+    return lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd").mapInPandas(run, "line_id bigint, field_name string, pii_type string")
 
 
 def redacted(lines: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
@@ -465,4 +466,4 @@ def redacted(lines: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
                 rows.append((i, m, c, len(k) + len(k2)))
             yield pd.DataFrame(rows, columns=["line_id", "message", "cwd", "n_found"])
 
-    return lines.select("line_id", "message", "cwd").mapInPandas(run, "line_id bigint, message string, cwd string, n_found int")
+    return lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd").mapInPandas(run, "line_id bigint, message string, cwd string, n_found int")

@@ -51,7 +51,7 @@ def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    largest = max(c for _, c in _capacities(spark, d))
+    largest = max((c for _, c in _capacities(spark, d)), default=packing.MAX_CAPACITY)
     return packing.pack(_sizes(spark, d), largest).where("n_pieces > 1").select("doc_id").distinct()
 
 

@@ -9,6 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rank file of a byte-level BPE; a parameter everywhere, never copied.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,10 +32,10 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER, keep: tuple[str, ...] =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = load(path)
         for b in batches:
-            # texts from outside may hold lone surrogates or what looks like special tokens: both are ordinary text
-            n = [len(enc.encode_ordinary(t.encode("utf-8", "replace").decode())) if isinstance(t, str) and t else 0 for t in b["text"]]
+            # what looks like a special token in a text is ordinary text
+            n = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in b["text"]]
             yield b.drop(columns=["text"]).assign(n_tokens=n)[["doc_id", *keep, "n_tokens"]]
 
     kinds = dict(docs.dtypes)
     schema = "doc_id bigint, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "n_tokens bigint"
-    return docs.select("doc_id", *keep, "text").mapInPandas(run, schema)
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), *keep, "text").mapInPandas(run, schema)
