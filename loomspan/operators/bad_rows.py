@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.instants import readings
+from loomspan.runtime import spread
 from loomspan.sources.grammar import CsvRecord, Decimal64, csv_records, json_records, json_type
 
 # The record types of a ledger and the kinds of a session.
@@ -183,7 +184,7 @@ def with_zone(df: DataFrame, sources: DataFrame) -> DataFrame:
     zones = sources.select(
         F.col("id").alias("_zone_of"), F.get_json_object("meta_json", "$.tz").alias("_tz")
     ).dropDuplicates(["_zone_of"])
-    df = df.drop("_tz", "_zone_of")
+    df = spread(df.drop("_tz", "_zone_of"))
     return df.join(zones, df["source_id"] == zones["_zone_of"], "left").drop("_zone_of")
 
 
@@ -232,7 +233,7 @@ def rollout_faults(rollouts: DataFrame) -> DataFrame:
                 out.append(("legacy_rollouts", rid, *fault))
         return pd.DataFrame(out, columns=["src_table", "row_id", "reason", "detail", "fault_offset"])
 
-    return _mapped(known_id(rollouts.select("row_id", "raw_text"), "row_id"), fn, _FAULT)
+    return _mapped(known_id(spread(rollouts.select("row_id", "raw_text")), "row_id"), fn, _FAULT)
 
 
 def export_faults(export: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def export_faults(export: DataFrame) -> DataFrame:
                 out.append(("session_export", rid, *fault))
         return pd.DataFrame(out, columns=["src_table", "row_id", "reason", "detail", "fault_offset"])
 
-    return _mapped(known_id(export.select("row_id", "raw_text"), "row_id"), fn, _FAULT)
+    return _mapped(known_id(spread(export.select("row_id", "raw_text")), "row_id"), fn, _FAULT)
 
 
 def all_faults(ledger: DataFrame, rollouts: DataFrame, export: DataFrame, sources: DataFrame) -> DataFrame:
@@ -295,7 +296,7 @@ def valid_export(export: DataFrame) -> DataFrame:
 
     types = {"start_ts": "bigint", "turn_count": "bigint", "cost_usd": "double"}
     return _mapped(
-        known_id(export.select("row_id", "raw_text"), "row_id"),
+        known_id(spread(export.select("row_id", "raw_text")), "row_id"),
         fn,
         "row_id bigint, " + ", ".join(f"{c} {types.get(c, 'string')}" for c in EXPORT_COLUMNS),
     )
@@ -316,7 +317,7 @@ def valid_rollouts(rollouts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["row_id", "source_id", "file_name", "session_id", "item_no", "item_type", "item"])
 
     return _mapped(
-        known_id(rollouts.select("row_id", "source_id", "file_name", "raw_text"), "row_id"),
+        known_id(spread(rollouts.select("row_id", "source_id", "file_name", "raw_text")), "row_id"),
         fn,
         "row_id bigint, source_id string, file_name string, session_id string, item_no int, item_type string, item string",
     )

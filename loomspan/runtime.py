@@ -86,6 +86,16 @@ def _drop_all() -> None:
         _delete(*entry)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores where a table is stored in fewer splits than there are, which only a small one is.
+
+    Rows and results stay the same; a table of many splits is passed through without a shuffle.
+    Meant for plain scans: counting the splits behind a join would run the join.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def blank_to_null(c: Column) -> Column:
     """An empty string and NULL both mean "no value"."""
     return F.when(F.trim(c) != "", c)
