@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.runtime import running_total, stage, unstage
+from loomspan.runtime import running_total, spread, stage, unstage
 
 #: Lines of one task's chunk; bounds a task's memory to some 10 MB of links.
 CHUNK = 16_384
@@ -89,7 +89,7 @@ def symbols(transcripts: DataFrame) -> DataFrame:
             )
 
     void = lambda c: F.when(F.col(c) != "", F.col(c))
-    return transcripts.select(
+    return spread(transcripts).select(
         F.coalesce("session_id", F.lit("")).alias("session_id"),
         F.coalesce("agent_id", F.lit("")).alias("agent_id"),
         F.coalesce("line_id", F.lit(-1)).alias("line_id"),

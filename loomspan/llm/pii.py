@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.runtime import spread
+
 TYPES = ("email", "phone", "national_id", "address", "name")
 #: Rows of a lexicon that may be sent to every worker.
 LEXICON_LIMIT = 2_000_000
@@ -449,7 +451,7 @@ def findings(lines: DataFrame, names: DataFrame) -> DataFrame:
                     rows += [(i, "cwd", k) for k in paths[cwd]]
             yield pd.DataFrame(rows, columns=["line_id", "field_name", "pii_type"])
 
-    return lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd").mapInPandas(run, "line_id bigint, field_name string, pii_type string")
+    return spread(lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd")).mapInPandas(run, "line_id bigint, field_name string, pii_type string")
 
 
 def redacted(lines: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
@@ -466,4 +468,4 @@ def redacted(lines: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
                 rows.append((i, m, c, len(k) + len(k2)))
             yield pd.DataFrame(rows, columns=["line_id", "message", "cwd", "n_found"])
 
-    return lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd").mapInPandas(run, "line_id bigint, message string, cwd string, n_found int")
+    return spread(lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd")).mapInPandas(run, "line_id bigint, message string, cwd string, n_found int")

@@ -109,11 +109,51 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d)
 
 
+def p10_word_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The plain figures on words, symbols and lines of every document."""
+    m = quality.measure(table(spark, d, "documents"), table(spark, d, "common_words"))
+    r = lambda c: F.round(c, 9).alias(c)
+    return m.select("doc_id", F.col("word_count").cast("bigint").alias("word_count"), r("mean_word_length"), r("digit_ratio"), r("words_per_line"), r("comma_ends"))
+
+
+# A line is reached from a line without parent, or its conversation is broken; the nearest prompt travels down.
+P5_FOUND_SQL = """with recursive l as (
+  select coalesce(session_id, '') as s, coalesce(agent_id, '') as a, uuid, nullif(parent_uuid, '') as p, lower(trim(line_type)) as kind,
+    coalesce(is_meta, false) or coalesce(is_compact_summary, false) as quiet, lower(trim(coalesce(message ->> '$.role', ''))) as r,
+    case json_type(message, '$.content') when 'VARCHAR' then regexp_matches(message ->> '$.content', '\\S')
+      when 'ARRAY' then len(list_filter(cast(json_extract(message, '$.content') as json[]), lambda x: x ->> '$.type' = 'text' and regexp_matches(x ->> '$.text', '\\S'))) > 0
+      else false end as has_text
+  from transcript_lines qualify row_number() over (partition by session_id, agent_id, uuid order by line_id) = 1),
+n as (select *, coalesce(nullif(case when r in ('user', 'assistant', 'system') then r end, ''), kind) as role from l),
+m as (select *, role = 'user' and has_text and not quiet as prompt, role = 'assistant' and has_text as reply from n),
+w as (
+  select s, a, uuid, case when prompt then uuid end as near, cast(null as varchar) as answers from m where p is null
+  union all
+  select m.s, m.a, m.uuid, case when m.prompt then m.uuid else w.near end, case when m.reply then w.near end
+  from w join m on m.s = w.s and m.a = w.a and m.p = w.uuid),
+ok as (select s, a, answers from w where answers is not null group by all),
+g as (select s, a, count(*) as lines, bool_or(prompt) as has_prompt, bool_or(reply) as has_reply,
+    count(*) filter (where prompt) as prompts from m group by 1, 2)
+select g.s as session_id, g.a as agent_id from g
+where lines > (select count(*) from w where w.s = g.s and w.a = g.a) or not has_prompt or not has_reply
+  or prompts > (select count(*) from ok where ok.s = g.s and ok.a = g.a)"""
+
+P10_WORDS_SQL = """with w as (select coalesce(doc_id, -1) as doc_id, coalesce(text, '') as t,
+  regexp_extract_all(coalesce(text, ''), '\\p{L}+(?:[''’-]\\p{L}+)*') as words,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') as tokens,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_matches(x, '\\S')) as lines,
+  regexp_replace(coalesce(text, ''), '\\s', '', 'g') as solid from documents)
+select doc_id, case when len(tokens) = 0 then 0 else len(words) end as word_count,
+  round(case when len(words) = 0 then 0 else list_sum(list_transform(words, lambda x: length(lower(x)))) / len(words) end, 9) as mean_word_length,
+  round(length(regexp_replace(solid, '[^0-9]', '', 'g')) / greatest(1, length(solid)), 9) as digit_ratio,
+  round(len(tokens) / greatest(1, len(lines)), 9) as words_per_line,
+  round(len(list_filter(lines, lambda x: regexp_matches(x, '[,;]\\s*$'))) / greatest(1, len(lines)), 9) as comma_ends from w"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted, p8_found, p8_packed, p8_fill,
-        p9_mix, p9_shares, p10_found, p10_statistics,
+        p9_mix, p9_shares, p10_found, p10_statistics, p10_word_statistics,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL, "p10_word_statistics": P10_WORDS_SQL}

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.runtime import spread
+
 #: Rank file of a byte-level BPE; a parameter everywhere, never copied.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's public tokenizer cuts a text before merging.
@@ -38,4 +40,4 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER, keep: tuple[str, ...] =
 
     kinds = dict(docs.dtypes)
     schema = "doc_id bigint, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "n_tokens bigint"
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), *keep, "text").mapInPandas(run, schema)
+    return spread(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), *keep, "text")).mapInPandas(run, schema)
