@@ -159,10 +159,66 @@ paths as (
   select f.node, p.full_path || '/' || f.node from paths p join fixed f on f.src_table = 'sessions' and f.parent = p.node)
 select node as node_id, full_path from paths"""
 
+def p3_snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot part of p3_found."""
+    t = flatten.snapshot_triples(table(spark, d, "snapshot_files"), values=False)
+    return flatten.nodes(t).select("row_id", "node_kind", "node_path", "parent_path")
+
+
+def p4_session_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions part of p4_utc."""
+    v = instants.number_values(table(spark, d, "sessions"), "sessions", "row_id", "start_ts", table(spark, d, "sources"))
+    return instants.viterbi(v).select("row_id", "utc_us", "is_case")
+
+
+def p7_export_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The CSV part of p7_found."""
+    return bad_rows.export_faults(table(spark, d, "session_export")).select("row_id", "reason")
+
+
+P3_SNAPSHOT_SQL = """with recursive s as (
+  select row_id, 'opTree' as path, '' as parent, json_extract(raw_text, '$.opTree') as j
+  from snapshot_files where json_valid(raw_text) and json_type(raw_text, '$.opTree') = 'OBJECT'
+  union all
+  select t.row_id, t.path || '.' || p.part || '[' || t.k || '].ops[' || (o.i - 1) || '].childSession', t.path || '.' || p.part || '[' || t.k || '].ops[' || (o.i - 1) || ']',
+    json_extract(o.j, '$.childSession')
+  from (select s.row_id, s.path, part, u.i - 1 as k, u.j from s, (values ('turns'), ('steps')) v(part),
+      lateral (select unnest(cast(json_extract(s.j, '$.' || part) as json[])) as j, generate_subscripts(cast(json_extract(s.j, '$.' || part) as json[]), 1) as i) u
+      where json_type(s.j, '$.' || part) = 'ARRAY') t, lateral (select t.part) p,
+    lateral (select unnest(cast(json_extract(t.j, '$.ops') as json[])) as j, generate_subscripts(cast(json_extract(t.j, '$.ops') as json[]), 1) as i) o
+  where json_type(t.j, '$.ops') = 'ARRAY' and json_type(o.j, '$.childSession') = 'OBJECT'),
+t as (select row_id, s.path as parent, part, path || '.' || part || '[' || (u.i - 1) || ']' as path, u.j from s, (values ('turns'), ('steps')) v(part),
+    lateral (select unnest(cast(json_extract(s.j, '$.' || part) as json[])) as j, generate_subscripts(cast(json_extract(s.j, '$.' || part) as json[]), 1) as i) u
+  where json_type(s.j, '$.' || part) = 'ARRAY' and json_type(u.j) = 'OBJECT'),
+o as (select row_id, t.path as parent, t.path || '.ops[' || (u.i - 1) || ']' as path, u.j from t,
+    lateral (select unnest(cast(json_extract(t.j, '$.ops') as json[])) as j, generate_subscripts(cast(json_extract(t.j, '$.ops') as json[]), 1) as i) u
+  where json_type(t.j, '$.ops') = 'ARRAY' and json_type(u.j) = 'OBJECT')
+select row_id, 'session' as node_kind, path as node_path, parent as parent_path from s
+union all select row_id, case part when 'turns' then 'turn' else 'step' end, path, parent from t
+union all select row_id, 'op', path, parent from o
+union all select row_id, 'attribute', path || '.attributes.' || k, path from (select row_id, path, unnest(json_keys(j, '$.attributes')) as k from s where json_type(j, '$.attributes') = 'OBJECT')"""
+
+P4_SESSIONS_SQL = """with s as (select row_id, start_ts as t, length(cast(start_ts as varchar)) as n from sessions where start_ts > 0)
+select row_id, case n when 10 then t * 1000000 when 13 then t * 1000 when 16 then t when 19 then t // 1000 end as utc_us, n <> 16 as is_case
+from s where n in (10, 13, 16, 19)"""
+
+P7_EXPORT_SQL = """with r as (select row_id, coalesce(raw_text, '') as t from session_export),
+f as (select row_id, t,
+    t = '' or not regexp_full_match(t, '("([^"]|"")*"|[^",\\r\\n]*)(,("([^"]|"")*"|[^",\\r\\n]*))*(\\r\\n|\\n|\\r)?') as broken,
+    regexp_extract_all(regexp_replace(',' || t, '(\\r\\n|\\n|\\r)$', ''), ',("(?:[^"]|"")*"|[^",\\r\\n]*)', 1) as v from r),
+g as (select row_id, broken, list_transform(v, lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from f),
+h as (select row_id, case when broken then 'syntax' when len(v) <> 12 then 'fields'
+  when v[6] not in ('root', 'sub_agent', 'fork', 'internal') or not regexp_full_match(v[9], '[0-9]{1,19}') or not regexp_full_match(v[10], '[0-9]{1,19}')
+    or not regexp_full_match(v[11], '[0-9]+(\\.[0-9]+)?|\\.[0-9]+') then 'value' end as reason from g)
+select row_id, reason from h where reason is not null"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_kinds, p3_found, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
 QUERIES |= {f"p3_{kind}s": _flat(kind) for kind in flatten.FIELDS}
-SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL}
+SQL: dict[str, str] = {
+    "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p3_snapshot_nodes": P3_SNAPSHOT_SQL,
+    "p4_session_starts": P4_SESSIONS_SQL, "p7_export_faults": P7_EXPORT_SQL,
+}
