@@ -78,6 +78,8 @@ _CAP = r"[A-ZÀ-ÞŠŽ][\w'’À-ÿ-]*"
 # a city of two words only before an end, a number or a lower-case word
 _TOWN = rf"{_CAP}(?: (?:Creek|Vassal|City|Springs|Falls|{_CAP}(?=\s*(?:\d|[,.;/\"\\]|$| [a-z]))))?"
 _TOWN_UP = r"[A-ZÀ-Þ'-]{3,}(?: [A-ZÀ-Þ'-]{3,})*"
+# a postal code behind the town, unless it begins a longer number
+_ZIP = r" \d{4,5}(?!\d| ?\d{3}(?!\d))"
 # Words that end or open the name of a street.
 _EN_STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Pl|Terrace|Way|Close|Square|Hill)"
 _DE_STREET = r"(?:weg|ring|gasse|straße|strasse|str\.|platz|allee|ufer|damm)"
@@ -85,11 +87,11 @@ _ADDRESS = (
     # 31 Old Ferry Lane, Apt 19, Norrstadt 19046; without a town it may be anything that is counted
     re.compile(
         rf"(?<![\w.:#-])(?<!\d/)\d{{1,5}}[a-z]? (?:{_CAP} ){{1,4}}{_EN_STREET}\b\.?(?:,? (?:Apt|Unit|Suite|Flat|No)\.? ?\d\w{{0,4}})?"
-        rf"(?:(?:,|,?\n) ?{_TOWN}(?: \d{{4,5}})?)"
+        rf"(?:(?:,|,?\n) ?{_TOWN}(?:{_ZIP})?)"
     ),
     re.compile(
         rf"(?<![\w.:#-])(?<!\d/)\d{{1,5}} (?:[A-Z]{{2,}} ){{1,4}}{_EN_STREET.upper()}\b\.?(?:,? (?:APT|UNIT|SUITE|FLAT|NO)\.? ?\d\w{{0,4}})?"
-        rf"(?:(?:,|,?\n) ?{_TOWN_UP}(?: \d{{4,5}})?)"
+        rf"(?:(?:,|,?\n) ?{_TOWN_UP}(?:{_ZIP})?)"
     ),
     # Kupferweg 61a, 92709 Silt Creek
     re.compile(

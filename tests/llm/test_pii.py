@@ -34,6 +34,13 @@ def test_clean(text):
     assert pii.find(text, LEX) == []
 
 
+def test_neighbours():
+    kinds = lambda t: [s.kind for s in pii.find(t, LEX)]
+    assert kinds("site: 31 Old Ferry Lane, Norrstadt 07700 900 640 is the line") == ["address", "phone"]
+    assert kinds("site: 31 Old Ferry Lane, Norrstadt 00493023125067 is the line") == ["address", "phone"]
+    assert kinds("Reviewed-by: Dr. Hasköld The account is a@example.org, Kupferweg 61a, 92709 Silt Creek Call +12075550144") == ["name", "email", "address", "phone"]
+
+
 @given(st.text("0123456789", min_size=1, max_size=18), st.binary(min_size=1, max_size=8))
 def test_feistel_goes_back(digits, key):
     x = pii.feistel(digits, key, b"t")
