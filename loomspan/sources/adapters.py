@@ -254,6 +254,12 @@ def snapshot(raw: DataFrame, sources: DataFrame) -> DataFrame:
 _BLOCK = "array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,is_error:boolean>>"
 
 
+_MESSAGE = (
+    "struct<model:string,content:string,usage:struct<input_tokens:bigint,output_tokens:bigint,"
+    "cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>"
+)
+
+
 def tool_namespace(name: Column) -> Column:
     """``mcp__server__tool`` belongs to ``mcp:server``, every other tool to ``builtin``."""
     srv = F.regexp_extract(name, r"^mcp__(.+?)__", 1)
@@ -266,45 +272,43 @@ def transcript_ops(lines: DataFrame) -> DataFrame:
     A turn begins at each prompt. A tool call gets its state from the result that
     names its id, an equi-join; without one it stays running.
     """
-    blocks = F.from_json(F.get_json_object("message", "$.content"), _BLOCK)
-    text = F.get_json_object("message", "$.content")
-    is_list = text.startswith("[")
     key = ["session_id", "agent"]
-    base = lines.select(
+    parsed = lines.select(
         "session_id",
         F.coalesce("agent_id", F.lit("")).alias("agent"),
         "line_id",
+        "uuid",
         F.lower(F.trim("line_type")).alias("kind"),
         (F.coalesce("is_meta", F.lit(False)) | F.coalesce("is_compact_summary", F.lit(False))).alias("quiet"),
-        F.when(is_list, blocks).alias("blocks"),
-        F.when(~is_list, text).alias("plain"),
-        F.get_json_object("message", "$.model").alias("model"),
-        *[F.get_json_object("message", f"$.usage.{u}").cast("bigint").alias(u) for u in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")],
-        F.row_number().over(_same_line()).alias("copy"),
-    ).where("copy = 1").drop("copy")
-    has_text = F.coalesce(F.trim("plain") != "", F.lit(False)) | F.coalesce(F.exists("blocks", lambda b: (b["type"] == "text") & (F.trim(b["text"]) != "")), F.lit(False))
-    turns = numbered_turns(base.withColumn("p", (F.col("kind") == "user") & ~F.col("quiet") & has_text), key, ["line_id"], "p")
-    none = F.lit(None).cast("string")
-    one = lambda k, name, i: F.struct(F.lit(k).alias("op_kind"), name.alias("name"), i.alias("tool_use_id"))
-    calls = F.transform(
-        F.filter(F.coalesce("blocks", F.array().cast(_BLOCK)), lambda b: b["type"].isin("tool_use", "thinking")),
-        lambda b: F.struct(
-            F.when(b["type"] == "tool_use", "tool").otherwise("reasoning").alias("op_kind"), b["name"].alias("name"), b["id"].alias("tool_use_id")
-        ),
+        F.from_json("message", _MESSAGE).alias("m"),
     )
+    is_list = F.col("m.content").startswith("[")
+    parsed = parsed.withColumn("blocks", F.when(is_list, F.from_json("m.content", _BLOCK))).withColumn("plain", F.when(~is_list, F.col("m.content")))
+    none = F.array().cast(_BLOCK)
+    pick = lambda *types: F.filter(F.coalesce("blocks", none), lambda b: b["type"].isin(*types))
+    has_text = F.coalesce(F.trim("plain") != "", F.lit(False)) | F.exists(pick("text"), lambda b: F.trim(b["text"]) != "")
+    # only names, ids and numbers go on; texts end here, before the first shuffle
+    base = parsed.select(
+        *key, "line_id", "uuid", "kind", F.col("m.model").alias("model"), "m.usage",
+        ((F.col("kind") == "user") & ~F.col("quiet") & F.coalesce(has_text, F.lit(False))).alias("p"),
+        F.transform(pick("tool_use", "thinking"), lambda b: F.struct(F.when(b["type"] == "tool_use", "tool").otherwise("reasoning").alias("op_kind"), b["name"].alias("name"), b["id"].alias("tool_use_id"))).alias("calls"),
+        F.transform(pick("tool_result"), lambda b: F.struct(b["tool_use_id"].alias("id"), F.coalesce(b["is_error"], F.lit(False)).alias("bad"))).alias("results"),
+    ).withColumn("copy", F.row_number().over(_same_line())).where("copy = 1").drop("copy", "uuid")
+    turns = numbered_turns(base, key, ["line_id"], "p")
+    one = lambda k, name: F.struct(F.lit(k).alias("op_kind"), name.alias("name"), F.lit(None).cast("string").alias("tool_use_id"))
     ops = turns.select(
-        *key, "turn_seq", "line_id", "model", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        *key, "turn_seq", "line_id", "model", "usage",
         F.posexplode(
-            F.when(F.col("p"), F.array(one("internal", F.lit("user_input"), none)))
-            .when(F.col("kind") == "assistant", F.concat(F.array(one("llm", F.col("model"), none)), calls))
+            F.when(F.col("p"), F.array(one("internal", F.lit("user_input"))))
+            .when(F.col("kind") == "assistant", F.concat(F.array(one("llm", F.col("model"))), "calls"))
         ).alias("k", "op"),
-    ).select(*key, "turn_seq", "line_id", "k", "op.*", "model", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    ).select(*key, "turn_seq", "line_id", "k", "op.*", "model", "usage.*")
     numbered = positions(ops, [*key, "turn_seq"], ["line_id", "k"], "op_seq")
     results = (
-        base.select("session_id", "agent", F.explode("blocks").alias("b"), F.col("line_id").alias("result_line"))
-        .where("b.type = 'tool_result' and b.tool_use_id is not null")
-        .groupBy(F.col("session_id").alias("_s"), F.col("agent").alias("_a"), F.col("b.tool_use_id").alias("_t"))
-        .agg(F.max(F.coalesce("b.is_error", F.lit(False))).alias("_e"), F.min("result_line").alias("result_line"))
+        base.select("session_id", "agent", F.explode("results").alias("b"), F.col("line_id").alias("result_line"))
+        .where("b.id is not null")
+        .groupBy(F.col("session_id").alias("_s"), F.col("agent").alias("_a"), F.col("b.id").alias("_t"))
+        .agg(F.max("b.bad").alias("_e"), F.min("result_line").alias("result_line"))
     )
     j = numbered.join(results, (numbered["session_id"] == results["_s"]) & (numbered["agent"] == results["_a"]) & (numbered["tool_use_id"] == results["_t"]), "left")
     llm = F.col("op_kind") == "llm"
