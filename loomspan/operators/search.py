@@ -155,3 +155,15 @@ def snippet(text: Column, terms: list[str], width: int = 60) -> Column:
     cut = F.substring(text, at, F.lit(2 * width))
     marked = F.regexp_replace(cut, rf"(?i)\b({alt})\b", "[$1]")
     return F.concat(F.when(at > 1, "...").otherwise(""), marked, F.when(F.length(text) > at + 2 * width, "...").otherwise(""))
+
+
+def logged(texts: DataFrame, sources: DataFrame, query: Query) -> DataFrame:
+    """Matches among the texts of sources that index their logs; texts: doc, source_id, text."""
+    on = sources.where("fts5_index_logs = 1").select(F.col("id").alias("source_id"))
+    return match(texts.join(on, "source_id", "left_semi"), "doc", "text", query).select("doc")
+
+
+def reindexed(index: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The postings with those of changed documents replaced: an anti-join on the touched ids and an append."""
+    dirty = docs.select(F.col(id_col).alias("doc")).distinct()
+    return index.join(dirty, "doc", "left_anti").unionByName(postings(docs, id_col, text))

@@ -160,3 +160,26 @@ def health(sources: DataFrame, errors: int = 1) -> DataFrame:
     """down if a source is off, degraded with parse errors, else ok; one row per status."""
     s = F.when(F.col("enabled") == 0, "down").when(F.col("parse_errors") >= errors, "degraded").otherwise("ok")
     return sources.groupBy(s.alias("health")).agg(F.count(F.lit(1)).alias("n_sources"), F.sum("parse_errors").alias("parse_errors"))
+
+
+def cache_hit_rate(read: str, fresh: str, write: str) -> Column:
+    """Cached part of all input tokens; NULL where there were none."""
+    total = sum((F.coalesce(c, F.lit(0)) for c in (read, fresh, write)), F.lit(0))
+    return F.when(total > 0, F.round(F.coalesce(read, F.lit(0)) / total, 9))
+
+
+def source_list(sources: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Every source with its sessions and last activity, also those without any."""
+    a = sessions.groupBy("source_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("last_activity_ts").alias("last_activity_ts"))
+    return sources.join(a, sources["id"] == a["source_id"], "left").select(
+        "id", "source_format", "enabled", F.coalesce("sessions", F.lit(0)).alias("sessions"), "last_activity_ts"
+    )
+
+
+def lineage(sessions: DataFrame) -> DataFrame:
+    """Each session with the kinds of its parent and root, NULL where they don't exist."""
+    k = sessions.select(F.col("id").alias("_i"), "kind")
+    p, r = k.toDF("_p", "parent_kind"), k.toDF("_r", "root_kind")
+    s = sessions.select("id", "kind", "parent_session_id", "root_session_id")
+    s = s.join(p, s["parent_session_id"] == p["_p"], "left")
+    return s.join(r, s["root_session_id"] == r["_r"], "left").select("id", "kind", "parent_kind", "root_kind")

@@ -83,3 +83,16 @@ def fifo_pairs(starts: DataFrame, ends: DataFrame, keys: Sequence[str], order: S
     a = positions(starts, keys, order, "nth")
     b = positions(ends.select(*keys, *order), keys, order, "nth").select(*keys, "nth", *[F.col(c).alias(f"end_{c}") for c in order])
     return a.join(b, [*keys, "nth"], "left")
+
+
+def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """The next row's ``value`` within the key, as for a turn that the next one supersedes. ``order`` are numbers."""
+    back = [f"_b{k}" for k in range(len(order))]
+    x = df.withColumns({b: -F.col(c) for b, c in zip(back, order)})
+    return carry_last(x, keys, back, value, out).drop(*back)
+
+
+def last_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The given columns of each key's last row, by partial aggregation."""
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r"))
+    return g.select(*keys, *[F.col("_r")[c].alias(c) for c in columns])

@@ -685,11 +685,11 @@ from loomspan.sources import adapters  # noqa: E402
 
 
 def _ledger_events(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.get("aiagent_v3")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
+    return adapters.get("ledger")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
 
 
 def _snapshot_events(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.get("aiagent_v2")(table(spark, d, "snapshot_files"), table(spark, d, "sources"))
+    return adapters.get("snapshot")(table(spark, d, "snapshot_files"), table(spark, d, "sources"))
 
 
 @query(None)
@@ -727,3 +727,69 @@ union all select 'llm', message ->> '$.model', count(*) from o group by all"""
 def transcript_operations(spark: SparkSession, d: str) -> DataFrame:
     ops = adapters.transcript_ops(table(spark, d, "transcript_lines"))
     return ops.where("op_kind <> 'internal'").groupBy("op_kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- further lists ----------------------------------------------------------------------------------------
+@query(
+    """select id, case when coalesce(tokens_cache_read, 0) + coalesce(tokens_in, 0) + coalesce(tokens_cache_write, 0) > 0
+  then round(coalesce(tokens_cache_read, 0) / (coalesce(tokens_cache_read, 0) + coalesce(tokens_in, 0) + coalesce(tokens_cache_write, 0)), 9) end as hit_rate from recorded_"""
+)
+def session_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    return domain.recorded_sessions(spark, d).select("id", stats.cache_hit_rate("tokens_cache_read", "tokens_in", "tokens_cache_write").alias("hit_rate"))
+
+
+@query(
+    """, a as (select source_id, count(*) as sessions, max(last_activity_ts) as last_activity_ts from recorded_ group by 1)
+select s.id, s.source_format, s.enabled, coalesce(a.sessions, 0) as sessions, a.last_activity_ts from sources s left join a on a.source_id = s.id"""
+)
+def source_list(spark: SparkSession, d: str) -> DataFrame:
+    return stats.source_list(table(spark, d, "sources"), domain.recorded_sessions(spark, d))
+
+
+@query(
+    """select s.id, s.kind, p.kind as parent_kind, r.kind as root_kind from recorded_ s
+left join recorded_ p on p.id = s.parent_session_id left join recorded_ r on r.id = s.root_session_id"""
+)
+def session_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return stats.lineage(domain.recorded_sessions(spark, d))
+
+
+@query(COUNTER_SQL + "select event_id, lead(us) over (partition by user_id order by us, event_id) as superseded_us from c")
+def superseded_turns(spark: SparkSession, d: str) -> DataFrame:
+    return windows.next_value(_counter(spark, d), ["user_id"], ["us", "event_id"], "us", "superseded_us").select("event_id", "superseded_us")
+
+
+@query(
+    """select session_id, turn_seq, max_by(status, (start_ts, op_seq, status)) as last_status, max(start_ts) as last_start
+from ops_ where kind = 'llm' group by all"""
+)
+def last_model_operations(spark: SparkSession, d: str) -> DataFrame:
+    o = domain.load(spark, d).ops.where("kind = 'llm'")
+    x = windows.last_of(o, ["session_id", "turn_seq"], ["start_ts", "op_seq", "status"], ["status", "start_ts"])
+    return x.select("session_id", "turn_seq", F.col("status").alias("last_status"), F.col("start_ts").alias("last_start"))
+
+
+@query(
+    """, t as (select r.id as doc, list_filter(regexp_split_to_array(lower(coalesce(error_message, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w
+  from recorded_ r join sources s on s.id = r.source_id where s.fts5_index_logs = 1 and error_message is not null)
+select doc from t where list_contains(w, 'exit') or len(list_filter(w, lambda x: starts_with(x, 'time'))) > 0"""
+)
+def search_logs(spark: SparkSession, d: str) -> DataFrame:
+    texts = domain.recorded_sessions(spark, d).select(F.col("id").alias("doc"), "source_id", F.col("error_message").alias("text"))
+    return search.logged(texts, table(spark, d, "sources"), search.parse_query("exit OR time*"))
+
+
+@query("select doc, term, count(*) as tf, len from (select doc_id as doc, unnest(w) as term, len(w) as len from (select doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents) where len(w) > 0) group by all")
+def search_reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """An index of outdated texts, brought up to date: equal to one made anew."""
+    docs = table(spark, d, "documents")
+    old = search.postings(docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit("an older text")).otherwise(F.col("text"))), "doc_id", "text")
+    new = search.reindexed(old, docs.where("doc_id % 7 = 0"), "doc_id", "text")
+    return new.select("doc", "term", F.col("tf").cast("bigint").alias("tf"), F.col("len").cast("bigint").alias("len"))
+
+
+@query("select o_orderkey as key, o_orderstatus as availability from orders where o_orderpriority = '1-URGENT' and o_orderstatus not in ('present', 'truncated', 'redacted', 'F')")
+def parity_disallowed(spark: SparkSession, d: str) -> DataFrame:
+    s, _ = _artifacts(spark, d)
+    s = s.where("cls = '1-URGENT'").withColumn("cls", F.lit("payload")).withColumn("availability", F.when(F.col("availability") == "F", "present").otherwise(F.col("availability")))
+    return parity.disallowed(s).select("key", "availability")

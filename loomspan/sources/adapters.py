@@ -144,7 +144,7 @@ def ledger_events(o: dict, base: dict, tz: str | None) -> list[dict]:
     return out
 
 
-@register("aiagent_v3")
+@register("ledger")
 def ledger(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """raw: row_id, source_id, file_name, line_no, raw_text."""
 
@@ -228,7 +228,7 @@ def snapshot_events(tree: dict, base: dict, tz: str | None, max_depth: int = 200
     return out
 
 
-@register("aiagent_v2")
+@register("snapshot")
 def snapshot(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """raw: row_id, source_id, file_name, raw_text. A file delivered twice gives equal events."""
 

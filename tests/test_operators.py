@@ -181,7 +181,7 @@ LEDGER = [
 def test_ledger_adapter_and_folds(spark):
     raw = [(i, "src", "f", i, json.dumps({"version": 3, "ts": f"2026-05-26T13:00:0{i}.000Z", "originId": "s", "sessionId": "s"} | o)) for i, o in enumerate(LEDGER)] + [(9, "src", "f", 9, "{")]
     src = spark.createDataFrame([("src", "{}")], "id string, meta_json string")
-    ev = adapters.get("aiagent_v3")(spark.createDataFrame(raw * 2, "row_id bigint, source_id string, file_name string, line_no int, raw_text string"), src)
+    ev = adapters.get("ledger")(spark.createDataFrame(raw * 2, "row_id bigint, source_id string, file_name string, line_no int, raw_text string"), src)
     kinds = [r["kind"] for r in ev.dropDuplicates(["file", "rec", "sub"]).orderBy("rec", "sub").collect()]
     assert kinds == ["session_started", "turn_started", "turn_finalized", "op_started", "op_finalized", "payload_ref", "payload_ref", "op_started", "op_finalized", "session_started", "session_finalized", "session_updated", "source_error"]
     ops = {r["op_seq"]: r for r in merge.fold_ops(ev).collect()}
@@ -198,11 +198,11 @@ def test_snapshot_adapter(spark):
     tree = {"traceId": "r", "startedAt": 1735689600000, "turns": [{"index": 0, "startedAt": 1735689600000, "ops": [{"opId": "o", "kind": "session", "status": "ok", "childSession": child, "logs": [{"severity": "VRB", "message": "m"}]}]}], "success": "true", "endedAt": 1735689601000}
     src = spark.createDataFrame([("src", None)], "id string, meta_json string")
     raw = spark.createDataFrame([(1, "src", "f", json.dumps({"version": 2, "opTree": tree})), (2, "src", "g", "{")], "row_id bigint, source_id string, file_name string, raw_text string")
-    ev = adapters.get("aiagent_v2")(raw, src).collect()
+    ev = adapters.get("snapshot")(raw, src).collect()
     assert [(e["kind"], e["session"]) for e in sorted(ev, key=lambda e: (e["file"], e["sub"]))] == [
         ("session_started", "r"), ("turn_started", "r"), ("op_started", "r"), ("op_finalized", "r"), ("log_entry", "r"), ("turn_finalized", "r"), ("session_finalized", "r"), ("session_started", "c"), ("source_error", None),
     ]
-    assert {e["severity"] for e in ev if e["kind"] == "log_entry"} == {"DBG"} and adapters.formats() == ["aiagent_v2", "aiagent_v3"]
+    assert {e["severity"] for e in ev if e["kind"] == "log_entry"} == {"DBG"} and adapters.formats() == ["ledger", "snapshot"]
 
 
 def test_transcript_and_rollout_operations(spark):

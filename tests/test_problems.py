@@ -17,7 +17,7 @@ LEDGER = "row_id bigint, source_id string, file_name string, line_no int, raw_te
 
 
 def sources(spark, rows=()):
-    return spark.createDataFrame([(*r, "clash") for r in rows] or [("s1", "aiagent_v3", '{"tz":"Europe/Berlin"}', "x")], SOURCES)
+    return spark.createDataFrame([(*r, "clash") for r in rows] or [("s1", "ledger", '{"tz":"Europe/Berlin"}', "x")], SOURCES)
 
 
 def line(**f):
