@@ -145,7 +145,7 @@ def fold_ops(ev: DataFrame) -> DataFrame:
         *[first_set(F.when(F.col(c) != "", F.col(c)), o).alias(c) for c in ("child_session",)],
         first_set(F.when(F.col("parent_op_seq") >= 0, F.col("parent_op_seq")), o).alias("parent_op_seq"),
         F.max_by(
-            F.when(fin, F.struct("status", "error_class", "error_message", "end_ts", "tokens_in", "tokens_out", "tokens_cache_read", "tokens_cache_write", "cost_usd", "bytes_in", "bytes_out")),
+            F.when(fin, F.struct("status", "error_class", "error_message", "end_ts", "tokens_in", "tokens_out", "tokens_cache_read", "tokens_cache_write", "cost_usd", "ctx_used", "bytes_in", "bytes_out")),
             F.when(fin, o),
         ).alias("f"),
     )
@@ -155,7 +155,7 @@ def fold_ops(ev: DataFrame) -> DataFrame:
         "start_ts", F.when(ok, F.col("f.end_ts")).alias("end_ts"), F.when(ok, F.col("f.end_ts") - F.col("start_ts")).alias("duration_us"),
         F.coalesce("f.status", F.lit("running")).alias("status"), "f.error_class", "f.error_message",
         *[F.coalesce(F.col(f"f.{c}"), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "tokens_cache_read", "tokens_cache_write")],
-        F.coalesce("f.cost_usd", F.lit(0.0)).alias("cost_usd"), F.nullif(F.col("f.bytes_in"), F.lit(0)).alias("bytes_in"), F.nullif(F.col("f.bytes_out"), F.lit(0)).alias("bytes_out"),
+        F.coalesce("f.cost_usd", F.lit(0.0)).alias("cost_usd"), F.nullif(F.col("f.bytes_in"), F.lit(0)).alias("bytes_in"), F.nullif(F.col("f.bytes_out"), F.lit(0)).alias("bytes_out"), F.nullif(F.col("f.ctx_used"), F.lit(0)).alias("ctx_used"),
     )
 
 

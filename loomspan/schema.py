@@ -17,7 +17,7 @@ EVENT = T.StructType(
             ("root", _S), ("parent", _S), ("parent_op", _S), ("session_kind", _S), ("agent", _S), ("model", _S), ("provider", _S),
             ("cwd", _S), ("call_path", _S), ("turn_seq", _L), ("op_seq", _L), ("parent_op_seq", _L), ("op_kind", _S), ("name", _S),
             ("namespace", _S), ("child_session", _S), ("status", _S), ("error_class", _S), ("error_message", _S), ("end_ts", _L),
-            ("tokens_in", _L), ("tokens_out", _L), ("tokens_cache_read", _L), ("tokens_cache_write", _L), ("cost_usd", _D),
+            ("tokens_in", _L), ("tokens_out", _L), ("tokens_cache_read", _L), ("tokens_cache_write", _L), ("cost_usd", _D), ("ctx_used", _L),
             ("bytes_in", _L), ("bytes_out", _L), ("payload_kind", _S), ("format", _S), ("location", _S), ("sha256", _S),
             ("severity", _S), ("message", _S), ("extras", _S),
         )

@@ -90,6 +90,7 @@ def _tokens(acc: dict) -> dict[str, Any]:
         "tokens_in": _int(acc.get("tokensIn")), "tokens_out": _int(acc.get("tokensOut")),
         "tokens_cache_read": _int(acc.get("tokensCacheRead")), "tokens_cache_write": _int(acc.get("tokensCacheWrite")),
         "cost_usd": float(acc.get("costUsd") or 0),
+        "ctx_used": sum(_int(acc.get(k)) for k in ("tokensIn", "tokensOut", "tokensCacheRead", "tokensCacheWrite")),
     }
 
 
@@ -106,7 +107,9 @@ def ledger_events(o: dict, base: dict, tz: str | None) -> list[dict]:
         parent = o.get("parentSessionId")
         add(
             "session_started", root=str(o.get("originId")), parent=parent, parent_op=o.get("parentOpId"), agent=o.get("agentId"), call_path=o.get("callPath"),
-            session_kind="sub_agent" if parent else HEADEND_KIND.get(str(o.get("headendId")), "root"), extras=json.dumps(o.get("attributes") or {}, ensure_ascii=False),
+            session_kind="sub_agent" if parent else HEADEND_KIND.get(str(o.get("headendId")), "root"),
+            extras=json.dumps({f"attr.{k}": v for k, v in sorted((o.get("attributes") or {}).items())} | {k: o[k] for k in ("callPath", "capturePayloads", "headendId", "originId") if k in o}, ensure_ascii=False)
+            if isinstance(o.get("attributes") or {}, dict) else None,
         )
     elif kind == "turn_start":
         add("turn_started", turn_seq=_int(o.get("turn")))
@@ -208,6 +211,7 @@ def snapshot_events(tree: dict, base: dict, tz: str | None, max_depth: int = 200
                     add(
                         "op_finalized", **w, ts=end or at, end_ts=end or at, status=st, tokens_in=_int(tk.get("inputTokens")), tokens_out=_int(tk.get("outputTokens")),
                         tokens_cache_read=_int(tk.get("cacheReadInputTokens", tk.get("cachedTokens"))), tokens_cache_write=_int(tk.get("cacheWriteInputTokens")), cost_usd=float(llm.get("costUsd") or 0),
+                        ctx_used=sum(_int(tk.get(k)) for k in ("inputTokens", "outputTokens", "cacheWriteInputTokens")) + _int(tk.get("cacheReadInputTokens", tk.get("cachedTokens"))),
                     )
                     for g in op.get("logs") or [] if isinstance(op.get("logs"), list) else []:
                         if isinstance(g, dict):
