@@ -86,6 +86,14 @@ def _drop_all() -> None:
         _delete(*entry)
 
 
+def small_rows(df: DataFrame, limit: int, what: str) -> list:
+    """All rows of a table that must be small to be sent around; one row too many is an error, never a cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{what}: more than {limit} rows")
+    return rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Uses all cores where a table is stored in fewer splits than there are, which only a small one is.
 

@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomspan.operators import merge
 from loomspan.operators.rollups import bucket
+from loomspan.runtime import small_rows
 
+MAX_SUBSCRIPTIONS = 10_000
 #: A batch closes after this time or this many files, whichever is first.
 TRIGGER, FILES = "500 milliseconds", 1000
 
@@ -61,9 +63,10 @@ def notifications(batch: DataFrame, batch_id: int) -> DataFrame:
 
 def matching(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Feed lines for each subscriber; a NULL in a subscription matches everything."""
-    f, s = feed.alias("f"), subscriptions.alias("s")
+    small = subscriptions.sparkSession.createDataFrame(small_rows(subscriptions, MAX_SUBSCRIPTIONS, "subscriptions"), subscriptions.schema)
+    f, s = feed.alias("f"), small.alias("s")
     return f.join(
-        F.broadcast(s),  # live subscriptions of one server
+        F.broadcast(s),  # at most MAX_SUBSCRIPTIONS rows
         F.coalesce(F.col("s.source_id") == F.col("f.source_id"), F.lit(True)) & F.coalesce(F.col("s.kind") == F.col("f.kind"), F.lit(True)),
     ).select("s.subscriber", "f.kind", "f.source_id", "f.native_id", "f.ts_us")
 
