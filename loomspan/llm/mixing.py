@@ -24,8 +24,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.runtime import running_total, stage
+from loomspan.runtime import running_total, small_rows, stage
 
+#: Target sources, at most; multipliers and wanted tokens of that many are sent around.
+MAX_SOURCES = 100_000
 MAX_STEPS = 60
 TOLERANCE = 1e-9
 
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     aims = {
         (r["source"] or "").strip().lower(): (float(r["target_share"] or 0), int(r["max_repeats"] or 0))
-        for r in targets.select("source", "target_share", "max_repeats").collect()  # one row per source
+        for r in small_rows(targets.select("source", "target_share", "max_repeats"), MAX_SOURCES, "target sources")
     }
     base = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), normal_source("source").alias("source"), "n_tokens").where(
         F.col("source").isin(*aims) & (F.col("n_tokens") > 0)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.runtime import spread
+from loomspan.runtime import small_rows, spread
 
 TYPES = ("email", "phone", "national_id", "address", "name")
 #: Rows of a lexicon that may be sent to every worker.
@@ -425,9 +425,7 @@ def redact_message(message: str, lex: Lexicon, key: bytes, rewrite: bool = True)
 
 def read_lexicon(names: DataFrame) -> Lexicon:
     """The lexicon (name_part, part_kind), if it is small enough to be sent around."""
-    rows = names.select("name_part", "part_kind").limit(LEXICON_LIMIT + 1).collect()
-    if len(rows) > LEXICON_LIMIT:
-        raise ValueError(f"a name lexicon of more than {LEXICON_LIMIT} rows")
+    rows = small_rows(names.select("name_part", "part_kind"), LEXICON_LIMIT, "name lexicon")
     part = lambda k: frozenset(plain(r[0].strip()) for r in rows if r[0] and r[1] == k)
     return Lexicon(part("given"), part("family"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import conversations, mixing, packing, pii, quality, tokens
-from loomspan.runtime import stage, table
+from loomspan.runtime import small_rows, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,7 +46,7 @@ def _sizes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
 
 def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
     """The budgets, a fixed handful of rows."""
-    rows = table(spark, d, "pack_budgets").where("capacity_tokens > 0").collect()
+    rows = small_rows(table(spark, d, "pack_budgets").where("capacity_tokens > 0"), 1000, "budgets")
     return sorted((r["budget_name"], r["capacity_tokens"]) for r in rows)
 
 
