@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.sparkContext.setCheckpointDir(named)
         atexit.register(shutil.rmtree, named[7:], True)
