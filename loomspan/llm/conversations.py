@@ -230,13 +230,16 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["session_id"] == b["s_"]) & (a["agent_id"] == b["a_"])
 
 
-def examine(transcripts: DataFrame, chunk: int = CHUNK, keep_lines: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def examine(
+    transcripts: DataFrame, chunk: int = CHUNK, keep_lines: bool = False, flat: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """(verdicts, lines). verdicts: session_id, agent_id, n_lines, reason ('' if sound).
 
     lines (with ``keep_lines``): session_id, agent_id, line_id, links_up of the sound conversations.
+    ``flat`` is the staged result of ``symbols``, if the caller has it.
     """
     conv = ["session_id", "agent_id"]
-    flat = stage(symbols(transcripts))
+    flat = flat if flat is not None else stage(symbols(transcripts))
     large = flat.groupBy(*conv).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > chunk)
     large = large.select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"))
     cut = flat.join(large, _same(flat, large), "left").select(
@@ -374,7 +377,8 @@ def ordered(transcripts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Lines come after those they answer (links to the top, then sequence number);
     a line delivered twice comes once.
     """
-    _, lines = examine(transcripts, chunk, keep_lines=True)
+    flat = stage(symbols(transcripts))
+    _, lines = examine(transcripts, chunk, True, flat)
     numbered = running_total(lines.withColumn("one", F.lit(1).cast("bigint")), ["session_id", "agent_id"], ["links_up", "line_id"], "one", "turn_no")
-    roles = symbols(transcripts).select("line_id", "role", "symbol")
-    return numbered.join(roles, "line_id").select("session_id", "agent_id", "turn_no", "line_id", "role", "symbol")
+    roles = flat.select("session_id", "agent_id", "line_id", "role", "symbol").dropDuplicates(["session_id", "agent_id", "line_id"])
+    return numbered.join(roles, ["session_id", "agent_id", "line_id"]).select("session_id", "agent_id", "turn_no", "line_id", "role", "symbol")
