@@ -1,13 +1,18 @@
 """Nested records as related flat tables that keep their parent links.
 
 Each record is parsed in a stream into path-value-ordinal triples; a path that
-repeats within its parent (turns, steps, ops, ...) opens a group, so every triple
-belongs to its nearest repeated ancestor. Pivoting one group gives one flat
-table. Triples of a record come from one task in record order; only a pivot shuffles,
+repeats within its parent (turns, steps, ops, logs, ...) opens a group, so every
+triple belongs to its nearest repeated ancestor. Objects between them give dotted
+fields. Pivoting one group gives one flat table; what is no column of it is in
+``rest``, so no value of a record is lost. Triples of a record come from one task in record order; only a pivot shuffles,
 on (row, node), which no single record can skew beyond its own size.
 
 Defined results: absent, null and empty arrays and maps have no nodes; array
-elements that are no objects have none but count for positions; unreadable records
+elements of turns, steps, ops and references that are no objects have none but count
+for positions; both are values of their parent. An array of any other name opens a
+group named by its path, "op.logs[]", an element that is no object having the field
+"value". The value of a column and of a session attribute is one text, however
+nested. A second spelling of a column's field is in ``rest``. Unreadable records
 and NULL texts give nothing; a NULL row id is -1; repeated rows each give their nodes; extra
 columns are ignored; an empty table gives empty tables.
 """
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.bad_rows import known_id, ledger_record, plain_name, with_zone
@@ -31,13 +36,6 @@ _SCHEMA = (
 )
 _COLS = ["src_table", "row_id", "node_kind", "node_path", "parent_path", "ordinal", "field", "value"]
 
-#: Nested parts that are nodes of their own and no values of their parent.
-_OPENS = {
-    "session": ("turns", "steps", "attributes"),
-    "turn": ("ops",),
-    "step": ("ops",),
-    "op": ("childSession", "payloadRefs", "childSessions"),
-}
 # The documented fields of each kind of node, the columns of its table.
 FIELDS = {
     "session": ("id", "traceId", "agentId", "callPath", "sessionTitle", "startedAt", "endedAt", "success", "error", "latestStatus"),
@@ -45,10 +43,21 @@ FIELDS = {
     "step": ("id", "index", "startedAt", "endedAt", "kind"),
     "op": ("opId", "opIndex", "kind", "name", "status", "startedAt", "endedAt", "durationMs", "provider", "model", "error"),
     "attribute": ("value",),
-    "payload_ref": ("kind", "opId", "format", "compression", "path", "sha256", "originalBytes", "captured", "truncated", "redacted"),
+    "payload_ref": ("kind", "opId", "turn", "opIndex", "format", "compression", "path", "sha256", "originalBytes", "captured", "truncated", "redacted"),
     "child_session": ("sessionId", "originId", "parentSessionId", "parentOpId", "status", "agentId", "callPath", "ledgerPath"),
 }
-_KNOWN = {kind: {plain_name(f): f for f in names} for kind, names in FIELDS.items()}
+#: The same of what lies around the nodes and of the documented arrays below them.
+GROUPS = {
+    "record": ("version", "reason", "recordType", "seq", "ts", "originId", "sessionId", "turn", "status"),
+    "op.logs[]": ("timestamp", "severity", "message", "path"),
+    "op.accounting[]": (
+        "type", "provider", "model", "costUsd", "tokens.inputTokens", "tokens.outputTokens", "charactersIn", "charactersOut", "mcpServer", "command",
+    ),
+    "record.warnings[]": ("value",),
+    "record.errors[]": ("value",),
+}
+_COLUMNS = FIELDS | GROUPS
+_KNOWN = {kind: {plain_name(f): f for f in names} for kind, names in _COLUMNS.items()}
 
 Triple = tuple[str, str, str, int, str | None, str | None]
 
@@ -63,12 +72,45 @@ def _text(v: Any) -> str | None:
     return json.dumps(v, ensure_ascii=False)
 
 
-def _node(kind: str, path: str, parent: str, k: int, obj: dict) -> Iterator[Triple]:
-    yield kind, path, parent, k, None, None
-    opens = _OPENS.get(kind, ())
+def _named(kind: str, obj: dict) -> Iterator[tuple[str, Any]]:
+    """Fields under their documented spelling; where two would share one, the later keeps its own."""
+    taken = set(obj)
     for name, v in obj.items():
-        if name not in opens:
-            yield kind, path, parent, k, _KNOWN[kind].get(plain_name(name), name), _text(v)
+        as_ = _KNOWN.get(kind, {}).get(plain_name(name), name)
+        if as_ != name and as_ in taken:
+            as_ = name
+        taken.add(as_)
+        yield as_, v
+
+
+def _left(obj: dict, lists: tuple[str, ...], maps: tuple[str, ...]) -> dict:
+    """The values of a node: all but the parts that are nodes of their own."""
+    out = {}
+    for name, v in obj.items():
+        if name in lists and isinstance(v, list) and v:
+            out |= {f"{name}[{k}]": x for k, x in enumerate(v) if not isinstance(x, dict)}
+        elif name not in maps or not isinstance(v, dict) or (not v and name == "attributes"):
+            out[name] = v
+    return out
+
+
+def _node(kind: str, path: str, parent: str, k: int, obj: dict, values: bool = True) -> Iterator[Triple]:
+    """A node, its fields and the nodes of the arrays below it; an explicit stack, so any depth."""
+    yield kind, path, parent, k, None, None
+    stack = [(kind, path, parent, k, f, v) for f, v in _named(kind, obj)] if values else []
+    while stack:
+        kind, path, parent, k, field, v = stack.pop()
+        if not v or not isinstance(v, (dict, list)) or field in _COLUMNS.get(kind, ()):
+            yield kind, path, parent, k, field, _text(v)
+        elif isinstance(v, dict):
+            stack += [(kind, path, parent, k, f"{field}.{f}", x) for f, x in v.items()]
+        else:
+            group = f"{kind}.{field}[]"
+            for j, x in enumerate(v):
+                at = f"{path}.{field}[{j}]" if path else f"{field}[{j}]"
+                yield group, at, path, j, None, None
+                fields = _named(group, x) if isinstance(x, dict) else [("value", x)]
+                stack += [(group, at, path, j, f, y) for f, y in fields]
 
 
 def _list(obj: dict, name: str) -> Iterator[tuple[int, dict]]:
@@ -79,37 +121,35 @@ def _list(obj: dict, name: str) -> Iterator[tuple[int, dict]]:
                 yield k, x
 
 
-def session_triples(tree: dict) -> Iterator[Triple]:
+def session_triples(tree: dict, values: bool = True) -> Iterator[Triple]:
     """All nodes of an opTree; an explicit stack, so any depth of child sessions."""
     stack: list[tuple[str, str, dict]] = [("opTree", "", tree)]
     while stack:
         path, parent, s = stack.pop()
-        yield from _node("session", path, parent, 0, s)
+        yield from _node("session", path, parent, 0, _left(s, ("turns", "steps"), ("attributes",)), values)
         attrs = s.get("attributes")
         if isinstance(attrs, dict):
             for k, (name, v) in enumerate(attrs.items()):
-                p = f"{path}.attributes.{name}"
-                yield "attribute", p, path, k, None, None
-                yield "attribute", p, path, k, "value", _text(v)
+                yield from _node("attribute", f"{path}.attributes.{name}", path, k, {"value": v}, values)
         for part, kind in (("turns", "turn"), ("steps", "step")):
             for k, t in _list(s, part):
                 at = f"{path}.{part}[{k}]"
-                yield from _node(kind, at, path, k, t)
+                yield from _node(kind, at, path, k, _left(t, ("ops",), ()), values)
                 for j, op in _list(t, "ops"):
                     here = f"{at}.ops[{j}]"
-                    yield from _node("op", here, at, j, op)
+                    yield from _node("op", here, at, j, _left(op, (), ("childSession",)), values)
                     if isinstance(child := op.get("childSession"), dict):
                         stack.append((f"{here}.childSession", here, child))
 
 
-def turn_triples(line: dict) -> Iterator[Triple]:
+def turn_triples(line: dict, values: bool = True) -> Iterator[Triple]:
     """All nodes below the ops of a turn_end line."""
     for k, op in _list(line, "ops"):
         at = f"ops[{k}]"
-        yield from _node("op", at, "", k, op)
+        yield from _node("op", at, "", k, _left(op, ("payloadRefs", "childSessions"), ()), values)
         for part, kind in (("payloadRefs", "payload_ref"), ("childSessions", "child_session")):
             for j, x in _list(op, part):
-                yield from _node(kind, f"{at}.{part}[{j}]", at, j, x)
+                yield from _node(kind, f"{at}.{part}[{j}]", at, j, x, values)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -119,7 +159,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def snapshot_triples(snapshots: DataFrame, values: bool = True) -> DataFrame:
     """Path-value-ordinal triples; a triple without a field stands for the node itself.
 
-    ``values=False`` leaves out the triples with fields already in the parser.
+    ``values=False`` leaves out the triples with fields, and the further groups, already in the parser.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,8 +167,10 @@ def snapshot_triples(snapshots: DataFrame, values: bool = True) -> DataFrame:
             rows = []
             for rid, text in zip(b["row_id"], b["raw_text"]):
                 obj, _ = one_json_object(text) if isinstance(text, str) else (None, None)
+                if obj and values:
+                    rows += [("snapshot_files", rid, *t) for t in _node("record", "", "", 0, _left(obj, (), ("opTree",)))]
                 if obj and isinstance(tree := obj.get("opTree"), dict):
-                    rows += [("snapshot_files", rid, *t) for t in session_triples(tree) if values or t[4] is None]
+                    rows += [("snapshot_files", rid, *t) for t in session_triples(tree, values)]
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []
@@ -148,7 +190,9 @@ def ledger_triples(ledger: DataFrame, sources: DataFrame, values: bool = True) -
                     continue
                 obj, _ = ledger_record(text, tz if isinstance(tz, str) else None)
                 if obj and "turn_end" in (obj.get("recordType"), *(obj[k] for k in obj if plain_name(k) == "recordtype")):
-                    rows += [("ledger_lines", rid, *t) for t in turn_triples(obj) if values or t[4] is None]
+                    if values:
+                        rows += [("ledger_lines", rid, *t) for t in _node("record", "", "", 0, _left(obj, ("ops",), ()))]
+                    rows += [("ledger_lines", rid, *t) for t in turn_triples(obj, values)]
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []
@@ -158,12 +202,25 @@ def ledger_triples(ledger: DataFrame, sources: DataFrame, values: bool = True) -
 
 
 def nodes(triples: DataFrame) -> DataFrame:
-    """One row per node."""
-    return triples.where("field is null").drop("field", "value")
+    """One row per node of the kinds in FIELDS."""
+    return triples.where(F.col("field").isNull() & F.col("node_kind").isin(*FIELDS)).drop("field", "value")
+
+
+def _pairs(keep: Column) -> Column:
+    """The (field, value) pairs as an array; a map could not hold those of a row that is there twice."""
+    return F.array_sort(F.collect_list(F.when(F.col("field").isNotNull() & keep, F.struct("field", "value")))).alias("rest")
 
 
 def pivot_group(triples: DataFrame, kind: str) -> DataFrame:
-    """The flat table of one kind of node, its documented fields as columns."""
+    """The flat table of one kind of node, its documented fields as columns, all others in ``rest``."""
     t = triples.where(F.col("node_kind") == kind)
-    named = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f.lower() if f != "value" else "value_json") for f in FIELDS[kind]]
-    return t.groupBy("src_table", "row_id", "node_path", "parent_path", "ordinal").agg(*named)
+    column = lambda f: "value_json" if f == "value" else f.replace(".", "_").lower()
+    named = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(column(f)) for f in _COLUMNS[kind]]
+    rest = _pairs(~F.col("field").isin(*_COLUMNS[kind]))
+    return t.groupBy("src_table", "row_id", "node_path", "parent_path", "ordinal").agg(*named, rest)
+
+
+def pivot_rest(triples: DataFrame) -> DataFrame:
+    """The nodes of all arrays that have no table of their own, documented or not."""
+    t = triples.where(F.col("node_kind").endswith("[]") & ~F.col("node_kind").isin(*GROUPS))
+    return t.groupBy("src_table", "row_id", "node_kind", "node_path", "parent_path", "ordinal").agg(_pairs(F.lit(True)))

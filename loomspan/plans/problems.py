@@ -46,16 +46,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.nodes(t).drop("ordinal")
 
 
+def _triples(spark: SparkSession, d: str, ledger: bool = True) -> DataFrame:
+    t = flatten.snapshot_triples(table(spark, d, "snapshot_files"))
+    return t.unionByName(flatten.ledger_triples(table(spark, d, "ledger_lines"), table(spark, d, "sources"))) if ledger else t
+
+
 def _flat(kind: str) -> Query:
     def q(spark: SparkSession, d: str) -> DataFrame:
-        t = flatten.snapshot_triples(table(spark, d, "snapshot_files"))
-        if kind in ("op", "payload_ref", "child_session"):
-            t = t.unionByName(flatten.ledger_triples(table(spark, d, "ledger_lines"), table(spark, d, "sources")))
-        return flatten.pivot_group(t, kind)
+        return flatten.pivot_group(_triples(spark, d, kind not in ("session", "turn", "step", "attribute")), kind)
 
     return q
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every array element without a table of its own, with all its values."""
+    return flatten.pivot_rest(_triples(spark, d))
+
+
 def _times(spark: SparkSession, d: str) -> DataFrame:
     return instants.project_times(
         *[table(spark, d, t) for t in ("transcript_lines", "ledger_lines", "snapshot_files", "sessions", "sources")]
@@ -214,10 +221,13 @@ select row_id, reason from h where reason is not null"""
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p3_groups, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
 QUERIES |= {f"p3_{kind}s": _flat(kind) for kind in flatten.FIELDS}
+QUERIES |= {f"p3_{name}": _flat(kind) for name, kind in (
+    ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),
+)}
 SQL: dict[str, str] = {
     "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p3_snapshot_nodes": P3_SNAPSHOT_SQL,
     "p4_session_starts": P4_SESSIONS_SQL, "p7_export_faults": P7_EXPORT_SQL,

@@ -229,3 +229,30 @@ def test_nodes(spark):
     t = flatten.ledger_triples(led, sources(spark))
     assert sorted(r["node_path"] for r in flatten.nodes(t).collect()) == ["ops[0]", "ops[0].childSessions[0]", "ops[0].payloadRefs[0]", "ops[0].payloadRefs[1]", "ops[1]"]
     assert flatten.pivot_group(t, "payload_ref").where(F.col("kind") == "x").count() == 1
+
+
+def test_flat_tables_keep_every_value(spark):
+    op = {
+        "opId": "1", "op_id": "respelled", "state": "ok", "budget": None, "attributes": {"a": {"b": 1}}, "payloadRefs": ["r"], "childSession": 5,
+        "logs": [{"message": "hello", "extra": [[7]]}, "bare"], "accounting": [{"costUsd": 0.5, "tokens": {"inputTokens": 3, "cached": 4}}],
+    }
+    snap = spark.createDataFrame([(1, json.dumps({"version": 2, "opTree": {"turns": [{"ops": [op, 6]}], "steps": {"odd": 8}}}))], "row_id bigint, raw_text string")
+    led_line = line(recordType="turn_end", status="ok", warnings=["w"], shard=9, ops=[{"payloadRefs": [{"turn": 2, "opIndex": 3, "compressedBytes": 4}]}])
+    led = spark.createDataFrame([(2, "s1", "f", 1, led_line, "c", "c", 0)], LEDGER)
+    t = flatten.snapshot_triples(snap).unionByName(flatten.ledger_triples(led, sources(spark))).cache()
+    flat = {k: [r.asDict(True) for r in flatten.pivot_group(t, k).orderBy("row_id", "node_path").collect()] for k in [*flatten.FIELDS, *flatten.GROUPS]}
+    rest = lambda r: {x["field"]: x["value"] for x in r["rest"]}
+    at = "opTree.turns[0].ops[0]"
+    assert flat["op"][0]["opid"] == "1"
+    assert rest(flat["op"][0]) == {"op_id": "respelled", "state": "ok", "budget": None, "attributes.a.b": "1", "childSession": "5"}
+    assert [(r["node_path"], r["parent_path"], r["message"], rest(r)) for r in flat["op.logs[]"]] == [(f"{at}.logs[0]", at, "hello", {}), (f"{at}.logs[1]", at, None, {"value": "bare"})]
+    assert [(r["costusd"], r["tokens_inputtokens"], rest(r)) for r in flat["op.accounting[]"]] == [("0.5", "3", {"tokens.cached": "4"})]
+    assert rest(flat["turn"][0]) == {"ops[1]": "6"} and rest(flat["session"][0]) == {"steps.odd": "8"}
+    assert [(r["turn"], r["opindex"], rest(r)) for r in flat["payload_ref"]] == [("2", "3", {"compressedBytes": "4"})]
+    assert [(r["version"], r["status"], rest(r)) for r in flat["record"]] == [("2", None, {}), ("3", "ok", {"shard": "9"})]
+    assert [(r["value_json"], r["parent_path"]) for r in flat["record.warnings[]"]] == [("w", "")]
+    groups = {r["node_path"]: (r["node_kind"], rest(r.asDict(True))) for r in flatten.pivot_rest(t).collect()}
+    assert groups == {
+        f"{at}.payloadRefs[0]": ("op.payloadRefs[]", {"value": "r"}), f"{at}.logs[0].extra[0]": ("op.logs[].extra[]", {}),
+        f"{at}.logs[0].extra[0].value[0]": ("op.logs[].extra[].value[]", {"value": "7"}),
+    }
