@@ -29,12 +29,12 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("src_table", "field_path", "change_kind").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _consistent(src: str) -> Query:
+def _consistent(src: str, at: str | None = None) -> Query:
     def q(spark: SparkSession, d: str) -> DataFrame:
         key = {"snapshot_files": "snapshots", "ledger_lines": "ledger", "legacy_rollouts": "rollouts", "transcript_lines": "transcripts"}[src]
         rows, sources, base = (table(spark, d, t) for t in (src, "sources", "schema_baseline"))
         found = drift.changes(drift.file_schemas(**{key: rows, "sources": sources}), base)
-        return drift.consistent_table(rows, src, found, base, sources)
+        return drift.consistent_table(rows, src, found, base, sources, at)
 
     return q
 
@@ -224,6 +224,10 @@ QUERIES: dict[str, Query] = {
     for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p3_groups, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
+QUERIES |= {f"p1_{k}_table": _consistent(t, at) for k, t, at in (
+    ("snapshot_turns", "snapshot_files", "opTree.turns[]"), ("snapshot_ops", "snapshot_files", "opTree.turns[].ops[]"),
+    ("ledger_ops", "ledger_lines", "turn_end.ops[]"), ("rollout_items", "legacy_rollouts", "items[]"),
+)}
 QUERIES |= {f"p3_{kind}s": _flat(kind) for kind in flatten.FIELDS}
 QUERIES |= {f"p3_{name}": _flat(kind) for name, kind in (
     ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),

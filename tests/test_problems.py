@@ -197,6 +197,33 @@ def test_drift_kinds(spark):
     assert drift.changes(drift.file_schemas(rollouts=raw.limit(0), sources=sources(spark)), base).count() == 0
 
 
+def test_consistent_tables_keep_all_fields_and_repeated_paths(spark):
+    base = [("legacy_rollouts", "session.n", "integer", 1), ("legacy_rollouts", "session.ok", "boolean", 0)]
+    rows = [
+        ("renamed", {"session": {"id": "1", "cwd": "/", "n": 12.7, "ok": "true"}, "items": [{"kind": "m", "name": "x"}, {"kind": "n", "shard": 1.50}]}),
+        ("entries", {"session": {"id": "1", "cwd": "/", "n": "12", "extra": {"a": 1}}, "entries": [{"type": "m"}], "budget": None}),
+        ("huge", {"session": {"id": "1", "cwd": "/", "n": 2**63, "ok": 1}, "items": []}),
+    ]
+    raw = spark.createDataFrame([(i, "s1", k, json.dumps(v)) for i, (k, v) in enumerate(rows)], "row_id bigint, source_id string, file_name string, raw_text string")
+    doc = spark.createDataFrame(BASE + base, "src_table string, field_path string, json_types string, is_required int")
+    found = drift.changes(drift.file_schemas(rollouts=raw, sources=sources(spark)), doc).cache()
+    pairs = lambda x: {y["field"]: y["value"] for y in x}
+    t = {r["file_key"]: r for r in drift.consistent_table(raw, "legacy_rollouts", found, doc, sources(spark)).collect()}
+    assert {k: (r["session_n"], r["session_ok"], pairs(r["rest"]), pairs(r["originals"])) for k, r in t.items()} == {
+        "renamed": (None, True, {}, {"session.n": "12.7"}), "entries": (12, None, {"session.extra": '{"a": 1}', "budget": None}, {}),
+        "huge": (None, None, {}, {"session.n": str(2**63), "session.ok": "1"}),
+    }
+    items = drift.consistent_table(raw, "legacy_rollouts", found, doc, sources(spark), "items[]").collect()
+    assert sorted((r["file_key"], r["node_path"], r["type"], r["name"], *pairs(r["rest"]).items()) for r in items) == [
+        ("entries", "items[0]", "m", None), ("renamed", "items[0]", "m", "x"), ("renamed", "items[1]", "n", None, ("items[].shard", "1.5")),
+    ]
+
+
+@pytest.mark.parametrize("v, want", [("12", 12), (12.0, 12), ("1e3", 1000), (12.7, None), ("1_0", None), (" 1", None), (True, None), ("1e999999999999999999999", None), (-(2**63), -(2**63)), (0, 0)])
+def test_exact_casts(v, want):
+    assert drift._cast(v, "bigint") == want
+
+
 def test_flooding_prefers_the_like_name():
     t = lambda x: frozenset([x])
     left = (("u", "input_tokens", t("integer")), ("u", "output_tokens", t("integer")))
