@@ -92,6 +92,35 @@ def stats_by_tool(spark: SparkSession, d: str) -> DataFrame:
     return stats.by_tool(x.ops, filters.apply(x.sessions, SCOPE))
 
 
+def _of_all(scoped: Query) -> Callable[[Query], Query]:
+    """Registers the same query over the sessions of all agents, with its SQL."""
+
+    def add(q: Query) -> Query:
+        QUERIES[q.__name__] = q
+        SQL[q.__name__] = SQL[scoped.__name__].replace(SCOPE_SQL, "select id from sessions_")
+        return q
+
+    return add
+
+
+@_of_all(stats_totals)
+def stats_totals_all(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return stats.totals(x.sessions, x.ops, ALL)
+
+
+@_of_all(stats_by_model)
+def stats_by_model_all(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return stats.by_model(x.ops, filters.apply(x.sessions, ALL))
+
+
+@_of_all(stats_by_tool)
+def stats_by_tool_all(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return stats.by_tool(x.ops, filters.apply(x.sessions, ALL))
+
+
 @query(
     """select coalesce(nullif(error_class, ''), 'unknown') as error_class, count(*) as sessions
 from recorded_ where status = 'failed' group by 1 order by 2 desc, 1 limit 50"""

@@ -283,3 +283,13 @@ def test_stream_equals_batch(spark, tmp_path):
     subs = spark.createDataFrame([("all", None, None), ("none", "other", None), ("stats", None, "stats_invalidated")], "subscriber string, source_id string, kind string")
     got = {r["subscriber"]: r["n"] for r in ingest.coalesced(ingest.matching(feed, subs)).groupBy("subscriber").agg(F.sum("n").alias("n")).collect()}
     assert got == {"all": 4, "stats": 1}
+
+
+def test_totals_of_all_agents(spark):
+    from loomspan import domain
+    from loomspan.plans import analytics
+
+    d = "/root/testdata/sf0.001"
+    scoped, all_ = (analytics.QUERIES[q](spark, d).first() for q in ("stats_totals", "stats_totals_all"))
+    assert all_["sessions"] == domain.load(spark, d).sessions.count() > scoped["sessions"]
+    assert all_["ops"] > scoped["ops"]
