@@ -98,6 +98,15 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.full_paths(r).select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("full_path"))
 
 
+def p2_full_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The same in both forests, with the source."""
+    r = stage(hierarchy.session_forest(table(spark, d, "sessions"), table(spark, d, "expected_events")))
+    # the last part of a key is the id, as in node_id
+    ids = F.transform("path", lambda x: F.element_at(F.split(x, hierarchy.SEP), -1))
+    paths = hierarchy.full_paths(r).select("node", F.array_join(ids, "/").alias("full_path"))
+    return r.join(paths, "node").select("src_table", "source_id", "node_id", "full_path")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return bad_rows.all_faults(
         *[table(spark, d, t) for t in ("ledger_lines", "legacy_rollouts", "session_export", "sources")]
@@ -166,6 +175,16 @@ paths as (
   select f.node, p.full_path || '/' || f.node from paths p join fixed f on f.src_table = 'sessions' and f.parent = p.node)
 select node as node_id, full_path from paths"""
 
+P2_FULL_PATHS_SQL = f"""with recursive {_LINKS_SQL},
+paths as (
+  select src_table, node, case when src_table = 'sessions' then node else split_part(node, chr(31), 2) end as full_path from fixed where parent is null
+  union all
+  select f.src_table, f.node, p.full_path || '/' || case when f.src_table = 'sessions' then f.node else split_part(f.node, chr(31), 2) end
+  from paths p join fixed f on f.src_table = p.src_table and f.parent = p.node)
+select p.src_table, case when p.src_table = 'sessions' then src.source_id else split_part(p.node, chr(31), 1) end as source_id,
+  case when p.src_table = 'sessions' then p.node else split_part(p.node, chr(31), 2) end as node_id, p.full_path
+from paths p left join src on p.src_table = 'sessions' and src.node = p.node"""
+
 def p3_snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The snapshot part of p3_found."""
     t = flatten.snapshot_triples(table(spark, d, "snapshot_files"), values=False)
@@ -221,7 +240,7 @@ select row_id, reason from h where reason is not null"""
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p3_groups, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p3_groups, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p2_full_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
 QUERIES |= {f"p1_{k}_table": _consistent(t, at) for k, t, at in (
@@ -233,6 +252,6 @@ QUERIES |= {f"p3_{name}": _flat(kind) for name, kind in (
     ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),
 )}
 SQL: dict[str, str] = {
-    "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p3_snapshot_nodes": P3_SNAPSHOT_SQL,
+    "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p2_full_paths": P2_FULL_PATHS_SQL, "p3_snapshot_nodes": P3_SNAPSHOT_SQL,
     "p4_session_starts": P4_SESSIONS_SQL, "p7_export_faults": P7_EXPORT_SQL,
 }

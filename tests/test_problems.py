@@ -102,6 +102,15 @@ def test_hierarchy_against_brute_force(spark, seed):
     assert got == {(a, k, len(v[2]) - 1 - v[2].index(a)) for a in ask for k, v in want.items() if len(v) == 3 and a in v[2] and a != k}
 
 
+def test_full_paths_of_both_forests(spark):
+    from loomspan.plans import problems
+
+    r = problems.p2_full_paths(spark, "/root/testdata/sf0.001").cache()
+    assert {x["src_table"] for x in r.select("src_table").distinct().collect()} == {"sessions", "expected_events"}
+    assert r.where("src_table = 'expected_events' and instr(full_path, '/') > 0").count() > 0
+    assert r.where("not endswith(full_path, node_id)").count() == 0
+
+
 def test_hierarchy_of_nothing(spark):
     s = spark.createDataFrame([], "id string, source_id string, parent_session_id string, ingested_at timestamp, row_id bigint, node string, ptr string")
     e = spark.createDataFrame([], "event_id bigint, kind string, payload string, size int")
