@@ -23,6 +23,9 @@ class Reading(NamedTuple):
 #: with slashes, day first with dots, first of two equal wall-clock hours). It
 #: is above twice the highest cost of one step, so order alone can't outweigh it.
 AGAINST = 6.0
+#: What an abbreviation costs in the sense of another zone than the writer's, where it has one in the writer's; no convention
+#: speaks for either, so one jump back in time that it spares outweighs it. ``RARER`` orders senses that are otherwise equal.
+STRANGE, RARER = 0.9, 0.01
 
 # Zone abbreviations with their offsets in minutes.
 ABBREVIATIONS = {
@@ -34,19 +37,19 @@ ABBREVIATIONS = {
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
 _ISO = re.compile(
-    r"(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?)?"
+    r"(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?"
     r"\s*([Zz]|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{2,5})?(?:\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\])?"
 )
-_COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d{1,12}))?([Zz]|[+-]\d{2}:?\d{2})?")
+_COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d+))?([Zz]|[+-]\d{2}:?\d{2})?")
 _MAIL = re.compile(
     r"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{2}):(\d{2})(?::(\d{2}))?"
     r"\s*([+-]\d{4}|[A-Z]{1,5})?"
 )
 _PARTED = re.compile(
-    r"(\d{1,2})([/.])(\d{1,2})\2(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?\s*([AaPp][Mm])?)?"
+    r"(\d{1,2})([/.])(\d{1,2})\2(\d{4})(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([AaPp][Mm])?)?"
     r"\s*([Zz]|[+-]\d{2}:?\d{2}|[A-Z]{3,5})?"
 )
-_NUMBER = re.compile(r"(\d{9,20})(?:\.(\d{1,12}))?")
+_NUMBER = re.compile(r"(\d{9,20})(?:\.(\d+))?")
 _UNITS = (("s", 1_000_000, 1), ("ms", 1_000, 1), ("us", 1, 1), ("ns", 1, 1_000))
 
 
@@ -82,6 +85,14 @@ def _at_wall_clock(us: int, tz: ZoneInfo) -> list[int]:
     return sorted(found)
 
 
+def _offset(us: int, tz: str | None) -> int | None:
+    """Minutes by which clocks of the zone are ahead at a UTC instant."""
+    z = zone(tz) if tz else None
+    if z is None:
+        return None
+    return int((_EPOCH + timedelta(microseconds=us)).replace(tzinfo=timezone.utc).astimezone(z).utcoffset().total_seconds()) // 60
+
+
 def _zoned(form: str, us: int | None, mark: str | None, named: str | None, tz: str | None, cost: float = 0.0) -> list[Reading]:
     if us is None:
         return []
@@ -96,7 +107,9 @@ def _zoned(form: str, us: int | None, mark: str | None, named: str | None, tz: s
         offsets = ABBREVIATIONS.get(mark)
         if offsets is None:
             return []
-        return [Reading(form + "a", us - o * 60_000_000, cost + AGAINST * (k > 0)) for k, o in enumerate(offsets)]
+        at = [us - o * 60_000_000 for o in offsets]
+        own = [len(at) > 1 and _offset(u, tz) == o for u, o in zip(at, offsets)]
+        return [Reading(form + "a", u, cost + RARER * k + STRANGE * (any(own) and not own[k])) for k, u in enumerate(at)]
     z = zone(named or tz or "UTC") or (None if named else zone("UTC"))
     if z is None:
         return []
@@ -110,7 +123,7 @@ def readings(text: str, tz: str | None) -> list[Reading]:
     text has no zone information. Digits finer than a microsecond are cut off.
     """
     s = text.strip()
-    if not s or len(s) > 64:
+    if not s:
         return []
     out: list[Reading] = []
     if m := _NUMBER.fullmatch(s):

@@ -12,14 +12,14 @@ elements of turns, steps, ops and references that are no objects have none but c
 for positions; both are values of their parent. An array of any other name opens a
 group named by its path, "op.logs[]", an element that is no object having the field
 "value". The value of a column and of a session attribute is one text, however
-nested. A second spelling of a column's field is in ``rest``. Unreadable records
+nested, as it is written. A second spelling of a column's field is in ``rest``; a name
+that is twice in one object gives both values. Unreadable records
 and NULL texts give nothing; a NULL row id is -1; repeated rows each give their nodes; extra
 columns are ignored; an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators.bad_rows import known_id, ledger_record, plain_name, with_zone
+from loomspan.operators.bad_rows import known_id, ledger_of, plain_name, record_kind, with_zone
 from loomspan.runtime import spread
-from loomspan.sources.grammar import Decimal64, one_json_object
+from loomspan.sources.grammar import OPEN, VALUE, SyntaxStop, json_text, stream
 
 _SCHEMA = (
     "src_table string, row_id bigint, node_kind string, node_path string, parent_path string, ordinal int, field string, value string"
@@ -61,95 +61,194 @@ _KNOWN = {kind: {plain_name(f): f for f in names} for kind, names in _COLUMNS.it
 
 Triple = tuple[str, str, str, int, str | None, str | None]
 
+# Which part of which node is a node of a kind of its own; a session is one object, all others are arrays of them.
+SNAPSHOT = {
+    ("record", "opTree"): "session", ("session", "turns"): "turn", ("session", "steps"): "step", ("turn", "ops"): "op",
+    ("step", "ops"): "op", ("op", "childSession"): "session", ("session", "attributes"): "attribute",
+}
+LEDGER = {("record", "ops"): "op", ("op", "payloadRefs"): "payload_ref", ("op", "childSessions"): "child_session"}
+
 
 def _text(v: Any) -> str | None:
-    if v is None:
+    return v if v is None or isinstance(v, str) else json_text(v)
+
+
+class _At:
+    """An open object or array while a record streams by: to which node it belongs and where in it it stands."""
+
+    __slots__ = ("role", "kind", "path", "parent", "ordinal", "prefix", "n", "start", "respelt")
+
+    def __init__(self, role: int, kind: str, path: str, parent: str, ordinal: int, prefix: str = "", start: int = 0) -> None:
+        self.role, self.kind, self.path, self.parent, self.ordinal, self.prefix, self.start = role, kind, path, parent, ordinal, prefix, start
+        self.n = 0
+        self.respelt: dict[str, int] | None = None
+
+
+#: An object whose members are fields; an array of nodes; a map of nodes; an array that is a group; a value kept as one text.
+FIELDS_OF, NODES, MAP, GROUP, TEXT = range(5)
+
+
+def triples(text: str, opens: dict[tuple[str, str], str], values: bool = True) -> tuple[list[Triple], dict] | None:
+    """(path-value-ordinal triples, members of the record itself) of a text that is exactly one object, else None.
+
+    The record is never built: each event of the grammar goes to the node of the innermost repeated ancestor
+    that is open. Members that are objects or arrays are empty ones in the second result.
+    """
+    out: list[Triple] = []
+    top: dict[str, Any] = {}
+    stack: list[_At] = []
+    end = i = len(text) - len(text.lstrip(" \t\n\r"))
+    if text[i : i + 1] != "{":
         return None
-    if isinstance(v, str):
-        return v
-    if isinstance(v, Decimal64):
-        return v.text
-    return json.dumps(v, ensure_ascii=False)
-
-
-def _named(kind: str, obj: dict) -> Iterator[tuple[str, Any]]:
-    """Fields under their documented spelling; where two would share one, the later keeps its own."""
-    taken = set(obj)
-    for name, v in obj.items():
-        as_ = _KNOWN.get(kind, {}).get(plain_name(name), name)
-        if as_ != name and as_ in taken:
-            as_ = name
-        taken.add(as_)
-        yield as_, v
-
-
-def _left(obj: dict, lists: tuple[str, ...], maps: tuple[str, ...]) -> dict:
-    """The values of a node: all but the parts that are nodes of their own."""
-    out = {}
-    for name, v in obj.items():
-        if name in lists and isinstance(v, list) and v:
-            out |= {f"{name}[{k}]": x for k, x in enumerate(v) if not isinstance(x, dict)}
-        elif name not in maps or not isinstance(v, dict) or (not v and name == "attributes"):
-            out[name] = v
-    return out
-
-
-def _node(kind: str, path: str, parent: str, k: int, obj: dict, values: bool = True) -> Iterator[Triple]:
-    """A node, its fields and the nodes of the arrays below it; an explicit stack, so any depth."""
-    yield kind, path, parent, k, None, None
-    stack = [(kind, path, parent, k, f, v) for f, v in _named(kind, obj)] if values else []
-    while stack:
-        kind, path, parent, k, field, v = stack.pop()
-        if not v or not isinstance(v, (dict, list)) or field in _COLUMNS.get(kind, ()):
-            yield kind, path, parent, k, field, _text(v)
-        elif isinstance(v, dict):
-            stack += [(kind, path, parent, k, f"{field}.{f}", x) for f, x in v.items()]
-        else:
-            group = f"{kind}.{field}[]"
-            for j, x in enumerate(v):
-                at = f"{path}.{field}[{j}]" if path else f"{field}[{j}]"
-                yield group, at, path, j, None, None
-                fields = _named(group, x) if isinstance(x, dict) else [("value", x)]
-                stack += [(group, at, path, j, f, y) for f, y in fields]
-
-
-def _list(obj: dict, name: str) -> Iterator[tuple[int, dict]]:
-    v = obj.get(name)
-    if isinstance(v, list):
-        for k, x in enumerate(v):
-            if isinstance(x, dict):
-                yield k, x
-
-
-def session_triples(tree: dict, values: bool = True) -> Iterator[Triple]:
-    """All nodes of an opTree; an explicit stack, so any depth of child sessions."""
-    stack: list[tuple[str, str, dict]] = [("opTree", "", tree)]
-    while stack:
-        path, parent, s = stack.pop()
-        yield from _node("session", path, parent, 0, _left(s, ("turns", "steps"), ("attributes",)), values)
-        attrs = s.get("attributes")
-        if isinstance(attrs, dict):
-            for k, (name, v) in enumerate(attrs.items()):
-                yield from _node("attribute", f"{path}.attributes.{name}", path, k, {"value": v}, values)
-        for part, kind in (("turns", "turn"), ("steps", "step")):
-            for k, t in _list(s, part):
-                at = f"{path}.{part}[{k}]"
-                yield from _node(kind, at, path, k, _left(t, ("ops",), ()), values)
-                for j, op in _list(t, "ops"):
-                    here = f"{at}.ops[{j}]"
-                    yield from _node("op", here, at, j, _left(op, (), ("childSession",)), values)
-                    if isinstance(child := op.get("childSession"), dict):
-                        stack.append((f"{here}.childSession", here, child))
-
-
-def turn_triples(line: dict, values: bool = True) -> Iterator[Triple]:
-    """All nodes below the ops of a turn_end line."""
-    for k, op in _list(line, "ops"):
-        at = f"ops[{k}]"
-        yield from _node("op", at, "", k, _left(op, ("payloadRefs", "childSessions"), ()), values)
-        for part, kind in (("payloadRefs", "payload_ref"), ("childSessions", "child_session")):
-            for j, x in _list(op, part):
-                yield from _node(kind, f"{at}.{part}[{j}]", at, j, x, values)
+    owner = _At(FIELDS_OF, "record", "", "", 0)
+    if values:
+        out.append(("record", "", "", 0, None, None))
+
+    def field(at: _At, name: str, value: Any) -> None:
+        """A value of the node ``at`` belongs to; at its top a respelt name stands for the documented one that is not there."""
+        if not at.prefix:
+            as_ = _KNOWN.get(at.kind, _NONE).get(plain_name(name), name)
+            if as_ != name:
+                if at.respelt is None:
+                    at.respelt = {}
+                if as_ not in at.respelt:
+                    at.respelt[as_] = len(out)
+                    name = as_
+            elif at.respelt is not None and name in at.respelt:
+                k = at.respelt[name]
+                if k >= 0:  # the documented name comes later: the respelt one keeps its own
+                    out[k] = (*out[k][:4], at_names.pop(k), out[k][5])
+                at.respelt[name] = -1
+            elif name in _COLUMNS.get(at.kind, ()):
+                if at.respelt is None:
+                    at.respelt = {}
+                at.respelt[name] = -1
+        out.append((at.kind, at.path, at.parent, at.ordinal, at.prefix + name, value))
+
+    at_names: dict[int, str] = {}
+    try:
+        for what, name, v, pos in stream(text, i):
+            if what == OPEN:
+                if not stack:
+                    stack.append(owner)
+                    continue
+                at = stack[-1]
+                if at.role == TEXT:
+                    at.n += 1
+                    continue
+                at.n += 1
+                if len(stack) == 1:
+                    top[name] = {} if v == "{" else []
+                if at.role == FIELDS_OF:
+                    kind = opens.get((at.kind, name)) if not at.prefix else None
+                    here = f"{at.path}.{name}" if at.path else name
+                    if kind == "attribute" and v == "{":
+                        stack.append(_At(MAP, kind, here, at.path, at.ordinal, name, pos))
+                    elif kind == "session" and v == "{":
+                        out.append((kind, here, at.path, 0, None, None))
+                        stack.append(_At(FIELDS_OF, kind, here, at.path, 0))
+                    elif kind not in (None, "session", "attribute") and v == "[":
+                        stack.append(_At(NODES, kind, here, at.path, at.ordinal, name, pos))
+                    elif not values or _column(at, name):
+                        stack.append(_At(TEXT, at.kind, at.path, at.parent, at.ordinal, name, pos))
+                    elif v == "{":
+                        stack.append(_At(FIELDS_OF, at.kind, at.path, at.parent, at.ordinal, f"{at.prefix}{name}.", pos))
+                    else:
+                        stack.append(_At(GROUP, f"{at.kind}.{at.prefix}{name}[]", f"{at.path}.{at.prefix}{name}" if at.path else f"{at.prefix}{name}", at.path, 0, "", pos))
+                elif at.role == NODES and v == "{":
+                    k, here = at.n - 1, f"{at.path}[{at.n - 1}]"
+                    out.append((at.kind, here, at.parent, k, None, None))
+                    stack.append(_At(FIELDS_OF, at.kind, here, at.parent, k))
+                elif at.role == GROUP:
+                    k, here = at.n - 1, f"{at.path}[{at.n - 1}]"
+                    out.append((at.kind, here, at.parent, k, None, None))
+                    if v == "{":
+                        stack.append(_At(FIELDS_OF, at.kind, here, at.parent, k))
+                    elif "value" in _COLUMNS.get(at.kind, ()):
+                        stack.append(_At(TEXT, at.kind, here, at.parent, k, "value", pos))
+                    else:
+                        stack.append(_At(GROUP, f"{at.kind}.value[]", f"{here}.value", here, 0, "", pos))
+                else:  # what is no object among nodes, or a nested attribute
+                    stack.append(_At(TEXT, at.kind, at.path, at.parent, at.n - 1, name or "", pos))
+            elif what == VALUE:
+                at = stack[-1]
+                if at.role == TEXT:
+                    continue
+                at.n += 1
+                if len(stack) == 1:
+                    top[name] = v
+                if at.role == MAP:
+                    here = f"{at.path}.{name}"
+                    out.append((at.kind, here, at.parent, at.n - 1, None, None))
+                    if values:
+                        out.append((at.kind, here, at.parent, at.n - 1, "value", _text(v)))
+                elif not values:
+                    continue
+                elif at.role == FIELDS_OF:
+                    k = len(out)
+                    field(at, name, _text(v))
+                    if out[k][4] != at.prefix + name:
+                        at_names[k] = name
+                elif at.role == NODES:
+                    up = stack[-2]
+                    out.append((up.kind, up.path, up.parent, up.ordinal, f"{at.prefix}[{at.n - 1}]", _text(v)))
+                else:
+                    here = f"{at.path}[{at.n - 1}]"
+                    out.append((at.kind, here, at.parent, at.n - 1, None, None))
+                    out.append((at.kind, here, at.parent, at.n - 1, "value", _text(v)))
+            else:
+                at = stack[-1]
+                if at.role == TEXT and at.n:
+                    at.n -= 1
+                    continue
+                stack.pop()
+                if not stack:
+                    end = pos
+                    break
+                up = stack[-1]
+                raw = text[at.start : pos]
+                if at.role == TEXT:
+                    if up.role == MAP:
+                        here = f"{up.path}.{at.prefix}"
+                        out.append((up.kind, here, up.parent, up.n - 1, None, None))
+                        if values:
+                            out.append((up.kind, here, up.parent, up.n - 1, "value", raw))
+                    elif not values:
+                        continue
+                    elif up.role == NODES:
+                        two = stack[-2]
+                        out.append((two.kind, two.path, two.parent, two.ordinal, f"{up.prefix}[{up.n - 1}]", raw))
+                    elif up.role == GROUP:
+                        out.append((at.kind, at.path, at.parent, at.ordinal, "value", raw))
+                    else:
+                        k = len(out)
+                        field(up, at.prefix, raw)
+                        if out[k][4] != up.prefix + at.prefix:
+                            at_names[k] = at.prefix
+                elif not at.n and values:  # nothing in it: a value of its parent, as it is
+                    if at.role in (NODES, MAP):
+                        out.append((up.kind, up.path, up.parent, up.ordinal, up.prefix + at.prefix, raw))
+                    elif at.role == FIELDS_OF and at.prefix:
+                        out.append((at.kind, at.path, at.parent, at.ordinal, at.prefix[:-1], raw))
+                    elif at.role == GROUP:
+                        if up.role == GROUP:
+                            out.append((up.kind, at.parent, up.parent, up.n - 1, "value", raw))
+                        else:
+                            out.append((up.kind, up.path, up.parent, up.ordinal, at.kind[len(up.kind) + 1 : -2], raw))
+    except SyntaxStop:
+        return None
+    return (out, top) if not text[end:].strip(" \t\n\r") else None
+
+
+_NONE: dict[str, str] = {}
+
+
+def _column(at: _At, name: str) -> bool:
+    """Whether a nested value is kept as the text of one column."""
+    cols = _COLUMNS.get(at.kind, ())
+    if at.prefix:
+        return at.prefix + name in cols
+    return name in cols or _KNOWN.get(at.kind, _NONE).get(plain_name(name)) is not None
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -166,11 +265,9 @@ def snapshot_triples(snapshots: DataFrame, values: bool = True) -> DataFrame:
         for b in batches:
             rows = []
             for rid, text in zip(b["row_id"], b["raw_text"]):
-                obj, _ = one_json_object(text) if isinstance(text, str) else (None, None)
-                if obj and values:
-                    rows += [("snapshot_files", rid, *t) for t in _node("record", "", "", 0, _left(obj, (), ("opTree",)))]
-                if obj and isinstance(tree := obj.get("opTree"), dict):
-                    rows += [("snapshot_files", rid, *t) for t in session_triples(tree, values)]
+                got = triples(text, SNAPSHOT, values) if isinstance(text, str) else None
+                if got:
+                    rows += [("snapshot_files", rid, *t) for t in got[0]]
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []
@@ -186,13 +283,9 @@ def ledger_triples(ledger: DataFrame, sources: DataFrame, values: bool = True) -
         for b in batches:
             rows = []
             for rid, text, tz in zip(b["row_id"], b["raw_text"], b["_tz"]):
-                if not isinstance(text, str) or "turn_end" not in text:
-                    continue
-                obj, _ = ledger_record(text, tz if isinstance(tz, str) else None)
-                if obj and "turn_end" in (obj.get("recordType"), *(obj[k] for k in obj if plain_name(k) == "recordtype")):
-                    if values:
-                        rows += [("ledger_lines", rid, *t) for t in _node("record", "", "", 0, _left(obj, ("ops",), ()))]
-                    rows += [("ledger_lines", rid, *t) for t in turn_triples(obj, values)]
+                got = triples(text, LEDGER, values) if isinstance(text, str) else None
+                if got and record_kind(got[1]) == "turn_end" and ledger_of(got[1], tz if isinstance(tz, str) else None)[0]:
+                    rows += [("ledger_lines", rid, *t) for t in got[0]]
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []

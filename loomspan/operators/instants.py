@@ -43,7 +43,8 @@ USUAL_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}Z
 
 
 def _pack(found: list[Reading]) -> tuple[int, str | None, int | None, str | None]:
-    found = found[:MAX_CANDIDATES]
+    if len(found) > MAX_CANDIDATES:  # two orders of day and month by three senses of a zone are the most there are
+        raise AssertionError(f"{len(found)} readings")
     if not found:
         return 0, None, None, None
     alt = ";".join(f"{r.form}|{r.utc_us}|{r.cost}" for r in found) if len(found) > 1 else None

@@ -1,15 +1,20 @@
-"""Error-recovering recursive-descent grammars for JSON records and RFC 4180 CSV records.
+"""Error-recovering descent grammars for JSON records and RFC 4180 CSV records.
 
 Both parsers return the records they could read and located syntax errors.
 After an error they resume at the next *validated* record start: a position
-from which the record's own opening reads without an error, so that a quote
-or bracket lost in one record does not swallow the following ones.
+from which a whole record reads without an error and that the caller accepts as
+a start, so that a quote or bracket lost in one record does not swallow the
+following ones. Every position is tried, also inside the broken record, and
+none is read again whose outcome is known, so recovery stays near-linear.
+
+The JSON grammar is a stream of events (``stream``) with a stack of its own, so
+nesting has no limit; ``json_records`` builds records from it.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import sys
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -31,8 +36,11 @@ class Decimal64(float):
         x.text = text
         return x
 
+    def __reduce__(self) -> tuple:
+        return Decimal64, (self.text,)
+
 
-class _Stop(Exception):
+class SyntaxStop(Exception):
     def __init__(self, offset: int, expected: str) -> None:
         self.fault = SyntaxFault(offset, expected)
 
@@ -42,11 +50,14 @@ _PLAIN = re.compile(r'[^"\\\x00-\x1f]*')
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 _HEX4 = re.compile(r"[0-9a-fA-F]{4}")
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-_WORDS = (("true", True), ("false", False), ("null", None))
+_WORDS = {"true": True, "false": False, "null": None}
 _START = re.compile(r'\{[ \t\n\r]*(?:"|\})')
-#: Nesting beyond this is a syntax fault; a level takes two Python frames.
-MAX_DEPTH = 4000
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * MAX_DEPTH + 2000))
+# the usual member and element in one step; whatever they don't match goes the long way, which also locates errors
+_SCALAR = r'(?:"([^"\\\x00-\x1f]*)"|(-?(?:0|[1-9][0-9]{0,400}))(?![.eE0-9])|(true|false|null)|([{\[]))[ \t\n\r]*'
+_MEMBER = re.compile(r'[ \t\n\r]*"([^"\\\x00-\x1f]*)"[ \t\n\r]*:[ \t\n\r]*' + _SCALAR)
+_ELEMENT = re.compile(r"[ \t\n\r]*()" + _SCALAR)
+#: Longest number that is read as an integer; Python refuses to convert longer ones.
+_INT_DIGITS = 4000
 
 
 def _string(s: str, i: int) -> tuple[str, int]:
@@ -61,128 +72,274 @@ def _string(s: str, i: int) -> tuple[str, int]:
         if c == '"':
             return "".join(parts), j + 1
         if c != "\\":
-            raise _Stop(j, "closing quote" if not c else "no control character in a string")
+            raise SyntaxStop(j, "closing quote" if not c else "no control character in a string")
         e = s[j + 1 : j + 2]
         if e == "u":
             h = _HEX4.match(s, j + 2)
             if not h:
-                raise _Stop(j, "four hexadecimal digits")
+                raise SyntaxStop(j, "four hexadecimal digits")
             code, j = int(h.group(), 16), j + 6
             if 0xD800 <= code < 0xDC00 and s[j : j + 2] == "\\u" and (low := _HEX4.match(s, j + 2)):
                 if 0xDC00 <= (second := int(low.group(), 16)) < 0xE000:
                     code, j = 0x10000 + ((code - 0xD800) << 10) + second - 0xDC00, j + 6
-            parts.append(chr(code) if not 0xD800 <= code < 0xE000 else "�")
+            parts.append(chr(code) if not 0xD800 <= code < 0xE000 else "\ufffd")
         elif e in _ESCAPES and e:
             parts.append(_ESCAPES[e])
             j += 2
         else:
-            raise _Stop(j, "a known escape")
+            raise SyntaxStop(j, "a known escape")
         m = _PLAIN.match(s, j)
         parts.append(m.group())
         j = m.end()
 
 
-def _value(s: str, i: int, depth: int) -> tuple[Any, int]:
-    c = s[i : i + 1]
-    if c == '"':
+def _scalar(s: str, i: int) -> tuple[Any, int]:
+    if s[i : i + 1] == '"':
         return _string(s, i + 1)
-    if c == "{" or c == "[":
-        if depth >= MAX_DEPTH:
-            raise _Stop(i, "less nesting")
-        return _object(s, i + 1, depth + 1) if c == "{" else _array(s, i + 1, depth + 1)
     if m := _NUMBER.match(s, i):
         text = m.group()
-        return (Decimal64(text) if m.group(1) or m.group(2) else int(text) if len(text) < 4000 else Decimal64(text)), m.end()
-    for word, v in _WORDS:
+        return (Decimal64(text) if m.group(1) or m.group(2) or len(text) > _INT_DIGITS else int(text)), m.end()
+    for word, v in _WORDS.items():
         if s.startswith(word, i):
             return v, i + len(word)
-    raise _Stop(i, "a value")
+    raise SyntaxStop(i, "a value")
 
 
-def _object(s: str, i: int, depth: int) -> tuple[dict, int]:
-    out: dict[str, Any] = {}
-    i = _BLANK.match(s, i).end()
-    if s[i : i + 1] == "}":
-        return out, i + 1
-    while True:
-        if s[i : i + 1] != '"':
-            raise _Stop(i, "a quoted name")
-        k, i = _string(s, i + 1)
-        i = _BLANK.match(s, i).end()
-        if s[i : i + 1] != ":":
-            raise _Stop(i, "a colon")
-        out[k], i = _value(s, _BLANK.match(s, i + 1).end(), depth)
-        i = _BLANK.match(s, i).end()
-        c = s[i : i + 1]
-        if c == "}":
-            return out, i + 1
-        if c != ",":
-            raise _Stop(i, "a comma or }")
-        i = _BLANK.match(s, i + 1).end()
-
-
-def _array(s: str, i: int, depth: int) -> tuple[list, int]:
-    out: list[Any] = []
-    i = _BLANK.match(s, i).end()
-    if s[i : i + 1] == "]":
-        return out, i + 1
+VALUE, OPEN, CLOSE = 0, 1, 2
+Event = tuple[int, "str | None", Any, int]
+
+
+def stream(s: str, i: int) -> Iterator[Event]:
+    """Events of the object whose brace is at ``i``, as they are read.
+
+    (VALUE, name, value, offset), (OPEN, name, "{" or "[", offset) and (CLOSE, None, None,
+    offset behind it); name is None for elements of arrays. Raises ``SyntaxStop`` at an error.
+    """
+    yield OPEN, None, "{", i
+    closers = ["}"]
+    i = _BLANK.match(s, i + 1).end()
+    fresh = True  # nothing stands in the innermost container yet
     while True:
-        v, i = _value(s, i, depth)
-        out.append(v)
-        i = _BLANK.match(s, i).end()
-        c = s[i : i + 1]
-        if c == "]":
-            return out, i + 1
-        if c != ",":
-            raise _Stop(i, "a comma or ]")
-        i = _BLANK.match(s, i + 1).end()
+        end = closers[-1]
+        if fresh and s[i : i + 1] == end:
+            i += 1
+        else:
+            # one member or element
+            m = (_MEMBER if end == "}" else _ELEMENT).match(s, i)
+            if m:
+                name = m.group(1) if end == "}" else None
+                kind = m.lastindex
+                i = m.end()
+                if kind == 2:
+                    yield VALUE, name, m.group(2), m.start(2) - 1
+                elif kind == 3:
+                    yield VALUE, name, int(m.group(3)), m.start(3)
+                elif kind == 4:
+                    yield VALUE, name, _WORDS[m.group(4)], m.start(4)
+                else:
+                    c = m.group(5)
+                    yield OPEN, name, c, m.start(5)
+                    closers.append("}" if c == "{" else "]")
+                    fresh = True
+                    continue
+            else:
+                name, i = None, _BLANK.match(s, i).end()
+                if end == "}":
+                    if s[i : i + 1] != '"':
+                        raise SyntaxStop(i, "a quoted name")
+                    name, i = _string(s, i + 1)
+                    i = _BLANK.match(s, i).end()
+                    if s[i : i + 1] != ":":
+                        raise SyntaxStop(i, "a colon")
+                    i = _BLANK.match(s, i + 1).end()
+                c, at = s[i : i + 1], i
+                if c == "{" or c == "[":
+                    yield OPEN, name, c, at
+                    closers.append("}" if c == "{" else "]")
+                    fresh, i = True, _BLANK.match(s, i + 1).end()
+                    continue
+                v, i = _scalar(s, i)
+                yield VALUE, name, v, at
+                i = _BLANK.match(s, i).end()
+            fresh = False
+            c = s[i : i + 1]
+            if c == ",":
+                i += 1
+                continue
+            if c != end:
+                raise SyntaxStop(i, f"a comma or {end}")
+            i += 1
+        # one or more containers end here
+        while True:
+            closers.pop()
+            yield CLOSE, None, None, i
+            if not closers:
+                return
+            fresh = False
+            i = _BLANK.match(s, i).end()
+            c, end = s[i : i + 1], closers[-1]
+            if c == ",":
+                i += 1
+                break
+            if c != end:
+                raise SyntaxStop(i, f"a comma or {end}")
+            i += 1
+
 
+def _object(s: str, i: int, known: dict[int, tuple[dict, int] | None] | None = None) -> tuple[dict, int]:
+    """The object whose brace is at ``i`` and the offset behind it; of a name that is there twice the last value counts.
 
-def json_records(text: str) -> tuple[list[dict], list[SyntaxFault]]:
+    ``known`` takes the outcome of every object begun on the way, whole or not.
+    """
+    cur: Any = None
+    top: dict = {}
+    above: list[Any] = []
+    begun: list[int] = []
+    at = i
+    try:
+        for kind, name, v, at in stream(s, i):
+            if kind == VALUE:
+                if name is None:
+                    cur.append(v)
+                else:
+                    cur[name] = v
+            elif kind == OPEN:
+                new: Any = {} if v == "{" else []
+                if cur is None:
+                    top = new
+                elif name is None:
+                    cur.append(new)
+                else:
+                    cur[name] = new
+                above.append(cur)
+                cur = new
+                if known is not None:
+                    begun.append(at)
+            else:
+                if known is not None:
+                    start = begun.pop()
+                    if isinstance(cur, dict):
+                        known[start] = cur, at
+                cur = above.pop()
+    except SyntaxStop:
+        if known is not None:
+            known |= dict.fromkeys(begun)
+        raise
+    return top, at
+
+
+def json_records(text: str, is_start: Callable[[dict], bool] | None = None) -> tuple[list[dict], list[SyntaxFault]]:
     """All JSON objects of ``text`` and every place where it is not one.
 
     Blank space around a record belongs to none. Behind an error the parser
-    resumes at the next ``{"`` from which a whole object can be read.
+    resumes at the next brace from which a whole object reads and that
+    ``is_start`` (default: any) accepts as a record.
     """
     records: list[dict] = []
     faults: list[SyntaxFault] = []
     i, n = _BLANK.match(text, 0).end(), len(text)
+    known: dict[int, tuple[dict, int] | None] = {}
     while i < n:
         try:
             if text[i] != "{":
-                raise _Stop(i, "a record")
-            record, i = _object(text, i + 1, 1)
+                raise SyntaxStop(i, "a record")
+            record, i = _object(text, i)
             records.append(record)
-        except _Stop as stop:
+        except SyntaxStop as stop:
             faults.append(stop.fault)
-            # tried at most a bounded number of times: a start that fails is passed over with all it had read
-            at = max(i + 1, min(stop.fault.offset, n)) if text[i] == "{" else i + 1
-            i = next(_anchors(text, at), n)
+            if text[i] == "{":
+                _outcome(text, i, known)
+            i = next((k for k in _anchors(text, i + 1, known) if is_start is None or is_start(known[k][0])), n)
         i = _BLANK.match(text, i).end()
     return records, faults
 
 
-def _anchors(text: str, at: int, tries: int = 64) -> Iterator[int]:
-    """Validated record starts from ``at`` on. A start is validated by reading its whole object."""
-    for m in _START.finditer(text, at):
-        if tries == 0:
-            return
-        tries -= 1
+def _outcome(text: str, at: int, known: dict[int, tuple[dict, int] | None]) -> tuple[dict, int] | None:
+    if at not in known:
         try:
-            _object(text, m.start() + 1, 1)
-        except _Stop:
-            continue
-        yield m.start()
+            _object(text, at, known)
+        except SyntaxStop:
+            known.setdefault(at, None)
+    return known[at]
+
+
+def _anchors(text: str, at: int, known: dict[int, tuple[dict, int] | None]) -> Iterator[int]:
+    """Offsets from ``at`` on from which a whole object reads."""
+    for m in _START.finditer(text, at):
+        if _outcome(text, m.start(), known):
+            yield m.start()
 
 
 def one_json_object(text: str) -> tuple[dict | None, list[SyntaxFault]]:
     """The object if ``text`` is exactly one, else None with the reasons."""
-    records, faults = json_records(text)
-    if not faults and len(records) == 1:
-        return records[0], []
-    if not faults:
-        faults = [SyntaxFault(0, "one record" if records else "a record")]
-    return None, faults
+    i = _BLANK.match(text, 0).end()
+    if i == len(text):
+        return None, [SyntaxFault(i, "a record")]
+    try:
+        if text[i] != "{":
+            raise SyntaxStop(i, "a record")
+        record, end = _object(text, i)
+    except SyntaxStop as stop:
+        return None, [stop.fault]
+    end = _BLANK.match(text, end).end()
+    return (record, []) if end == len(text) else (None, [SyntaxFault(end, "one record")])
+
+
+def one_json_value(text: str) -> Any:
+    """Any JSON value; ValueError if ``text`` is none. Nesting has no limit."""
+    # as the only member of an object; its own end is checked, so the text can't close the object itself
+    head = '{"v":'
+    try:
+        record, end = _object(head + text + "}", 0)
+    except SyntaxStop as stop:
+        raise ValueError(f"no JSON at {stop.fault.offset - len(head)}") from stop
+    if end != len(head) + len(text) + 1 or len(record) != 1:
+        raise ValueError("no JSON")
+    return record["v"]
+
+
+def _no_constant(name: str) -> Any:
+    raise ValueError(name)
+
+
+def load(text: str) -> Any:
+    """Any JSON value, where only the value matters; ValueError if ``text`` is none.
+
+    The standard parser reads what it can; what is too deep or has too many digits for it the grammar reads.
+    """
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return one_json_value(text)
+
+
+def json_text(v: Any) -> str:
+    """The value as JSON text; numbers keep their digits, nesting has no limit."""
+    out: list[str] = []
+    todo: list[Any] = [(v,)]
+    while todo:
+        x = todo.pop()
+        if type(x) is str:  # a piece of text that is ready
+            out.append(x)
+            continue
+        (x,) = x
+        if isinstance(x, dict):
+            todo.append("}")
+            for k, (name, y) in enumerate(reversed(x.items())):
+                todo += [(y,), json.dumps(name, ensure_ascii=False) + ": "]
+                if k < len(x) - 1:
+                    todo.append(", ")
+            todo.append("{")
+        elif isinstance(x, (list, tuple)):
+            todo.append("]")
+            for k, y in enumerate(reversed(x)):
+                todo.append((y,))
+                if k < len(x) - 1:
+                    todo.append(", ")
+            todo.append("[")
+        else:
+            out.append(x.text if isinstance(x, Decimal64) else json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 class CsvRecord(NamedTuple):
@@ -206,7 +363,7 @@ def _csv_record(s: str, i: int) -> tuple[CsvRecord, int]:
                 parts.append(m.group())
                 i = m.end()
                 if i >= len(s):
-                    raise _Stop(i, "closing quote")
+                    raise SyntaxStop(i, "closing quote")
                 if s[i + 1 : i + 2] != '"':
                     break
                 parts.append('"')
@@ -227,12 +384,12 @@ def _csv_record(s: str, i: int) -> tuple[CsvRecord, int]:
                 i += 1
             return CsvRecord(fields, quoted), i + len(c)
         else:
-            raise _Stop(i, "a comma or a line end")
+            raise SyntaxStop(i, "a comma or a line end")
 
 
-def csv_records(text: str, is_start: Callable[[CsvRecord], bool]) -> tuple[list[CsvRecord], list[SyntaxFault]]:
-    """All CSV records of ``text``. After broken quoting, reading resumes at the
-    next line from which a record is read that ``is_start`` accepts."""
+def csv_records(text: str, anchor: re.Pattern[str], is_start: Callable[[CsvRecord], bool]) -> tuple[list[CsvRecord], list[SyntaxFault]]:
+    """All CSV records of ``text``. After broken quoting, reading resumes at the next line that opens like
+    ``anchor`` and from which a record is read that ``is_start`` accepts."""
     records: list[CsvRecord] = []
     faults: list[SyntaxFault] = []
     i, n = 0, len(text)
@@ -240,19 +397,18 @@ def csv_records(text: str, is_start: Callable[[CsvRecord], bool]) -> tuple[list[
         try:
             record, i = _csv_record(text, i)
             records.append(record)
-        except _Stop as stop:
+        except SyntaxStop as stop:
             faults.append(stop.fault)
             at, i = text.find("\n", i), n
-            tries = 64
-            while at >= 0 and tries:
-                tries -= 1
-                try:
-                    candidate, _ = _csv_record(text, at + 1)
-                    if is_start(candidate):
-                        i = at + 1
-                        break
-                except _Stop:
-                    pass
+            while at >= 0:
+                if anchor.match(text, at + 1):
+                    try:
+                        candidate, _ = _csv_record(text, at + 1)
+                        if is_start(candidate):
+                            i = at + 1
+                            break
+                    except SyntaxStop:
+                        pass
                 at = text.find("\n", at + 1)
         if n == 0:
             break

@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspan.operators.bad_rows import _csv_start
+from loomspan.operators.bad_rows import _EXPORT_START, _csv_start
 from loomspan.sources.grammar import csv_records, json_records, one_json_object
 
 JSON = st.recursive(
@@ -51,8 +51,8 @@ ROW = "0123456789abcdef0123456789abcdef,n,s,,r,root,a,ok,1,2,0.5,"
 
 
 def test_csv_quotes_and_recovery():
-    r, f = csv_records(ROW + '"a ""b""\nc"', _csv_start)
+    r, f = csv_records(ROW + '"a ""b""\nc"', _EXPORT_START, _csv_start)
     assert not f and r[0].fields[11] == 'a "b"\nc'
-    r, f = csv_records(ROW + '"open\n' + ROW + "x\n" + ROW + "y", _csv_start)
+    r, f = csv_records(ROW + '"open\n' + ROW + "x\n" + ROW + "y", _EXPORT_START, _csv_start)
     assert len(f) == 1 and [x.fields[11] for x in r] == ["x", "y"]
-    assert csv_records(ROW + '"a"b', _csv_start)[1]
+    assert csv_records(ROW + '"a"b', _EXPORT_START, _csv_start)[1]
