@@ -56,8 +56,8 @@ GROUPS = {
     "record.warnings[]": ("value",),
     "record.errors[]": ("value",),
 }
-_COLUMNS = FIELDS | GROUPS
-_KNOWN = {kind: {plain_name(f): f for f in names} for kind, names in _COLUMNS.items()}
+COLUMNS = FIELDS | GROUPS
+_KNOWN = {kind: {plain_name(f): f for f in names} for kind, names in COLUMNS.items()}
 
 Triple = tuple[str, str, str, int, str | None, str | None]
 
@@ -119,7 +119,7 @@ def triples(text: str, opens: dict[tuple[str, str], str], values: bool = True) -
                 if k >= 0:  # the documented name comes later: the respelt one keeps its own
                     out[k] = (*out[k][:4], at_names.pop(k), out[k][5])
                 at.respelt[name] = -1
-            elif name in _COLUMNS.get(at.kind, ()):
+            elif name in COLUMNS.get(at.kind, ()):
                 if at.respelt is None:
                     at.respelt = {}
                 at.respelt[name] = -1
@@ -164,7 +164,7 @@ def triples(text: str, opens: dict[tuple[str, str], str], values: bool = True) -
                     out.append((at.kind, here, at.parent, k, None, None))
                     if v == "{":
                         stack.append(_At(FIELDS_OF, at.kind, here, at.parent, k))
-                    elif "value" in _COLUMNS.get(at.kind, ()):
+                    elif "value" in COLUMNS.get(at.kind, ()):
                         stack.append(_At(TEXT, at.kind, here, at.parent, k, "value", pos))
                     else:
                         stack.append(_At(GROUP, f"{at.kind}.value[]", f"{here}.value", here, 0, "", pos))
@@ -245,7 +245,7 @@ _NONE: dict[str, str] = {}
 
 def _column(at: _At, name: str) -> bool:
     """Whether a nested value is kept as the text of one column."""
-    cols = _COLUMNS.get(at.kind, ())
+    cols = COLUMNS.get(at.kind, ())
     if at.prefix:
         return at.prefix + name in cols
     return name in cols or _KNOWN.get(at.kind, _NONE).get(plain_name(name)) is not None
@@ -304,13 +304,21 @@ def _pairs(keep: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(F.col("field").isNotNull() & keep, F.struct("field", "value")))).alias("rest")
 
 
-def pivot_group(triples: DataFrame, kind: str) -> DataFrame:
-    """The flat table of one kind of node, its documented fields as columns, all others in ``rest``."""
+def pivot_group(triples: DataFrame, kind: str, with_rest: bool = True) -> DataFrame:
+    """The flat table of one kind of node, its documented fields as columns, all others in ``rest`` or in ``rest_values``."""
     t = triples.where(F.col("node_kind") == kind)
     column = lambda f: "value_json" if f == "value" else f.replace(".", "_").lower()
-    named = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(column(f)) for f in _COLUMNS[kind]]
-    rest = _pairs(~F.col("field").isin(*_COLUMNS[kind]))
-    return t.groupBy("src_table", "row_id", "node_path", "parent_path", "ordinal").agg(*named, rest)
+    named = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(column(f)) for f in COLUMNS[kind]]
+    rest = _pairs(~F.col("field").isin(*COLUMNS[kind]))
+    return t.groupBy("src_table", "row_id", "node_path", "parent_path", "ordinal").agg(*named, *([rest] if with_rest else []))
+
+
+def rest_values(triples: DataFrame) -> DataFrame:
+    """All values of nodes with a table of their own that are no column of it, one row each."""
+    column = F.lit(False)
+    for kind, names in COLUMNS.items():
+        column = column | ((F.col("node_kind") == kind) & F.col("field").isin(*names))
+    return triples.where(F.col("field").isNotNull() & F.col("node_kind").isin(*COLUMNS) & ~column).drop("parent_path", "ordinal")
 
 
 def pivot_rest(triples: DataFrame) -> DataFrame:

@@ -102,6 +102,19 @@ def text_values(df: DataFrame, src_table: str, row_id: str, column: str, sources
     return usual.unionByName(_odd_texts(with_zone(base.where(~is_usual), sources)))
 
 
+def first_reading(written: Column, tz: Column) -> Column:
+    """The cheapest reading of each written time on its own, without its neighbours. The usual form never leaves the JVM."""
+
+    @F.pandas_udf("bigint")
+    def odd(w: pd.Series, z: pd.Series) -> pd.Series:
+        got = [readings(x, y if isinstance(y, str) else None) if isinstance(x, str) else [] for x, y in zip(w, z)]
+        return pd.Series([g[0].utc_us if g else None for g in got], dtype="Int64")
+
+    usual = written.rlike(USUAL_TEXT)
+    at = F.unix_micros(F.try_to_timestamp(written, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")))
+    return F.when(usual, F.when(at > 0, at)).otherwise(odd(F.when(~usual, written), tz))
+
+
 def number_values(df: DataFrame, src_table: str, row_id: str, column: str, sources: DataFrame) -> DataFrame:
     """Candidates of an integer column whose usual form is microseconds."""
     base = known_id(df, row_id).select(

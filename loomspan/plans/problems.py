@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import bad_rows, drift, flatten, hierarchy, instants
+from loomspan.plans import problem_sql
 from loomspan.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +54,16 @@ def _triples(spark: SparkSession, d: str, ledger: bool = True) -> DataFrame:
 
 def _flat(kind: str) -> Query:
     def q(spark: SparkSession, d: str) -> DataFrame:
-        return flatten.pivot_group(_triples(spark, d, kind not in ("session", "turn", "step", "attribute")), kind)
+        return flatten.pivot_group(_triples(spark, d, kind not in ("session", "turn", "step", "attribute")), kind, with_rest=False)
 
     return q
 
 
+def p3_rest(spark: SparkSession, d: str) -> DataFrame:
+    """What is no column of the tables of sessions, turns, operations and so on, by node."""
+    return flatten.rest_values(_triples(spark, d))
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every array element without a table of its own, with all its values."""
     return flatten.pivot_rest(_triples(spark, d))
@@ -74,8 +80,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_utc(spark: SparkSession, d: str) -> DataFrame:
-    """Every value that stands for a time, with the form it was read in."""
-    return _times(spark, d).select("src_table", "row_id", "form", "utc_us")
+    """Every value that stands for a time."""
+    return _times(spark, d).select("src_table", "row_id", "utc_us")
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """How often each written form occurs in each table."""
+    return _times(spark, d).groupBy("src_table", "form", "is_case").agg(F.count(F.lit(1)).alias("n_values"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,14 +103,8 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Full path of every session outside loops, from the top down, joined by '/'."""
-    r = stage(hierarchy.resolve(hierarchy.session_links(table(spark, d, "sessions"))))
-    return hierarchy.full_paths(r).select(F.col("node").alias("node_id"), F.array_join("path", "/").alias("full_path"))
-
-
 def p2_full_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The same in both forests, with the source."""
+    """Full path of every session outside loops in both forests, from the top down, joined by '/'."""
     r = stage(hierarchy.session_forest(table(spark, d, "sessions"), table(spark, d, "expected_events")))
     # the last part of a key is the id, as in node_id
     ids = F.transform("path", lambda x: F.element_at(F.split(x, hierarchy.SEP), -1))
@@ -133,6 +138,15 @@ def p7_rollout_items(spark: SparkSession, d: str) -> DataFrame:
     return bad_rows.valid_rollouts(table(spark, d, "legacy_rollouts"))
 
 
+def p7_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The records that can be read from rows that are not exactly one, and every fault in them with its place."""
+    sources = table(spark, d, "sources")
+    out = bad_rows.recovered(table(spark, d, "ledger_lines"), "ledger_lines", sources)
+    for t in ("legacy_rollouts", "session_export"):
+        out = out.unionByName(bad_rows.recovered(table(spark, d, t), t))
+    return out
+
+
 _LINKS_SQL = """
 s as (
   select id as node, max_by(nullif(trim(parent_session_id), ''), (ingested_at, row_id))
@@ -168,13 +182,6 @@ from fixed f left join walk w on w.src_table = f.src_table and w.node = f.node
 left join src on f.src_table = 'sessions' and src.node = f.node
 where f.named"""
 
-P2_PATHS_SQL = f"""with recursive {_LINKS_SQL},
-paths as (
-  select node, node as full_path from fixed where src_table = 'sessions' and parent is null
-  union all
-  select f.node, p.full_path || '/' || f.node from paths p join fixed f on f.src_table = 'sessions' and f.parent = p.node)
-select node as node_id, full_path from paths"""
-
 P2_FULL_PATHS_SQL = f"""with recursive {_LINKS_SQL},
 paths as (
   select src_table, node, case when src_table = 'sessions' then node else split_part(node, chr(31), 2) end as full_path from fixed where parent is null
@@ -185,62 +192,9 @@ select p.src_table, case when p.src_table = 'sessions' then src.source_id else s
   case when p.src_table = 'sessions' then p.node else split_part(p.node, chr(31), 2) end as node_id, p.full_path
 from paths p left join src on p.src_table = 'sessions' and src.node = p.node"""
 
-def p3_snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The snapshot part of p3_found."""
-    t = flatten.snapshot_triples(table(spark, d, "snapshot_files"), values=False)
-    return flatten.nodes(t).select("row_id", "node_kind", "node_path", "parent_path")
-
-
-def p4_session_starts(spark: SparkSession, d: str) -> DataFrame:
-    """The sessions part of p4_utc."""
-    v = instants.number_values(table(spark, d, "sessions"), "sessions", "row_id", "start_ts", table(spark, d, "sources"))
-    return instants.viterbi(v).select("row_id", "utc_us", "is_case")
-
-
-def p7_export_faults(spark: SparkSession, d: str) -> DataFrame:
-    """The CSV part of p7_found."""
-    return bad_rows.export_faults(table(spark, d, "session_export")).select("row_id", "reason")
-
-
-P3_SNAPSHOT_SQL = """with recursive s as (
-  select row_id, 'opTree' as path, '' as parent, json_extract(raw_text, '$.opTree') as j
-  from snapshot_files where json_valid(raw_text) and json_type(raw_text, '$.opTree') = 'OBJECT'
-  union all
-  select t.row_id, t.path || '.' || p.part || '[' || t.k || '].ops[' || (o.i - 1) || '].childSession', t.path || '.' || p.part || '[' || t.k || '].ops[' || (o.i - 1) || ']',
-    json_extract(o.j, '$.childSession')
-  from (select s.row_id, s.path, part, u.i - 1 as k, u.j from s, (values ('turns'), ('steps')) v(part),
-      lateral (select unnest(cast(json_extract(s.j, '$.' || part) as json[])) as j, generate_subscripts(cast(json_extract(s.j, '$.' || part) as json[]), 1) as i) u
-      where json_type(s.j, '$.' || part) = 'ARRAY') t, lateral (select t.part) p,
-    lateral (select unnest(cast(json_extract(t.j, '$.ops') as json[])) as j, generate_subscripts(cast(json_extract(t.j, '$.ops') as json[]), 1) as i) o
-  where json_type(t.j, '$.ops') = 'ARRAY' and json_type(o.j, '$.childSession') = 'OBJECT'),
-t as (select row_id, s.path as parent, part, path || '.' || part || '[' || (u.i - 1) || ']' as path, u.j from s, (values ('turns'), ('steps')) v(part),
-    lateral (select unnest(cast(json_extract(s.j, '$.' || part) as json[])) as j, generate_subscripts(cast(json_extract(s.j, '$.' || part) as json[]), 1) as i) u
-  where json_type(s.j, '$.' || part) = 'ARRAY' and json_type(u.j) = 'OBJECT'),
-o as (select row_id, t.path as parent, t.path || '.ops[' || (u.i - 1) || ']' as path, u.j from t,
-    lateral (select unnest(cast(json_extract(t.j, '$.ops') as json[])) as j, generate_subscripts(cast(json_extract(t.j, '$.ops') as json[]), 1) as i) u
-  where json_type(t.j, '$.ops') = 'ARRAY' and json_type(u.j) = 'OBJECT')
-select row_id, 'session' as node_kind, path as node_path, parent as parent_path from s
-union all select row_id, case part when 'turns' then 'turn' else 'step' end, path, parent from t
-union all select row_id, 'op', path, parent from o
-union all select row_id, 'attribute', path || '.attributes.' || k, path from (select row_id, path, unnest(json_keys(j, '$.attributes')) as k from s where json_type(j, '$.attributes') = 'OBJECT')"""
-
-P4_SESSIONS_SQL = """with s as (select row_id, start_ts as t, length(cast(start_ts as varchar)) as n from sessions where start_ts > 0)
-select row_id, case n when 10 then t * 1000000 when 13 then t * 1000 when 16 then t when 19 then t // 1000 end as utc_us, n <> 16 as is_case
-from s where n in (10, 13, 16, 19)"""
-
-P7_EXPORT_SQL = """with r as (select row_id, coalesce(raw_text, '') as t from session_export),
-f as (select row_id, t,
-    t = '' or not regexp_full_match(t, '("([^"]|"")*"|[^",\\r\\n]*)(,("([^"]|"")*"|[^",\\r\\n]*))*(\\r\\n|\\n|\\r)?') as broken,
-    regexp_extract_all(regexp_replace(',' || t, '(\\r\\n|\\n|\\r)$', ''), ',("(?:[^"]|"")*"|[^",\\r\\n]*)', 1) as v from r),
-g as (select row_id, broken, list_transform(v, lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as v from f),
-h as (select row_id, case when broken then 'syntax' when len(v) <> 12 then 'fields'
-  when v[6] not in ('root', 'sub_agent', 'fork', 'internal') or not regexp_full_match(v[9], '[0-9]{1,19}') or not regexp_full_match(v[10], '[0-9]{1,19}')
-    or not regexp_full_match(v[11], '[0-9]+(\\.[0-9]+)?|\\.[0-9]+') then 'value' end as reason from g)
-select row_id, reason from h where reason is not null"""
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p3_snapshot_nodes, p4_session_starts, p7_export_faults, p1_found, p1_kinds, p3_found, p3_groups, p4_found, p4_utc, p2_found, p2_hierarchy, p2_paths, p2_full_paths, p7_found, p7_reasons, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p1_found, p1_kinds, p3_found, p3_rest, p3_groups, p4_found, p4_utc, p4_forms, p2_found, p2_hierarchy, p2_full_paths, p7_found, p7_reasons, p7_recovered, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
 QUERIES |= {f"p1_{k}_table": _consistent(t, at) for k, t, at in (
@@ -252,6 +206,11 @@ QUERIES |= {f"p3_{name}": _flat(kind) for name, kind in (
     ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),
 )}
 SQL: dict[str, str] = {
-    "p2_found": P2_FOUND_SQL, "p2_paths": P2_PATHS_SQL, "p2_full_paths": P2_FULL_PATHS_SQL, "p3_snapshot_nodes": P3_SNAPSHOT_SQL,
-    "p4_session_starts": P4_SESSIONS_SQL, "p7_export_faults": P7_EXPORT_SQL,
-}
+    "p1_found": problem_sql.P1_FOUND, "p1_kinds": problem_sql.P1_KINDS, "p2_found": P2_FOUND_SQL, "p2_full_paths": P2_FULL_PATHS_SQL, "p3_found": problem_sql.P3_FOUND,
+    "p4_found": problem_sql.P4_FOUND, "p4_utc": problem_sql.P4_UTC, "p7_found": problem_sql.P7_FOUND, "p7_ledger_rows": problem_sql.P7_LEDGER_ROWS, "p7_session_rows": problem_sql.P7_SESSION_ROWS,
+    "p7_rollout_items": problem_sql.P7_ROLLOUT_ITEMS, "p3_attributes": problem_sql.P3_ATTRIBUTES, "p3_rest": problem_sql.rest(flatten.COLUMNS),
+}
+SQL |= {f"p3_{kind}s": problem_sql.flat(kind, names) for kind, names in flatten.FIELDS.items() if kind != "attribute"}
+SQL |= {f"p3_{name}": problem_sql.flat(kind, flatten.GROUPS[kind]) for name, kind in (
+    ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),
+)}

@@ -9,19 +9,19 @@ one session may be of any length.
 
 from __future__ import annotations
 
-import json
+import math
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.instants import readings
-from loomspan.operators.bad_rows import ledger_record, time_text, with_zone
-from loomspan.operators.windows import carry_last, numbered_turns, positions
+from loomspan.operators.bad_rows import as_text, known_names, ledger_record, time_text, whole_from_1, with_zone
 from loomspan.schema import COLUMNS, EVENT
-from loomspan.sources.grammar import one_json_object
+from loomspan.sources.grammar import CLOSE, OPEN, SyntaxStop, json_text, load, one_json_object, stream
 
 Adapter = Callable[[DataFrame, DataFrame], DataFrame]
 _REGISTRY: dict[str, Adapter] = {}
@@ -45,30 +45,97 @@ def formats() -> list[str]:
     return sorted(_REGISTRY)
 
 
-# Names of states, kinds and severities in the sources and here.
-OP_STATUS = {"ok": "completed", "success": "completed", "completed": "completed", "failed": "failed", "error": "failed", "running": "running", "cancelled": "cancelled"}
-HEADEND_KIND = {"cron": "root", "cli": "root", "api": "root", "sub-agent": "sub_agent", "subagent": "sub_agent", "agent": "sub_agent"}
-SEVERITY = {"VRB": "DBG", "DBG": "DBG", "TRC": "DBG", "INF": "INF", "FIN": "INF", "THK": "INF", "WRN": "WRN", "ERR": "ERR"}
+# Names of states, kinds, severities and error classes in the sources and here.
+OP_STATUS = {"ok": "completed", "failed": "failed", "": "running", "running": "running"}
+ROOT_HEADENDS = ("cli", "api", "web", "embed", "slack")
+INTERNAL_HEADEND = "tool_output"
+SEVERITY = {
+    "VRB": "DBG", "DBG": "DBG", "DEBUG": "DBG", "INF": "INF", "INFO": "INF", "WRN": "WRN", "WARN": "WRN", "WARNING": "WRN",
+    "ERR": "ERR", "ERROR": "ERR", "FATAL": "ERR",
+}
+ERROR_SIGNS = (
+    ("rate_limit", "rate_limit"), ("invalid_response", "invalid_response"), ("No output", "provider_error"),
+    ("AI_APICallError", "provider_error"), ("AI_RetryError", "provider_error"), ("400", "provider_error"),
+)
+NO_REPORT = "completed without a final report"
+BYTES_IN = ("llm_request", "sdk_request", "tool_request")
+BYTES_OUT = ("llm_response", "sdk_response", "reasoning_stream", "tool_response")
+STEP_OFFSET = 10_000
 
 
 def op_status(v: Any) -> str:
-    return OP_STATUS.get(str(v).lower(), str(v)) if v else "running"
+    """A state under its canonical name; unknown ones pass as they are."""
+    t = as_text(v) or ""
+    return OP_STATUS.get(t, t)
 
 
-def error_parts(error: Any) -> tuple[str | None, str | None]:
-    """(class, message) of an error text like ``rate_limit: too many requests``."""
-    if not error:
-        return None, None
-    text = error if isinstance(error, str) else json.dumps(error, ensure_ascii=False)
-    head, sep, rest = text.partition(":")
-    return (head.strip().lower().replace(" ", "_"), rest.strip()) if sep and len(head) <= 40 else (text.strip().lower().replace(" ", "_")[:60], text)
+def severity(v: Any) -> str:
+    return SEVERITY.get((as_text(v) or "").upper(), "INF")
+
+
+def headend_kind(v: Any) -> str:
+    return "root" if v in ROOT_HEADENDS else "internal" if v == INTERNAL_HEADEND else "sub_agent"
+
+
+_LAST_ERROR = re.compile(r"last_error=([^;]*)")
+_SLUGS = re.compile(r"slugs=([^.;\n]*)")
+_ATTEMPTS = re.compile(r"after ([^(]*?) attempts of (?:(\S*) \()?")
+_MOST_TURNS = re.compile(r"maxTurns=([^);\n]*)")
+
+
+def failure(error: Any) -> tuple[str | None, dict[str, Any]]:
+    """(class, details) of a failed session's error text: last error, slugs, attempts and turns where it names them."""
+    text = as_text(error) or ""
+    cls, found = None, {}
+    if m := _LAST_ERROR.search(text):
+        cls, sep, detail = m.group(1).strip().partition(":")
+        if sep and cls:
+            found["error_detail"] = detail.strip()
+        else:
+            cls = m.group(1).strip()
+        cls = cls.strip()
+        cls = next((to for sign, to in ERROR_SIGNS if sign in cls), cls)
+    if (m := _SLUGS.search(text)) and m.group(1).strip():
+        found["error_slugs"] = [x.strip() for x in m.group(1).strip().split(",")]
+    if m := _ATTEMPTS.search(text):
+        found["attempts"] = _int(m.group(1))
+        if m.group(2) is not None:
+            found["max_attempts"] = _int(m.group(2))
+    if m := _MOST_TURNS.search(text):
+        found["max_turns"] = _int(m.group(1))
+    if NO_REPORT in text:
+        cls = "no_final_report"
+    return cls or None, found
 
 
 def _int(v: Any) -> int:
+    """A whole number that fits a column, 0 for anything else."""
     try:
-        return int(v or 0)
-    except (TypeError, ValueError):
+        n = int(v or 0)
+    except (TypeError, ValueError, OverflowError):
         return 0
+    return n if -(2**63) <= n < 2**63 else 0
+
+
+def _float(v: Any) -> float:
+    try:
+        x = float(v or 0)
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+    return x if math.isfinite(x) else 0.0
+
+
+def _dict(v: Any) -> dict:
+    return v if isinstance(v, dict) else {}
+
+
+def _dicts(v: Any) -> list[dict]:
+    return [x for x in v if isinstance(x, dict)] if isinstance(v, list) else []
+
+
+def _word(v: Any) -> str | None:
+    """A text, '' as NULL; anything else as its JSON."""
+    return as_text(v) or None
 
 
 def _us(v: Any, tz: str | None) -> int | None:
@@ -85,69 +152,99 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return p
 
 
-def _tokens(acc: dict) -> dict[str, Any]:
+_TOKENS = {"tokens_in": "tokensIn", "tokens_out": "tokensOut", "tokens_cache_read": "tokensCacheRead", "tokens_cache_write": "tokensCacheWrite"}
+
+
+def _tokens(acc: Any) -> dict[str, Any]:
+    acc = _dict(acc)
+    out: dict[str, Any] = {c: _int(acc.get(n)) for c, n in _TOKENS.items()}
+    return out | {"cost_usd": _float(acc.get("costUsd")), "ctx_used": _int(sum(out.values()))}
+
+
+def _prefixed(o: Any) -> dict[str, Any]:
+    return {f"attr.{k}": v for k, v in sorted(_dict(o).items())}
+
+
+def _child(c: dict, sid: str, origin: str | None) -> dict[str, Any]:
+    """A session that only its parent has named so far; the child's own start overrides it."""
+    more = {k: c[k] for k in ("ledgerPath", "status", "callPath") if _word(c.get(k))}
     return {
-        "tokens_in": _int(acc.get("tokensIn")), "tokens_out": _int(acc.get("tokensOut")),
-        "tokens_cache_read": _int(acc.get("tokensCacheRead")), "tokens_cache_write": _int(acc.get("tokensCacheWrite")),
-        "cost_usd": float(acc.get("costUsd") or 0),
-        "ctx_used": sum(_int(acc.get(k)) for k in ("tokensIn", "tokensOut", "tokensCacheRead", "tokensCacheWrite")),
+        "session": _word(c.get("sessionId")), "root": _word(c.get("originId")) or origin, "parent": sid, "parent_op": _word(c.get("parentOpId")),
+        "session_kind": "sub_agent", "agent": _word(c.get("agentId")), "call_path": _word(c.get("callPath")),
+        "extras": json_text({"synthetic": True} | more),
     }
 
 
 def ledger_events(o: dict, base: dict, tz: str | None) -> list[dict]:
-    """The events of one valid ledger line."""
+    """The events of one valid ledger line with its documented names."""
     t = _us(o.get("ts"), tz)
-    sid, kind = str(o.get("sessionId")), o.get("recordType")
+    sid, origin, kind = _word(o.get("sessionId")), _word(o.get("originId")), o.get("recordType")
     out: list[dict] = []
 
     def add(kind: str, **f: Any) -> None:
         out.append(base | {"sub": len(out), "session": sid, "kind": kind, "ts": t} | f)
 
+    def log(message: Any, level: str, **f: Any) -> None:
+        add("log_entry", severity=level, message=_word(message), **f)
+
     if kind == "session_start":
-        parent = o.get("parentSessionId")
         add(
-            "session_started", root=str(o.get("originId")), parent=parent, parent_op=o.get("parentOpId"), agent=o.get("agentId"), call_path=o.get("callPath"),
-            session_kind="sub_agent" if parent else HEADEND_KIND.get(str(o.get("headendId")), "root"),
-            extras=json.dumps({f"attr.{k}": v for k, v in sorted((o.get("attributes") or {}).items())} | {k: o[k] for k in ("callPath", "capturePayloads", "headendId", "originId") if k in o}, ensure_ascii=False)
-            if isinstance(o.get("attributes") or {}, dict) else None,
+            "session_started", root=origin, parent=_word(o.get("parentSessionId")), parent_op=_word(o.get("parentOpId")), agent=_word(o.get("agentId")),
+            call_path=_word(o.get("callPath")), session_kind=headend_kind(o.get("headendId")),
+            extras=json_text({k: o[k] for k in ("headendId", "callPath", "parentSessionId", "parentOpId", "originId", "capturePayloads") if o.get(k) not in (None, "")} | _prefixed(o.get("attributes"))),
         )
     elif kind == "turn_start":
-        add("turn_started", turn_seq=_int(o.get("turn")))
+        add("turn_started", turn_seq=whole_from_1(o.get("turn")))
     elif kind == "turn_end":
-        turn = _int(o.get("turn"))
-        add("turn_finalized", turn_seq=turn, status=op_status(o.get("status")), end_ts=t, **_tokens(o.get("accounting") or {}))
-        for k, op in enumerate(o.get("ops") or [] if isinstance(o.get("ops"), list) else []):
-            if not isinstance(op, dict):
-                continue
-            start, end = _us(op.get("startedAt"), tz) or t, _us(op.get("endedAt"), tz)
-            acc = op.get("accounting") or {}
-            kids = [c for c in op.get("childSessions") or [] if isinstance(c, dict)] if isinstance(op.get("childSessions"), list) else []
-            cls, msg = error_parts(op.get("error"))
-            seq = _int(op.get("opIndex")) if op.get("opIndex") is not None else k
-            tool = op.get("kind") == "tool"
-            where = {"turn_seq": turn, "op_seq": seq}
+        turn = whole_from_1(o.get("turn"))
+        add("turn_finalized", turn_seq=turn, status=op_status(o.get("status")), end_ts=t, **_tokens(o.get("accounting")))
+        for k, op in enumerate(_dicts(o.get("ops"))):
+            start, end = _us(op.get("startedAt"), tz) or t, _us(op.get("endedAt"), tz) or t
+            kids, refs = _dicts(op.get("childSessions")), _dicts(op.get("payloadRefs"))
+            where = {"turn_seq": turn, "op_seq": k if op.get("opIndex") is None else _int(op.get("opIndex"))}
+            more = _prefixed(op.get("attributes"))
+            if len(kids) > 1:
+                more["additionalChildSessions"] = [_word(c.get("sessionId")) for c in kids[1:]]
             add(
-                "op_started", **where, ts=start, parent_op_seq=-1, op_kind=op.get("kind"), name=op.get("name"), model=op.get("model"),
-                provider=None if tool else op.get("provider"), namespace=(op.get("provider") or "builtin") if tool else None, child_session=kids[0].get("sessionId") if kids else None,
+                "op_started", **where, ts=start, parent_op_seq=-1, op_kind=_word(op.get("kind")), name=_word(op.get("name")), model=_word(op.get("model")), provider=_word(op.get("provider")),
+                namespace=_word(op.get("provider")) if op.get("kind") == "tool" else None, child_session=_word(kids[0].get("sessionId")) if kids else None, extras=json_text(more) if more else None,
             )
-            add("op_finalized", **where, ts=end or t, end_ts=end or t, status=op_status(op.get("status")), error_class=cls, error_message=msg, **_tokens(acc))
-            for r in op.get("payloadRefs") or [] if isinstance(op.get("payloadRefs"), list) else []:
-                if isinstance(r, dict):
-                    add("payload_ref", **where, ts=end or t, payload_kind=r.get("kind"), format=r.get("format"), location=r.get("path"), bytes_in=_int(r.get("originalBytes")), sha256=r.get("sha256"))
+            size = lambda kinds: _int(sum(_int(r.get("originalBytes")) for r in refs if r.get("kind") in kinds))
+            add(
+                "op_finalized", **where, ts=end, end_ts=end, status=op_status(op.get("status")), error_message=_word(op.get("error")),
+                bytes_in=size(BYTES_IN), bytes_out=size(BYTES_OUT), **_tokens(op.get("accounting")),
+            )
+            for r in refs:
+                add(
+                    "payload_ref", **where, ts=end, payload_kind=_word(r.get("kind")), format=_word(r.get("format")), location=_word(r.get("path")), sha256=_word(r.get("sha256")),
+                    bytes_in=None if r.get("originalBytes") is None else _int(r.get("originalBytes")), bytes_out=_int(r.get("compressedBytes")),
+                )
             for c in kids:
-                add("session_started", session=str(c.get("sessionId")), root=c.get("originId"), parent=sid, parent_op=op.get("opId"), session_kind="sub_agent", agent=c.get("agentId"), extras='{"synthetic":true}')
+                add("session_started", **_child(c, sid, origin))
+        for level, field in (("WRN", "warnings"), ("ERR", "errors")):
+            for x in o.get(field) if isinstance(o.get(field), list) else []:
+                log(x, level, turn_seq=turn)
     elif kind == "session_summary":
-        cls, msg = error_parts(o.get("error"))
-        add("session_finalized", status="failed" if op_status(o.get("status")) == "failed" else "completed", error_class=cls, error_message=msg, end_ts=t)
+        failed = o.get("status") == "failed"
+        cls, found = failure(o.get("error")) if failed and o.get("error") else (None, {})
+        add("session_finalized", status="failed" if failed else "completed", error_class=cls, error_message=_word(o.get("error")), end_ts=t)
+        if found:
+            add("session_updated", extras=json_text(found))
         if isinstance(o.get("finalReport"), dict):
-            add("session_updated", extras=json.dumps({f"finalReport.{k}": v for k, v in sorted(o["finalReport"].items())}))
+            add("session_updated", extras=json_text({f"finalReport.{k}": v for k, v in sorted(o["finalReport"].items()) if v != ""}))
+        if failed and o.get("error"):
+            log(o["error"], "ERR")
+        for c in _dicts(o.get("childSessions")):
+            add("session_started", **_child(c, sid, origin))
     elif kind == "session_error":
-        cls, msg = error_parts(o.get("error"))
-        add("session_finalized", status="failed", error_class=cls, error_message=msg, end_ts=t)
+        add("session_finalized", status="failed", error_class="session_error", error_message=_word(o.get("error")), end_ts=t)
+        log(o.get("error"), "ERR")
+        if _dict(o.get("attributes")):
+            add("session_updated", extras=json_text(_prefixed(o["attributes"])))
     return out
 
 
-@register("ledger")
+@register("aiagent_v3")
 def ledger(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """raw: row_id, source_id, file_name, line_no, raw_text."""
 
@@ -159,80 +256,126 @@ def ledger(raw: DataFrame, sources: DataFrame) -> DataFrame:
                 o, fault = ledger_record(text if isinstance(text, str) else None, z)
                 base = {"source_id": s, "file": f, "rec": int(no) if not pd.isna(no) else 0}
                 if o is not None:
-                    rows += ledger_events(o, base, z)
+                    rows += ledger_events(known_names(o), base, z)
                 elif fault:
                     rows.append(base | {"kind": "source_error", "sub": 0, "severity": "ERR", "message": f"{fault[0]}: {fault[1]}"})
+                if len(rows) > 20_000:
+                    yield _frame(rows)
+                    rows = []
             yield _frame(rows)
 
     return with_zone(raw, sources).select("source_id", "file_name", "line_no", "raw_text", "_tz").mapInPandas(run, EVENT)
 
 
-def snapshot_events(tree: dict, base: dict, tz: str | None, max_depth: int = 200) -> list[dict]:
-    """The events of a snapshot's tree; sub-sessions below ``max_depth`` end in a log entry."""
+def _success(v: Any) -> bool | None:
+    return {"true": True, "false": False}.get(v.strip().lower()) if isinstance(v, str) else v if isinstance(v, bool) else None
+
+
+def _first_model(s: dict) -> str | None:
+    """The model of a session's first model operation."""
+    for part in ("turns", "steps"):
+        for t in _dicts(s.get(part)):
+            for op in _dicts(t.get("ops")):
+                if op.get("kind") == "llm" and (m := _op_model(op)):
+                    return m
+    return None
+
+
+def _op_model(op: dict) -> str | None:
+    first = (_dicts(op.get("accounting")) or [{}])[0]
+    return _word(_dict(op.get("attributes")).get("model")) or (_word(first.get("model")) if first.get("type") == "llm" else None)
+
+
+def snapshot_events(tree: dict, base: dict, tz: str | None) -> list[dict]:
+    """The events of a snapshot's tree, of any depth; an explicit stack."""
     out: list[dict] = []
-    origin = str(tree.get("traceId"))
-    stack = [(tree, None, None, 0)]
+    origin, root_ts = _word(tree.get("traceId")), _us(tree.get("startedAt"), tz)
+    stack: list[tuple[dict, str | None, str | None]] = [(tree, None, None)]
     while stack:
-        s, parent, op_id, depth = stack.pop()
-        sid, t0 = str(s.get("traceId")), _us(s.get("startedAt"), tz)
+        s, parent, op_id = stack.pop()
+        sid, t0 = _word(s.get("traceId")), _us(s.get("startedAt"), tz) or root_ts
 
-        def add(kind: str, session: str = sid, **f: Any) -> None:
+        def add(kind: str, session: str | None = sid, **f: Any) -> None:
             out.append(base | {"sub": len(out), "session": session, "kind": kind, "ts": t0} | f)
 
+        more = {k: s[k] for k in ("sessionTitle", "latestStatus", "callPath", "id", "attributes", "totals", "finalReport") if s.get(k) not in (None, "", {}, [])}
         add(
-            "session_started", root=origin, parent=parent, parent_op=op_id, agent=s.get("agentId"), call_path=s.get("callPath"),
-            session_kind="sub_agent" if parent else "root", extras=json.dumps(s.get("attributes") or {}, ensure_ascii=False),
+            "session_started", root=origin if parent else sid, parent=parent, parent_op=op_id, agent=_word(s.get("agentId")), call_path=_word(s.get("callPath")),
+            session_kind="sub_agent" if parent else "root", model=_first_model(s), extras=json_text(more) if more else None,
         )
-        for part, shift in (("steps", 0), ("turns", 0)):
-            for k, t in enumerate(s.get(part) or [] if isinstance(s.get(part), list) else []):
-                if not isinstance(t, dict):
-                    continue
-                turn = (_int(t.get("index")) if t.get("index") is not None else k) + shift
-                b0, b1 = _us(t.get("startedAt"), tz) or t0, _us(t.get("endedAt"), tz)
+        below: list[tuple[dict, str | None, str | None]] = []
+        for part, shift in (("turns", 0), ("steps", STEP_OFFSET)):
+            for k, t in enumerate(_dicts(s.get(part))):
+                turn = (k if t.get("index") is None else _int(t.get("index"))) + shift
+                b0, b1 = _us(t.get("startedAt"), tz) or root_ts, _us(t.get("endedAt"), tz)
                 add("turn_started", turn_seq=turn, ts=b0)
-                states = []
-                for j, op in enumerate(t.get("ops") or [] if isinstance(t.get("ops"), list) else []):
-                    if not isinstance(op, dict):
-                        continue
-                    at, end = _us(op.get("startedAt"), tz) or b0, _us(op.get("endedAt"), tz)
-                    attrs = op.get("attributes") if isinstance(op.get("attributes"), dict) else {}
-                    accs = [a for a in op.get("accounting") or [] if isinstance(a, dict)] if isinstance(op.get("accounting"), list) else []
-                    llm = next((a for a in accs if a.get("type") == "llm"), {})
-                    tk = llm.get("tokens") if isinstance(llm.get("tokens"), dict) else {}
+                if shift and _word(t.get("kind")):
+                    add("session_updated", ts=b0, extras=json_text({f"step.{turn - shift}.kind": t["kind"]}))
+                states, sums = [], dict.fromkeys(_TOKENS, 0) | {"cost_usd": 0.0}
+                ops = _dicts(t.get("ops"))
+                next_reasoning = len(ops)
+                for j, op in enumerate(ops):
+                    at = _us(op.get("startedAt"), tz) or root_ts
+                    end = _us(op.get("endedAt"), tz) or at
+                    attrs, kind = _dict(op.get("attributes")), _word(op.get("kind"))
+                    first = (_dicts(op.get("accounting")) or [{}])[0]
+                    tk = _dict(first.get("tokens")) if first.get("type") == "llm" else {}
                     child = op.get("childSession") if isinstance(op.get("childSession"), dict) else None
+                    named = _word(child.get("traceId")) if child else _word(_dict(op.get("childSessionRef")).get("sessionId"))
                     st = op_status(op.get("status"))
                     states.append(st)
                     w = {"turn_seq": turn, "op_seq": j}
-                    tool = op.get("kind") == "tool"
+                    why = attrs.get("error") if isinstance(attrs.get("error"), str) else None
                     add(
-                        "op_started", **w, ts=at, parent_op_seq=-1, op_kind=op.get("kind"), name=attrs.get("name"), namespace=attrs.get("provider") if tool else None,
-                        model=llm.get("model"), provider=llm.get("provider") or (None if tool else attrs.get("provider")), child_session=str(child["traceId"]) if child and child.get("traceId") else None,
+                        "op_started", **w, ts=at, parent_op_seq=-1, op_kind=kind, name=_word(attrs.get("name")) or (_word(attrs.get("label")) if kind == "system" else None),
+                        namespace=_word(attrs.get("provider")) if kind == "tool" else None, model=_op_model(op), provider=_word(attrs.get("provider")) or _word(first.get("provider")), child_session=named,
                     )
+                    used: dict[str, Any] = {
+                        "tokens_in": _int(tk.get("inputTokens")), "tokens_out": _int(tk.get("outputTokens")), "tokens_cache_read": _int(tk.get("cacheReadInputTokens")) or _int(tk.get("cachedTokens")),
+                        "tokens_cache_write": _int(tk.get("cacheWriteInputTokens")),
+                    }
+                    used |= {"ctx_used": _int(sum(used.values())), "cost_usd": _float(first.get("costUsd")) if tk else 0.0}
+                    for c in sums:
+                        sums[c] += used[c]
                     add(
-                        "op_finalized", **w, ts=end or at, end_ts=end or at, status=st, tokens_in=_int(tk.get("inputTokens")), tokens_out=_int(tk.get("outputTokens")),
-                        tokens_cache_read=_int(tk.get("cacheReadInputTokens", tk.get("cachedTokens"))), tokens_cache_write=_int(tk.get("cacheWriteInputTokens")), cost_usd=float(llm.get("costUsd") or 0),
-                        ctx_used=sum(_int(tk.get(k)) for k in ("inputTokens", "outputTokens", "cacheWriteInputTokens")) + _int(tk.get("cacheReadInputTokens", tk.get("cachedTokens"))),
+                        "op_finalized", **w, ts=end, end_ts=end, status=st, error_class=why or None,
+                        bytes_in=_int(_dict(op.get("request")).get("size")), bytes_out=_int(_dict(op.get("response")).get("size")), **used,
                     )
-                    for g in op.get("logs") or [] if isinstance(op.get("logs"), list) else []:
-                        if isinstance(g, dict):
-                            add("log_entry", **w, ts=_us(g.get("timestamp"), tz) or at, severity=SEVERITY.get(str(g.get("severity")), "INF"), message=g.get("message"))
+                    thought = _word(_dict(op.get("reasoning")).get("final")) if kind == "llm" else None
+                    if thought:
+                        r = {"turn_seq": turn, "op_seq": next_reasoning}
+                        next_reasoning += 1
+                        add("op_started", **r, ts=at, parent_op_seq=j, op_kind="reasoning", extras=json_text({"reasoning.final": thought}))
+                        add("op_finalized", **r, ts=end, end_ts=end, status=st)
+                    for g in _dicts(op.get("logs")):
+                        add("log_entry", **w, ts=_us(g.get("timestamp"), tz) or end, severity=severity(g.get("severity")), message=_word(g.get("message")), extras=json_text({"path": g["path"]}) if _word(g.get("path")) else None)
+                    if st == "failed" and why:
+                        add("log_entry", **w, ts=end, severity="ERR", message=why)
                     if child:
-                        if depth + 1 < max_depth:
-                            stack.append((child, sid, op.get("opId"), depth + 1))
-                        else:
-                            add("log_entry", **w, severity="WRN", message="sub-session below the depth limit")
-                state = "failed" if "failed" in states else "completed" if states and all(x == "completed" for x in states) else "running"
-                add("turn_finalized", turn_seq=turn, ts=b1 or b0, end_ts=b1, status=state)
-        end = _us(s.get("endedAt"), tz)
-        if s.get("success") is not None or end:
-            ok = s.get("success")
-            ok = {"true": True, "false": False}.get(ok.lower(), None) if isinstance(ok, str) else ok
-            cls, msg = error_parts(s.get("error"))
-            add("session_finalized", ts=end or t0, end_ts=end, status="completed" if ok else "interrupted" if ok is None else "failed", error_class=cls, error_message=msg)
+                        below.append((child, sid, _word(op.get("opId"))))
+                if b1:
+                    # without operations nothing failed and nothing runs
+                    state = "failed" if "failed" in states else "completed" if all(x == "completed" for x in states) else "running"
+                    add("turn_finalized", turn_seq=turn, ts=b1, end_ts=b1, status=state, **{k: _int(v) if k != "cost_usd" else v for k, v in sums.items()})
+        end, ok = _us(s.get("endedAt"), tz), _success(s.get("success"))
+        if end or ok is not None:
+            add("session_finalized", ts=end or t0, end_ts=end, status=session_status(s, ok, end), error_message=_word(s.get("error")))
+        elif session_status(s, ok, end) == "abandoned":
+            add("session_finalized", status="abandoned")
+        stack += reversed(below)
     return out
 
 
-@register("snapshot")
+def session_status(s: dict, ok: bool | None, end: int | None) -> str:
+    """By the success flag; else ended is interrupted, nothing done abandoned, and what is left runs."""
+    if ok is not None:
+        return "completed" if ok else "failed"
+    if end:
+        return "interrupted"
+    return "running" if _dicts(s.get("turns")) or _dicts(s.get("steps")) else "abandoned"
+
+
+@register("aiagent_v2")
 def snapshot(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """raw: row_id, source_id, file_name, raw_text. A file delivered twice gives equal events."""
 
@@ -254,123 +397,9 @@ def snapshot(raw: DataFrame, sources: DataFrame) -> DataFrame:
     return with_zone(raw, sources).select("source_id", "file_name", "raw_text", "_tz").mapInPandas(run, EVENT)
 
 
-# ---- transcripts ------------------------------------------------------------------------------------------
-_BLOCK = "array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,is_error:boolean>>"
-
-
-_MESSAGE = (
-    "struct<model:string,content:string,usage:struct<input_tokens:bigint,output_tokens:bigint,"
-    "cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>"
-)
-
-
-def tool_namespace(name: Column) -> Column:
-    """``mcp__server__tool`` belongs to ``mcp:server``, every other tool to ``builtin``."""
-    srv = F.regexp_extract(name, r"^mcp__(.+?)__", 1)
-    return F.when(srv != "", F.concat(F.lit("mcp:"), srv)).otherwise("builtin")
-
-
-def transcript_ops(lines: DataFrame) -> DataFrame:
-    """Operations of transcript lines: session, agent, turn_seq, op_seq, op_kind, name, namespace, model, line_id, status, tokens.
-
-    A turn begins at each prompt. A tool call gets its state from the result that
-    names its id, an equi-join; without one it stays running.
-    """
-    key = ["session_id", "agent"]
-    parsed = lines.select(
-        "session_id",
-        F.coalesce("agent_id", F.lit("")).alias("agent"),
-        "line_id",
-        "uuid",
-        F.lower(F.trim("line_type")).alias("kind"),
-        (F.coalesce("is_meta", F.lit(False)) | F.coalesce("is_compact_summary", F.lit(False))).alias("quiet"),
-        F.from_json("message", _MESSAGE).alias("m"),
-    )
-    is_list = F.col("m.content").startswith("[")
-    parsed = parsed.withColumn("blocks", F.when(is_list, F.from_json("m.content", _BLOCK))).withColumn("plain", F.when(~is_list, F.col("m.content")))
-    none = F.array().cast(_BLOCK)
-    pick = lambda *types: F.filter(F.coalesce("blocks", none), lambda b: b["type"].isin(*types))
-    has_text = F.coalesce(F.trim("plain") != "", F.lit(False)) | F.exists(pick("text"), lambda b: F.trim(b["text"]) != "")
-    # only names, ids and numbers go on; texts end here, before the first shuffle
-    base = parsed.select(
-        *key, "line_id", "uuid", "kind", F.col("m.model").alias("model"), "m.usage",
-        ((F.col("kind") == "user") & ~F.col("quiet") & F.coalesce(has_text, F.lit(False))).alias("p"),
-        F.transform(pick("tool_use", "thinking"), lambda b: F.struct(F.when(b["type"] == "tool_use", "tool").otherwise("reasoning").alias("op_kind"), b["name"].alias("name"), b["id"].alias("tool_use_id"))).alias("calls"),
-        F.transform(pick("tool_result"), lambda b: F.struct(b["tool_use_id"].alias("id"), F.coalesce(b["is_error"], F.lit(False)).alias("bad"))).alias("results"),
-    ).withColumn("copy", F.row_number().over(_same_line())).where("copy = 1").drop("copy", "uuid")
-    turns = numbered_turns(base, key, ["line_id"], "p")
-    one = lambda k, name: F.struct(F.lit(k).alias("op_kind"), name.alias("name"), F.lit(None).cast("string").alias("tool_use_id"))
-    ops = turns.select(
-        *key, "turn_seq", "line_id", "model", "usage",
-        F.posexplode(
-            F.when(F.col("p"), F.array(one("internal", F.lit("user_input"))))
-            .when(F.col("kind") == "assistant", F.concat(F.array(one("llm", F.col("model"))), "calls"))
-        ).alias("k", "op"),
-    ).select(*key, "turn_seq", "line_id", "k", "op.*", "model", "usage.*")
-    numbered = positions(ops, [*key, "turn_seq"], ["line_id", "k"], "op_seq")
-    results = (
-        base.select("session_id", "agent", F.explode("results").alias("b"), F.col("line_id").alias("result_line"))
-        .where("b.id is not null")
-        .groupBy(F.col("session_id").alias("_s"), F.col("agent").alias("_a"), F.col("b.id").alias("_t"))
-        .agg(F.max("b.bad").alias("_e"), F.min("result_line").alias("result_line"))
-    )
-    j = numbered.join(results, (numbered["session_id"] == results["_s"]) & (numbered["agent"] == results["_a"]) & (numbered["tool_use_id"] == results["_t"]), "left")
-    llm = F.col("op_kind") == "llm"
-    return j.select(
-        *key, "turn_seq", "op_seq", "op_kind", "name", F.when(F.col("op_kind") == "tool", tool_namespace(F.col("name"))).alias("namespace"),
-        F.when(llm, F.col("model")).alias("model"), "line_id", "result_line",
-        F.when(F.col("op_kind") != "tool", "completed").when(F.col("_e"), "failed").when(F.col("result_line").isNotNull(), "completed").otherwise("running").alias("status"),
-        *[F.when(llm, F.coalesce(F.col(a), F.lit(0))).otherwise(0).alias(b) for a, b in (("input_tokens", "tokens_in"), ("output_tokens", "tokens_out"), ("cache_read_input_tokens", "tokens_cache_read"), ("cache_creation_input_tokens", "tokens_cache_write"))],
-    )
-
-
-def _same_line():
-    """A line delivered twice has the same uuid; its copies are few."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session_id", F.coalesce("uuid", F.col("line_id").cast("string"))).orderBy("line_id")
-
-
-# ---- rollouts (timestamp, type, payload lines) --------------------------------------------------------------
-def rollout_ops(lines: DataFrame) -> DataFrame:
-    """Operations of rollout lines; lines: file, line_no, raw_text.
-
-    Turns begin at task_started. Calls and outputs pair by call id; token counts
-    are per call, the fresh input without the cached part; the model is the last one set.
-    """
-    j = lambda p: F.get_json_object("raw_text", f"$.{p}")
-    base = lines.select(
-        "file", "line_no", j("type").alias("type"), j("payload.type").alias("ptype"), j("payload.name").alias("name"), j("payload.call_id").alias("call_id"),
-        j("payload.role").alias("role"), j("payload.model").alias("set_model"), F.unix_micros(F.try_to_timestamp(j("timestamp"))).alias("ts"),
-        j("payload.info.last_token_usage.input_tokens").cast("bigint").alias("ti"), j("payload.info.last_token_usage.cached_input_tokens").cast("bigint").alias("tc"),
-        j("payload.info.last_token_usage.output_tokens").cast("bigint").alias("to"), F.lower(j("payload.output")).alias("output"),
-    )
-    t = numbered_turns(base.withColumn("p", F.coalesce(F.col("ptype") == "task_started", F.lit(False))), ["file"], ["line_no"], "p")
-    t = carry_last(t, ["file"], ["line_no"], "set_model", "model", include_row=True)
-    kind = (
-        F.when((F.col("ptype") == "message") & (F.col("role") == "user"), "internal")
-        .when((F.col("ptype") == "message") & (F.col("role") == "assistant"), "llm")
-        .when(F.col("ptype") == "reasoning", "reasoning")
-        .when(F.col("ptype").isin("function_call", "custom_tool_call", "local_shell_call"), "tool")
-    )
-    ops = t.where(F.col("type") == "response_item").withColumn("op_kind", kind).where("op_kind is not null")
-    ops = positions(ops, ["file", "turn_seq"], ["line_no"], "op_seq")
-    out = t.where(F.col("ptype").isin("function_call_output", "custom_tool_call_output")).groupBy(F.col("file").alias("_f"), F.col("call_id").alias("_c")).agg(
-        F.min("ts").alias("end_ts"), F.max(F.coalesce(F.col("output").contains("error") | F.col("output").contains("sandbox denied"), F.lit(False))).alias("bad")
-    )
-    use = t.where("ptype = 'token_count'").groupBy(F.col("file").alias("_uf"), F.col("turn_seq").alias("_ut")).agg(
-        F.sum(F.greatest(F.col("ti") - F.coalesce("tc", F.lit(0)), F.lit(0))).alias("tokens_in"), F.sum("tc").alias("tokens_cache_read"), F.sum("to").alias("tokens_out")
-    )
-    last_llm = ops.where("op_kind = 'llm'").groupBy(F.col("file").alias("_lf"), F.col("turn_seq").alias("_lt")).agg(F.max("op_seq").alias("_lo"))
-    x = ops.join(out, (ops["file"] == out["_f"]) & (ops["call_id"] == out["_c"]) & (ops["op_kind"] == "tool"), "left")
-    x = x.join(last_llm, (x["file"] == last_llm["_lf"]) & (x["turn_seq"] == last_llm["_lt"]) & (x["op_seq"] == last_llm["_lo"]), "left")
-    x = x.join(use, (x["_lf"] == use["_uf"]) & (x["_lt"] == use["_ut"]), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return x.select(
-        "file", "turn_seq", "op_seq", "op_kind", "name", F.when(F.col("op_kind") == "llm", F.col("model")).alias("model"), F.col("ts").alias("start_ts"), "end_ts",
-        F.when(F.col("op_kind") != "tool", "completed").when(F.col("bad"), "failed").when(F.col("end_ts").isNotNull(), "completed").otherwise("running").alias("status"),
-        zero("tokens_in"), zero("tokens_out"), zero("tokens_cache_read"),
-    )
+def as_events(df: DataFrame) -> DataFrame:
+    """Rows of the canonical form; what ``df`` lacks is NULL."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT])
 
 
 # ---- files ------------------------------------------------------------------------------------------------
@@ -423,18 +452,48 @@ def read_payload(uri: str, roots: list[str], cap: int = 1 << 20) -> bytes:
         else:
             data = f.read(cap + 1) if "json_pointer" not in u.query else f.read()
     if "json_pointer" in u.query:
-        v = json_pointer(json.loads(data), parse_qs(u.query)["json_pointer"][0])
-        data = v.encode() if isinstance(v, str) else json.dumps(v, ensure_ascii=False).encode()
+        v = json_pointer(load(data.decode("utf-8", "replace")), parse_qs(u.query)["json_pointer"][0])
+        data = (v if isinstance(v, str) else json_text(v)).encode()
     return data[:cap]
 
 
+def payload_preview(text: str, cap: int) -> tuple[str, bool]:
+    """(preview of at most ``cap`` bytes, cut). A JSON object is cut behind its last whole value and closed, so it stays JSON."""
+    if len(text.encode()) <= cap:
+        return text, False
+    start = len(text) - len(text.lstrip())
+    best = ""
+    try:
+        if text[start : start + 1] != "{":
+            raise SyntaxStop(start, "a record")
+        closers = ""
+        for kind, _, v, at in stream(text, start):
+            if kind == OPEN:
+                closers = ("}" if v == "{" else "]") + closers
+                cut = text[start : at + 1]
+            elif kind == CLOSE:
+                closers = closers[1:]
+                cut = text[start:at]
+            else:
+                cut = text[start : _END_OF_SCALAR.match(text, at).end()]
+            if len(cut.encode()) + len(closers) > cap:
+                break
+            best = cut + closers
+    except SyntaxStop:
+        best = ""
+    return best or text.encode()[:cap].decode("utf-8", "ignore"), True
+
+
+_END_OF_SCALAR = re.compile(r'"(?:[^"\\]|\\.)*"|[^,}\]\s]+')
+
+
 TEXT_KEYS = ("text", "content_text", "output_text")
 
 
 def extract_text(raw: str, depth: int = 32) -> str:
     """The texts of a JSON payload joined by line ends, keys in order; what is no JSON or has no text stays as it is."""
     try:
-        o = json.loads(raw)
+        o = load(raw)
     except ValueError:
         return raw
     found: list[str] = []

@@ -12,10 +12,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 class SqliteSource(DataSource):
-    """``format("sqlite_table")``: options path, table, columns (wanted, as name:type), required, since.
+    """``format("sqlite_table")``: options path, table, columns (wanted, as name:type), required, since, key and ids.
 
     Wanted columns that the file lacks read as NULL, missing required ones are an error.
     ``since`` is a time_updated from which on rows are read, itself included, so that ties are not lost.
+    ``ids``, parted by U+001F, are the only values of the column ``key`` that are read.
     """
 
     @classmethod
@@ -42,6 +43,8 @@ class _SqliteReader(DataSourceReader):
         self.path, self.table, self.wanted = options["path"], options["table"], wanted
         self.required = [c for c in (options.get("required") or "").split(",") if c]
         self.since = options.get("since")
+        self.key, ids = options.get("key"), options.get("ids")
+        self.ids = None if ids is None else ids.split("\x1f")
         self.rows = int(options.get("rows") or 100_000)
 
     def _open(self) -> sqlite3.Connection:
@@ -61,7 +64,11 @@ class _SqliteReader(DataSourceReader):
                 raise ValueError(f"{self.table} lacks {', '.join(gone)}")
             cols = ", ".join(f'"{n}"' if n in live else "null" for n, _ in self.wanted)
             more = " and time_updated >= ?" if self.since and "time_updated" in live else ""
-            args = [partition.lo, partition.hi, *([int(self.since)] if more else [])]
+            args: list = [partition.lo, partition.hi, *([int(self.since)] if more else [])]
+            if self.ids is not None:
+                c.execute("create temp table wanted (id text primary key)")
+                c.executemany("insert or ignore into wanted values (?)", [(i,) for i in self.ids])
+                more += f' and "{self.key}" in (select id from wanted)'
             for row in c.execute(f'select {cols} from "{self.table}" where rowid between ? and ?{more}', args):
                 yield tuple(
                     (None if v is None else int(v)) if t == "bigint" else (None if v is None else str(v)) for v, (_, t) in zip(row, self.wanted)
@@ -104,6 +111,9 @@ class _TailReader(SimpleDataSourceStreamReader):
         with open(f, "rb") as h:
             h.seek(lo)
             data = h.read(self.most if hi is None else hi - lo)
+            # a line longer than one step: on until it ends
+            while hi is None and b"\n" not in data and (more := h.read(self.most)):
+                data += more
         end = data.rfind(b"\n") + 1
         rows, at = [], 0
         for line in data[:end].split(b"\n")[:-1]:

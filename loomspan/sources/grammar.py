@@ -326,16 +326,16 @@ def json_text(v: Any) -> str:
         if isinstance(x, dict):
             todo.append("}")
             for k, (name, y) in enumerate(reversed(x.items())):
-                todo += [(y,), json.dumps(name, ensure_ascii=False) + ": "]
+                todo += [(y,), json.dumps(name, ensure_ascii=False) + ":"]
                 if k < len(x) - 1:
-                    todo.append(", ")
+                    todo.append(",")
             todo.append("{")
         elif isinstance(x, (list, tuple)):
             todo.append("]")
             for k, y in enumerate(reversed(x)):
                 todo.append((y,))
                 if k < len(x) - 1:
-                    todo.append(", ")
+                    todo.append(",")
             todo.append("[")
         else:
             out.append(x.text if isinstance(x, Decimal64) else json.dumps(x, ensure_ascii=False))

@@ -219,7 +219,7 @@ def test_consistent_tables_keep_all_fields_and_repeated_paths(spark):
     pairs = lambda x: {y["field"]: y["value"] for y in x}
     t = {r["file_key"]: r for r in drift.consistent_table(raw, "legacy_rollouts", found, doc, sources(spark)).collect()}
     assert {k: (r["session_n"], r["session_ok"], pairs(r["rest"]), pairs(r["originals"])) for k, r in t.items()} == {
-        "renamed": (None, True, {}, {"session.n": "12.7"}), "entries": (12, None, {"session.extra": '{"a": 1}', "budget": None}, {}),
+        "renamed": (None, True, {}, {"session.n": "12.7"}), "entries": (12, None, {"session.extra": '{"a":1}', "budget": None}, {}),
         "huge": (None, None, {}, {"session.n": str(2**63), "session.ok": "1"}),
     }
     items = drift.consistent_table(raw, "legacy_rollouts", found, doc, sources(spark), "items[]").collect()
