@@ -257,18 +257,26 @@ def full_paths(resolved: DataFrame) -> DataFrame:
     )
 
 
+#: Preorder numbers of one bucket in the search for descendants.
+BUCKET = 1024
+
+
 def descendants(resolved: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ancestor, node, below) for the ``wanted`` nodes (column node).
 
-    A range join within each tree: equi on the top, preorder within the interval.
+    A range join in buckets of preorder numbers: a wanted node's interval is cut at the buckets' borders, so
+    a join key never has more than BUCKET nodes and the work is that of the output, however large one tree is.
     """
-    a = resolved.join(wanted.select("node").distinct(), "node", "left_semi").select(
-        F.col("node").alias("ancestor"), F.col("top").alias("a_top"), F.col("pre").alias("a_pre"), F.col("size").alias("a_size"), F.col("depth").alias("a_depth")
+    bucket = lambda c: F.floor(c / BUCKET).cast("bigint")
+    a = resolved.where("not in_loop").join(wanted.select("node").distinct(), "node", "left_semi").select(
+        F.col("node").alias("ancestor"), F.col("top").alias("a_top"), F.col("pre").alias("a_pre"), F.col("size").alias("a_size"), F.col("depth").alias("a_depth"),
+        F.explode(F.sequence(bucket(F.col("pre")), bucket(F.col("pre") + F.col("size") - 1))).alias("a_bucket"),
+    )
+    d = resolved.where("not in_loop").select("node", "top", "pre", "depth", bucket(F.col("pre")).alias("bucket"))
+    inside = (F.col("pre") > F.col("a_pre")) & (F.col("pre") < F.col("a_pre") + F.col("a_size"))
+    return a.join(d, (F.col("top") == F.col("a_top")) & (F.col("bucket") == F.col("a_bucket")) & inside).select(
+        "ancestor", "node", (F.col("depth") - F.col("a_depth")).alias("below")
     )
-    d = resolved.where("not in_loop").select("node", "top", "pre", "depth")
-    return a.join(
-        d, (F.col("top") == F.col("a_top")) & (F.col("pre") > F.col("a_pre")) & (F.col("pre") < F.col("a_pre") + F.col("a_size"))
-    ).select("ancestor", "node", (F.col("depth") - F.col("a_depth")).alias("below"))
 
 
 SEP = "\x1f"

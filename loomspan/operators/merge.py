@@ -138,6 +138,7 @@ def fold_ops(ev: DataFrame) -> DataFrame:
     st, fin = F.col("kind") == "op_started", F.col("kind") == "op_finalized"
     at = lambda c: F.when(st, F.col(c))
     g = ev.where(st | fin).groupBy("source_id", "session", "turn_seq", "op_seq").agg(
+        F.bool_or(st).alias("begun"),
         F.min(at("ts")).alias("start_ts"),
         F.max_by(at("op_kind"), F.when(st, o)).alias("op_kind"),
         F.max_by(at("name"), F.when(st, o)).alias("name"),
@@ -150,7 +151,7 @@ def fold_ops(ev: DataFrame) -> DataFrame:
         ).alias("f"),
     )
     ok = (F.col("f.end_ts") > 0) & (F.col("start_ts") > 0) & (F.col("f.end_ts") >= F.col("start_ts"))
-    return g.where("start_ts is not null").select(
+    return g.where("begun").select(
         "source_id", "session", "turn_seq", "op_seq", "parent_op_seq", "op_kind", "name", "namespace", "model", "provider", "child_session",
         "start_ts", F.when(ok, F.col("f.end_ts")).alias("end_ts"), F.when(ok, F.col("f.end_ts") - F.col("start_ts")).alias("duration_us"),
         F.coalesce("f.status", F.lit("running")).alias("status"), "f.error_class", "f.error_message",
@@ -179,3 +180,22 @@ def orphan_refs(refs: DataFrame, ops: DataFrame) -> DataFrame:
 def stubs(declared: DataFrame, referenced: DataFrame) -> DataFrame:
     """(source_id, session) that events refer to but none declares."""
     return referenced.select("source_id", "session").where("session <> ''").distinct().join(declared.select("source_id", F.col("native_id").alias("session")), ["source_id", "session"], "left_anti")
+
+
+def wide_session_events(ev: DataFrame) -> DataFrame:
+    """The session events of the wide form in the shape of ``session_events``; arrival order is (file, record, place in it)."""
+    none = F.lit(None).cast("string")
+    return ev.where(F.col("kind").isin("session_started", "session_updated", "session_finalized") & (F.col("session") != "")).select(
+        F.col("kind").alias("event_kind"),
+        "source_id",
+        F.col("session").alias("native_id"),
+        F.struct(*_ORD).alias("ord"),
+        "ts",
+        *[(F.col(w) if w else none).alias(c) for c, w in zip(SESSION_TEXTS, ("agent", "model", "cwd", "provider", None, "call_path", "session_kind"))],
+        F.col("parent").alias("parent_native_id"),
+        F.col("root").alias("root_native_id"),
+        *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("status", "error_class", "error_message")],
+        "end_ts",
+        "extras",
+        F.coalesce(F.get_json_object("extras", "$.synthetic") == "true", F.lit(False)).alias("synthetic"),
+    )

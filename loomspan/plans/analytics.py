@@ -710,52 +710,92 @@ def parity_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- source adapters --------------------------------------------------------------------------------------
-from loomspan.sources import adapters  # noqa: E402
+from loomspan.plans import adapter_sql  # noqa: E402
+from loomspan.sources import adapters, rollouts, transcripts  # noqa: E402
+
+
+def plain_query(sql: str | None) -> Callable[[Query], Query]:
+    """Registers a query whose SQL stands on its own."""
+
+    def add(q: Query) -> Query:
+        QUERIES[q.__name__] = q
+        if sql:
+            SQL[q.__name__] = sql
+        return q
+
+    return add
 
 
 def _ledger_events(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.get("ledger")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
+    return adapters.get("aiagent_v3")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
 
 
 def _snapshot_events(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.get("snapshot")(table(spark, d, "snapshot_files"), table(spark, d, "sources"))
+    return adapters.get("aiagent_v2")(table(spark, d, "snapshot_files"), table(spark, d, "sources"))
 
 
-@query(None)
+def _transcript_events(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.get("claude_code")(table(spark, d, "transcript_lines"), table(spark, d, "sources"))
+
+
+_OP = ["source_id", "session", "turn_seq", "op_seq", "op_kind", "name", "namespace", "model", "provider", "child_session", "status"]
+_USED = ["tokens_in", "tokens_out", "tokens_cache_read", "tokens_cache_write", "cost_usd"]
+
+
+@plain_query(None)
 def ledger_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return _ledger_events(spark, d).groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@plain_query(None)
 def snapshot_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return _snapshot_events(spark, d).groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@plain_query(adapter_sql.TRANSCRIPT_EVENT_COUNTS)
+def transcript_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _transcript_events(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plain_query(adapter_sql.LEDGER_OPERATIONS)
 def ledger_operations(spark: SparkSession, d: str) -> DataFrame:
-    return merge.fold_ops(_ledger_events(spark, d))
+    return merge.fold_ops(_ledger_events(spark, d)).select(*_OP, "error_message", *_USED, "bytes_in", "bytes_out", "ctx_used")
 
 
-@query(None)
+@plain_query(adapter_sql.SNAPSHOT_OPERATIONS)
 def snapshot_operations(spark: SparkSession, d: str) -> DataFrame:
-    return merge.fold_ops(_snapshot_events(spark, d))
+    return merge.fold_ops(_snapshot_events(spark, d)).select(*_OP, "error_class", *_USED)
 
 
-@query(None)
+@plain_query(adapter_sql.LEDGER_TURNS)
 def ledger_turns(spark: SparkSession, d: str) -> DataFrame:
-    return merge.fold_turns(_ledger_events(spark, d))
+    return merge.fold_turns(_ledger_events(spark, d)).drop("error_class")
 
 
-@query(
-    """, o as (select message from (select *, row_number() over (partition by session_id, coalesce(uuid, cast(line_id as varchar)) order by line_id) as k from transcript_lines) where k = 1
-  and lower(trim(line_type)) = 'assistant'),
-b as (select unnest(cast(json_extract(message, '$.content') as json[])) as b from o where json_type(message, '$.content') = 'ARRAY')
-select case b ->> '$.type' when 'tool_use' then 'tool' else 'reasoning' end as op_kind, b ->> '$.name' as name, count(*) as n from b where b ->> '$.type' in ('tool_use', 'thinking') group by all
-union all select 'llm', message ->> '$.model', count(*) from o group by all"""
-)
+@plain_query(adapter_sql.TRANSCRIPT_OPERATIONS)
 def transcript_operations(spark: SparkSession, d: str) -> DataFrame:
-    ops = adapters.transcript_ops(table(spark, d, "transcript_lines"))
-    return ops.where("op_kind <> 'internal'").groupBy("op_kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    o = transcripts.transcript_ops(table(spark, d, "transcript_lines"))
+    return o.select("session_id", "agent", "turn_seq", "op_seq", "op_kind", "name", "namespace", "model", "line_id", "status", "error_class", *_USED[:4])
+
+
+@plain_query(None)
+def ledger_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_sessions(merge.wide_session_events(_ledger_events(spark, d)))
+
+
+@plain_query(None)
+def snapshot_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_sessions(merge.wide_session_events(_snapshot_events(spark, d)))
+
+
+@plain_query(None)
+def transcript_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return merge.fold_sessions(merge.wide_session_events(_transcript_events(spark, d)))
+
+
+@plain_query(None)
+def legacy_operations(spark: SparkSession, d: str) -> DataFrame:
+    return rollouts.legacy_ops(table(spark, d, "legacy_rollouts"))
 
 
 # ---- further lists ----------------------------------------------------------------------------------------

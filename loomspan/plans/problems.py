@@ -103,6 +103,16 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every session outside loops, from the intervals of preorder numbers."""
+    r = stage(hierarchy.session_forest(table(spark, d, "sessions"), table(spark, d, "expected_events")))
+    part = lambda c, k: F.element_at(F.split(c, hierarchy.SEP), k)
+    src = F.when(part("ancestor", 1) == "s", "sessions").otherwise("expected_events")
+    return hierarchy.descendants(r, r).select(
+        src.alias("src_table"), F.when(part("ancestor", 1) == "e", part("ancestor", 2)).otherwise("").alias("source_id"), part("ancestor", -1).alias("ancestor_id"), part("node", -1).alias("node_id"), F.col("below").cast("int").alias("below")
+    )
+
+
 def p2_full_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path of every session outside loops in both forests, from the top down, joined by '/'."""
     r = stage(hierarchy.session_forest(table(spark, d, "sessions"), table(spark, d, "expected_events")))
@@ -192,9 +202,17 @@ select p.src_table, case when p.src_table = 'sessions' then src.source_id else s
   case when p.src_table = 'sessions' then p.node else split_part(p.node, chr(31), 2) end as node_id, p.full_path
 from paths p left join src on p.src_table = 'sessions' and src.node = p.node"""
 
+P2_DESCENDANTS_SQL = f"""with recursive {_LINKS_SQL},
+pairs as (
+  select f.src_table, f.parent as up, f.node, 1 as below from fixed f join walk w on w.src_table = f.src_table and w.node = f.node where f.parent is not null
+  union all
+  select p.src_table, f.parent, p.node, p.below + 1 from pairs p join fixed f on f.src_table = p.src_table and f.node = p.up where f.parent is not null)
+select src_table, case when src_table = 'sessions' then '' else split_part(up, chr(31), 1) end as source_id, case when src_table = 'sessions' then up else split_part(up, chr(31), 2) end as ancestor_id,
+  case when src_table = 'sessions' then node else split_part(node, chr(31), 2) end as node_id, below from pairs"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_kinds, p3_found, p3_rest, p3_groups, p4_found, p4_utc, p4_forms, p2_found, p2_hierarchy, p2_full_paths, p7_found, p7_reasons, p7_recovered, p7_ledger_rows, p7_session_rows, p7_rollout_items)
+    for f in (p1_found, p1_kinds, p3_found, p3_rest, p3_groups, p4_found, p4_utc, p4_forms, p2_found, p2_hierarchy, p2_descendants, p2_full_paths, p7_found, p7_reasons, p7_recovered, p7_ledger_rows, p7_session_rows, p7_rollout_items)
 }
 QUERIES |= {f"p1_{k}_table": _consistent(t) for k, t in (("snapshot", "snapshot_files"), ("ledger", "ledger_lines"), ("rollout", "legacy_rollouts"), ("transcript", "transcript_lines"))}
 QUERIES |= {f"p1_{k}_table": _consistent(t, at) for k, t, at in (
@@ -206,7 +224,7 @@ QUERIES |= {f"p3_{name}": _flat(kind) for name, kind in (
     ("records", "record"), ("logs", "op.logs[]"), ("accounting", "op.accounting[]"), ("warnings", "record.warnings[]"), ("errors", "record.errors[]"),
 )}
 SQL: dict[str, str] = {
-    "p1_found": problem_sql.P1_FOUND, "p1_kinds": problem_sql.P1_KINDS, "p2_found": P2_FOUND_SQL, "p2_full_paths": P2_FULL_PATHS_SQL, "p3_found": problem_sql.P3_FOUND,
+    "p1_found": problem_sql.P1_FOUND, "p1_kinds": problem_sql.P1_KINDS, "p2_found": P2_FOUND_SQL, "p2_full_paths": P2_FULL_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL, "p3_found": problem_sql.P3_FOUND,
     "p4_found": problem_sql.P4_FOUND, "p4_utc": problem_sql.P4_UTC, "p7_found": problem_sql.P7_FOUND, "p7_ledger_rows": problem_sql.P7_LEDGER_ROWS, "p7_session_rows": problem_sql.P7_SESSION_ROWS,
     "p7_rollout_items": problem_sql.P7_ROLLOUT_ITEMS, "p3_attributes": problem_sql.P3_ATTRIBUTES, "p3_rest": problem_sql.rest(flatten.COLUMNS),
 }

@@ -23,7 +23,7 @@ from loomspan.operators.windows import numbered_turns, positions
 from loomspan.sources.adapters import as_events, register
 
 _BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,tool_use_id:string,is_error:boolean>"
-_USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
+_USAGE = "struct<input_tokens:string,output_tokens:string,cache_read_input_tokens:string,cache_creation_input_tokens:string>"
 # The model name of lines that no model wrote, the provider of all others, the tool that starts a session.
 SYNTHETIC, PROVIDER, AGENT_TOOL = "<synthetic>", "anthropic", "Agent"
 KEY = ["session_id", "agent"]
@@ -128,7 +128,7 @@ def _operations(base: DataFrame) -> DataFrame:
         F.when(called, F.col("r.ts")).otherwise(F.col("ts")).alias("end_ts"), "block", F.col("r.block").alias("result_block"), "tool_use_id", "bytes_out",
         F.when(~called, "completed").when(F.col("r.bad"), "failed").when(F.col("r").isNotNull(), "completed").otherwise("running").alias("status"),
         F.when(called & F.col("r.bad"), "tool_error").alias("error_class"),
-        *[F.when(llm, F.coalesce(F.col(a), F.lit(0))).otherwise(0).alias(b) for a, b in _USED.items()],
+        *[F.when(llm, F.coalesce(F.col(a).try_cast("bigint"), F.lit(0))).otherwise(0).alias(b) for a, b in _USED.items()],
     )
 
 
