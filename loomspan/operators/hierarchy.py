@@ -31,40 +31,39 @@ from pyspark.sql import functions as F
 from loomspan.runtime import blank_to_null, running_total, stage, unstage
 
 
-def links(df: DataFrame, node: str, parent: str, order: list[str]) -> DataFrame:
-    """One row per node: ``node``, ``parent`` (NULL without), ``named`` (it has a parent in some row).
+def links(df: DataFrame, node: str, parent: str, order: list[str], keep: str | None = None) -> DataFrame:
+    """One row per node: ``node``, ``parent`` (NULL without), ``named`` (it has a parent in some row) and the latest value of ``keep``.
 
     The latest non-empty parent by ``order`` counts, as later states may leave it empty.
     """
     n, p = blank_to_null(F.col(node)), blank_to_null(F.col(parent))
-    by = F.struct(*[F.col(c) for c in order], p)
+    at = F.struct(*[F.col(c) for c in order])
     return (
-        df.select(n.alias("node"), F.when(p.isNotNull(), by).alias("by"), p.alias("p"))
+        df.select(n.alias("node"), F.when(p.isNotNull(), F.struct(at, p)).alias("by"), p.alias("p"), at.alias("at"), (F.col(keep) if keep else F.lit(None).cast("string")).alias("kept"))
         .where("node is not null")
         .groupBy("node")
-        .agg(F.max_by("p", "by").alias("parent"))
+        .agg(F.max_by("p", "by").alias("parent"), F.max_by("kept", "at").alias("kept"))
         .withColumn("named", F.col("parent").isNotNull())
     )
 
 
+_SEGMENTS = "array<struct<chain:string,upto:bigint>>"
+
+
 def resolve(forest: DataFrame) -> DataFrame:
-    """The hierarchy of (node, parent, named).
+    """The hierarchy of (node, parent, ...); what else ``forest`` has is passed on.
 
-    Returns node, parent (NULL if it does not exist), named, top (NULL in loops),
+    Returns node, parent (NULL if it does not exist), top (NULL in loops),
     depth (-1 in loops), in_loop, size (nodes in the subtree, itself included),
     chain (head of the heavy path), chain_pos, pre, segments: array of
     (chain, upto) from the top down; joined, they are the full path.
     """
+    keep = [c for c in forest.columns if c not in ("node", "parent")]
     known = forest.select(F.col("node").alias("known"))
-    base = stage(
-        forest.join(known, forest["parent"] == known["known"], "left").select(
-            "node", F.col("known").alias("parent"), "named"
-        )
-    )
-    doubled = stage(_double(base))
-    good = stage(doubled.where("not in_loop").select("node", "parent", "named", "size"))
-    bad = doubled.where("in_loop").select("node", "parent", "named")
-
+    base = stage(forest.join(known, forest["parent"] == known["known"], "left").select("node", F.col("known").alias("parent"), *keep))
+    doubled = _double(base)
+    unstage(base)
+    good = doubled.where("not in_loop")
     # heavy child of each parent, with map-side partial aggregation
     heavy = (
         good.where("parent is not null")
@@ -76,7 +75,7 @@ def resolve(forest: DataFrame) -> DataFrame:
         good.join(heavy, good["parent"] == heavy["of"], "left").select(
             "node",
             "parent",
-            "named",
+            *keep,
             "size",
             (F.col("node") == F.coalesce(F.col("heavy"), F.lit(""))).alias("is_heavy"),
             F.coalesce("heavy_size", F.lit(0)).alias("heavy_size"),
@@ -89,20 +88,20 @@ def resolve(forest: DataFrame) -> DataFrame:
         F.col("node").alias("head"), (1 + F.col("heavy_size") + F.col("before")).alias("shift")
     )
     nodes = stage(chained)
+    unstage(marked)
     # one row per chain: where it hangs (the chain of its head's parent and the position there)
     heads = nodes.where("node = chain").select(F.col("node").alias("head"), "parent")
     at = nodes.select(F.col("node").alias("at"), F.col("chain").alias("up"), F.col("chain_pos").alias("up_pos"))
+    hangs = F.col("up").isNotNull()
     tree = (
         heads.join(at, heads["parent"] == at["at"], "left")
         .join(shift, "head", "left")
         .select(
             "head",
             "up",
-            F.when(F.col("up").isNotNull(), F.col("up_pos") + 1).otherwise(0).alias("depth"),
-            F.when(F.col("up").isNotNull(), F.col("up_pos") + F.col("shift")).otherwise(0).alias("pre"),
-            F.when(F.col("up").isNotNull(), F.array(F.struct(F.col("up").alias("chain"), F.col("up_pos").alias("upto"))))
-            .otherwise(F.array().cast("array<struct<chain:string,upto:bigint>>"))
-            .alias("above"),
+            F.when(hangs, F.col("up_pos") + 1).otherwise(0).alias("depth"),
+            F.when(hangs, F.col("up_pos") + F.col("shift")).otherwise(0).alias("pre"),
+            F.when(hangs, F.array(F.struct(F.col("up").alias("chain"), F.col("up_pos").alias("upto")))).otherwise(F.array().cast(_SEGMENTS)).alias("above"),
             F.coalesce("up", "head").alias("top"),
         )
     )
@@ -110,7 +109,7 @@ def resolve(forest: DataFrame) -> DataFrame:
     out = nodes.join(tree, nodes["chain"] == tree["head"], "inner").select(
         "node",
         "parent",
-        "named",
+        *keep,
         F.col("top"),
         (F.col("depth") + F.col("chain_pos")).alias("depth"),
         F.lit(False).alias("in_loop"),
@@ -120,19 +119,11 @@ def resolve(forest: DataFrame) -> DataFrame:
         (F.col("pre") + F.col("chain_pos")).alias("pre"),
         F.concat("above", F.array(F.struct("chain", F.col("chain_pos").alias("upto")))).alias("segments"),
     )
-    lost = bad.select(
-        "node",
-        "parent",
-        "named",
-        F.lit(None).cast("string").alias("top"),
-        F.lit(-1).cast("bigint").alias("depth"),
-        F.lit(True).alias("in_loop"),
-        F.lit(None).cast("bigint").alias("size"),
-        F.lit(None).cast("string").alias("chain"),
-        F.lit(None).cast("bigint").alias("chain_pos"),
-        F.lit(None).cast("bigint").alias("pre"),
-        F.array().cast("array<struct<chain:string,upto:bigint>>").alias("segments"),
-    )
+    no = lambda c, t: F.lit(None).cast(t).alias(c)
+    lost = doubled.where("in_loop").select(
+        "node", "parent", *keep, no("top", "string"), F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("in_loop"), no("size", "bigint"), no("chain", "string"),
+        no("chain_pos", "bigint"), no("pre", "bigint"), F.array().cast(_SEGMENTS).alias("segments"),
+    )
     return out.unionByName(lost)
 
 
@@ -142,8 +133,8 @@ def _double(base: DataFrame) -> DataFrame:
     ``ptr`` is the ancestor 2^k above, ``least`` the smallest key among the
     ancestors up to there, ``size`` the descendants less than 2^k below, the node
     included. A node whose ancestor 2^k above doesn't exist is done and leaves the
-    rounds; what later rounds still find below it is kept as a contribution
-    and added at the end, so a round costs no more than the nodes deeper than 2^k. A loop's
+    rounds; what later rounds still find below it is added up once at the end, from the
+    rounds' tables, so a round costs no more than the nodes deeper than 2^k. A loop's
     smallest node meets itself in round log2(loop length); then the whole loop
     is marked, and marks travel down to all that leads into it.
     """
@@ -156,14 +147,15 @@ def _double(base: DataFrame) -> DataFrame:
             (F.col("parent") == F.col("node")).alias("looped"),
         )
     )
-    gains = base.select(F.col("node").alias("at"), F.lit(1).cast("bigint").alias("more"))
+    spent: list[DataFrame] = []
+    grown = lambda t: t.where("not looped").groupBy(F.col("ptr").alias("at")).agg(F.sum("size").alias("more"))
     while not cur.where("not looped").isEmpty():
-        below = stage(cur.where("not looped").groupBy(F.col("ptr").alias("at")).agg(F.sum("size").alias("more")))
-        gains = gains.unionByName(below)
+        spent.append(cur)
+        below = grown(cur)
         up = cur.select(
             F.col("node").alias("u"), F.col("ptr").alias("u_ptr"), F.col("least").alias("u_least"), F.col("looped").alias("u_looped")
         )
-        nxt = stage(
+        cur = stage(
             cur.join(up, (cur["ptr"] == up["u"]) & ~cur["looped"], "left")
             .join(below, cur["node"] == below["at"], "left")
             .select(
@@ -175,21 +167,24 @@ def _double(base: DataFrame) -> DataFrame:
             )
             .where("looped or ptr is not null")
         )
-        unstage(cur)
-        met = nxt.where("least = node and not looped").select(F.col("node").alias("met"))
-        cur = nxt
+        met = cur.where("least = node and not looped").select(F.col("node").alias("met"))
         if not met.isEmpty():
             # all windows of a loop's nodes now span the loop and share its smallest key
-            cur = stage(
-                nxt.join(met, nxt["least"] == met["met"], "left").select(
-                    "node", "ptr", "least", "size", (F.col("looped") | F.col("met").isNotNull()).alias("looped")
-                )
+            marked = stage(
+                cur.join(met, cur["least"] == met["met"], "left").select("node", "ptr", "least", "size", (F.col("looped") | F.col("met").isNotNull()).alias("looped"))
             )
-            unstage(nxt)
+            unstage(cur)
+            cur = marked
+    gains = base.select(F.col("node").alias("at"), F.lit(1).cast("bigint").alias("more"))
+    for t in spent:
+        gains = gains.unionByName(grown(t))
     sizes = gains.groupBy(F.col("at").alias("node")).agg(F.sum("more").alias("size"))
     lost = cur.select(F.col("node").alias("lost"))
     out = base.join(sizes, "node").join(lost, F.col("node") == F.col("lost"), "left")
-    return out.select("node", "parent", "named", "size", F.col("lost").isNotNull().alias("in_loop"))
+    out = stage(out.select("node", *[c for c in base.columns if c != "node"], "size", F.col("lost").isNotNull().alias("in_loop")))
+    for t in (*spent, cur):
+        unstage(t)
+    return out
 
 
 def _chains(marked: DataFrame) -> DataFrame:
@@ -215,8 +210,9 @@ def _chains(marked: DataFrame) -> DataFrame:
         unstage(cur)
         cur = nxt
     on_chain = cur.select(F.col("node").alias("_n"), "chain", "chain_pos")
+    keep = [c for c in marked.columns if c not in ("is_heavy", "heavy_size")]
     return marked.join(on_chain, marked["node"] == on_chain["_n"], "left").select(
-        "node", "parent", "named", "size", F.coalesce("chain", "node").alias("chain"), F.coalesce("chain_pos", F.lit(0)).alias("chain_pos")
+        *keep, F.coalesce("chain", "node").alias("chain"), F.coalesce("chain_pos", F.lit(0)).alias("chain_pos")
     )
 
 
@@ -283,7 +279,7 @@ SEP = "\x1f"
 
 
 def session_links(sessions: DataFrame) -> DataFrame:
-    return links(sessions, "id", "parent_session_id", ["ingested_at", "row_id"])
+    return links(sessions, "id", "parent_session_id", ["ingested_at", "row_id"], "source_id")
 
 
 def event_links(events: DataFrame) -> DataFrame:
@@ -305,19 +301,15 @@ def session_forest(sessions: DataFrame, events: DataFrame) -> DataFrame:
     Columns of ``resolve`` and src_table, source_id, node_id, top_id.
     """
     mark = lambda c, t: F.concat(F.lit(t + SEP), F.col(c))
-    s = session_links(sessions).select(mark("node", "s").alias("node"), mark("parent", "s").alias("parent"), "named")
-    e = event_links(events).select(mark("node", "e").alias("node"), mark("parent", "e").alias("parent"), "named")
+    s = session_links(sessions).select(mark("node", "s").alias("node"), mark("parent", "s").alias("parent"), "named", "kept")
+    e = event_links(events).select(mark("node", "e").alias("node"), mark("parent", "e").alias("parent"), "named", "kept")
     r = resolve(s.unionByName(e))
-    src = (
-        sessions.where("id <> ''").groupBy(mark("id", "s").alias("k")).agg(F.max_by("source_id", F.struct("ingested_at", "row_id")).alias("of_source"))
-    )
-    r = r.join(src, r["node"] == src["k"], "left").drop("k")
     is_s = F.col("node").startswith("s" + SEP)
     last = lambda c: F.element_at(F.split(F.col(c), SEP), -1)
     return r.select(
         F.when(is_s, "sessions").otherwise("expected_events").alias("src_table"),
-        F.when(is_s, F.col("of_source")).otherwise(F.split(F.col("node"), SEP)[1]).alias("source_id"),
+        F.when(is_s, F.col("kept")).otherwise(F.split(F.col("node"), SEP)[1]).alias("source_id"),
         last("node").alias("node_id"),
         F.coalesce(last("top"), F.lit("")).alias("top_id"),
-        *[c for c in r.columns if c != "of_source"],
+        *[c for c in r.columns if c != "kept"],
     )
