@@ -95,14 +95,19 @@ PROSE = "The rollup worker drops the final turn because the start event comes la
 
 def test_tails_are_exact_ranks(spark):
     rnd = random.Random(4)
-    rows = [(i, rnd.choice(["en", "de"]), *[float(rnd.choice([0, 1, 1, 2, rnd.random()])) for _ in quality.STATISTICS]) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATISTICS))
-    got = {r["doc_id"]: r for r in quality.tails(df).collect()}
-    v = np.round(np.array([r[2:] for r in rows]) * quality.GRAIN)
-    for i, r in enumerate(rows):
-        own = np.array([x[1] == r[1] for x in rows])
-        le, ge = (v[own] <= v[i]).mean(0), (v[own] >= v[i]).mean(0)
-        assert np.allclose(got[i]["low"], -np.log(le)) and np.allclose(got[i]["high"], -np.log(ge))
+    v = np.array([[float(rnd.choice([0, 1, 1, 2, rnd.random(), 10 ** rnd.randint(-6, 9)])) for _ in quality.STATISTICS] for _ in range(200)])
+    langs = [rnd.choice(["en", "de"]) for _ in range(200)]
+    code = quality.codes(v)
+    assert all((np.sign(code[:, k][:, None] - code[:, k][None]) * np.sign(v[:, k][:, None] - v[:, k][None]) >= 0).all() for k in range(v.shape[1]))
+    df = spark.createDataFrame([(i, g, c.tolist()) for i, (g, c) in enumerate(zip(langs, code))], "doc_id bigint, lang string, codes array<int>")
+    ranked = quality.ranks(df)
+    joined = {r["doc_id"]: r for r in quality.tails(df, ranked).collect()}
+    looked_up = quality.Table(ranked.toPandas()).tails(__import__("pandas").Series(langs), code)
+    for i, g in enumerate(langs):
+        own = np.array([x == g for x in langs])
+        low, high = -np.log((code[own] <= code[i]).mean(0)), -np.log((code[own] >= code[i]).mean(0))
+        assert np.allclose(joined[i]["low"], low) and np.allclose(joined[i]["high"], high)
+        assert np.allclose(looked_up[i], np.append(low, high))
 
 
 def test_odd_texts(spark):
@@ -118,16 +123,32 @@ def test_odd_texts(spark):
 
 def test_held_out_accuracy():
     rnd = np.random.default_rng(5)
-    x = rnd.random((1200, 6))
-    y = ((x[:, 0] > 0.3) & ((x[:, 1] < 0.7) | (x[:, 2] > 0.8))).astype(float)
+    x = rnd.exponential(size=(1200, 12))
+    y = (x[:, 0] + 0.5 * x[:, 3] > 2).astype(float)
     noisy = np.where(rnd.random(1200) < 0.05, 1 - y, y)
-    m = quality.Boosted().fit(x[:800], noisy[:800])
-    assert ((m.score(x[800:]) > 0) == (y[800:] > 0.5)).mean() > 0.95
+    m = quality.Weights(12).fit(x[:800], noisy[:800])
+    assert (m.w >= 0).all() and ((m.score(x[800:]) > 0) == (y[800:] > 0.5)).mean() > 0.95
 
 
-def test_labels_of_the_test_tables_agree(spark):
-    d = "/root/testdata/sf0.01"
+def test_without_labels_all_tails_weigh_the_same():
+    m = quality.Weights(4).fit(np.zeros((0, 4)), np.zeros(0))
+    assert len(set(m.w)) == 1 and m.score(np.full((1, 4), 1.0))[0] < 0 < m.score(np.full((1, 4), 1.5))[0]
+
+
+def test_ranks_beyond_the_limit_are_joined(spark, monkeypatch):
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    args = [t(n) for n in ("documents", "common_words", "quality_labels")]
+    want = sorted((r["doc_id"], round(r["outlier"], 6)) for r in quality.judge(*args).collect())
+    monkeypatch.setattr(quality, "RANK_LIMIT", 10)
+    assert sorted((r["doc_id"], round(r["outlier"], 6)) for r in quality.judge(*args).collect()) == want
+
+
+def test_held_out_labels_agree(spark):
+    d = "/root/testdata/sf0.1"
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    r = {x["doc_id"]: x["is_prose"] for x in quality.judge(t("documents"), t("common_words"), t("quality_labels")).collect()}
-    rows = t("quality_labels").collect()
-    assert sum(r[x["doc_id"]] == (x["is_prose"] == 1) for x in rows) / len(rows) > 0.9
+    known, held_out = t("quality_labels").where("doc_id % 2 = 0"), t("quality_labels").where("doc_id % 2 = 1")
+    r = {x["doc_id"]: x["is_prose"] for x in quality.judge(t("documents"), t("common_words"), known).collect()}
+    rows = held_out.collect()
+    bad = [x for x in rows if x["is_prose"] == 0]
+    assert sum(r[x["doc_id"]] == (x["is_prose"] == 1) for x in rows) / len(rows) > 0.93
+    assert sum(not r[x["doc_id"]] for x in bad) / len(bad) > 0.9
