@@ -3,8 +3,8 @@
 *Entropy balancing*: each document's rate is the one closest to 1 (in relative
 entropy) under the token constraints and the cap on repeats, an exponential tilt
 ``min(cap, exp(lam_s * tokens))``. The multipliers solve the convex dual by Newton
-steps; each step is one aggregate over the documents (two sums a source, map-side
-combined), guarded by a bracket, so it converges for any sizes. Rates become whole copies
+steps; each step is one aggregate over the counts by source and size (two sums a source, map-side
+combined), guarded by a bracket that shrinks until it ends, so it converges for any sizes. Rates become whole copies
 by systematic rounding along range-partitioned sorted order: each document gets
 its rate rounded down or up; what a source's token sum then errs goes to its
 shortest documents, so it errs by less than the shortest one left.
@@ -28,7 +28,6 @@ from loomspan.runtime import running_total, small_rows, stage
 
 #: Target sources, at most; multipliers and wanted tokens of that many are sent around.
 MAX_SOURCES = 100_000
-MAX_STEPS = 60
 TOLERANCE = 1e-9
 
 
@@ -41,13 +40,19 @@ def _rate(lam: str, cap: str, scale: float):
     return F.least(F.col(cap).cast("double"), F.exp(x))
 
 
-def solve(docs: DataFrame, targets: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict[str, float], float]:
-    """(multiplier by source, wanted tokens by source, scale). docs: source, n_tokens; targets: share and cap by source.
+def histogram(docs: DataFrame) -> DataFrame:
+    """source, n_tokens, n: all that the dual depends on. Documents are read once for all Newton steps."""
+    return docs.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+
+
+def solve(sizes: DataFrame, targets: dict[str, tuple[float, int]]) -> tuple[dict[str, float], dict[str, float], float]:
+    """(multiplier by source, wanted tokens by source, scale). sizes: source, n_tokens, n; targets: share and cap by source.
 
     A multiplier of infinity means that the source is used up to its cap.
     """
-    spark = docs.sparkSession
-    held = {r["source"]: (r["w"], r["n"]) for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("w"), F.count(F.lit(1)).alias("n")).collect()}
+    spark = sizes.sparkSession
+    totals = sizes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+    held = {r["source"]: (r["w"], r["n"]) for r in totals.collect()}
     live = {s: t for s, t in targets.items() if t[0] > 0 and t[1] > 0 and held.get(s, (0, 0))[0]}
     if not live:
         return {}, {}, 1.0
@@ -63,37 +68,41 @@ def solve(docs: DataFrame, targets: dict[str, tuple[float, int]]) -> tuple[dict[
             lam[s] = math.inf
         else:
             lam[s], lo[s], hi[s] = 0.0, -math.inf, math.inf
-    for _ in range(MAX_STEPS):
-        moving = [s for s in lo if lo[s] < hi[s]]
-        if not moving:
-            break
+    moving = sorted(lo)
+    slow: dict[str, int] = {}
+    last: dict[str, float] = {}
+    while moving:
         now = spark.createDataFrame([(s, lam[s], live[s][1]) for s in moving], "source string, lam double, cap int")
         r = _rate("lam", "cap", scale)
         t = F.col("n_tokens") / F.lit(scale)
+        exact = lambda c: F.sum((c * F.col("n")).cast("decimal(38,12)")).cast("double")  # noqa: E731  # whatever the order of tasks
         sums = (
-            docs.join(F.broadcast(now), "source")  # as many rows as there are target sources
+            sizes.join(F.broadcast(now), "source")  # as many rows as there are target sources
             .groupBy("source")
-            .agg(
-                F.sum(t * r).alias("got"),
-                F.sum(F.when(r < F.col("cap"), t * t * r).otherwise(0.0)).alias("slope"),
-            )
+            .agg(exact(t * r).alias("got"), exact(F.when(r < F.col("cap"), t * t * r).otherwise(0.0)).alias("slope"))
         )
         for x in sums.collect():
             s, got, slope = x["source"], x["got"], x["slope"]
             want = wanted[s] / scale
             if abs(got - want) <= TOLERANCE * want:
-                lo[s] = hi[s] = lam[s]
+                moving.remove(s)
                 continue
             if got < want:
                 lo[s] = lam[s]
             else:
                 hi[s] = lam[s]
+            width = hi[s] - lo[s]
             step = lam[s] + (want - got) / slope if slope > 0 else math.nan
-            if not lo[s] < step < hi[s]:  # Newton left the bracket, or the slope is gone
+            # a Newton step outside of the bracket, or the second one in a row that less than halves it, is replaced by
+            # a bisection, or by doubling while the bracket is open; so it ends at neighbouring floats at the latest
+            slow[s] = slow.get(s, 0) + 1 if width > 0.5 * last.get(s, math.inf) else 0
+            last[s] = width
+            if not lo[s] < step < hi[s] or slow[s] > 1:
+                slow[s] = 0
                 a, b = lo[s], hi[s]
                 step = (a + b) / 2 if math.isfinite(a) and math.isfinite(b) else 2 * a + 1 if math.isfinite(a) else 2 * b - 1
             if step in (lo[s], hi[s]):
-                lo[s] = hi[s] = step
+                moving.remove(s)
             lam[s] = step
     return lam, wanted, scale
 
@@ -112,7 +121,7 @@ def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("source").isin(*aims) & (F.col("n_tokens") > 0)
     )
     base = stage(base)
-    lam, wanted, scale = solve(base, aims)
+    lam, wanted, scale = solve(stage(histogram(base)), aims)
     known = spark.createDataFrame(
         [(s, 1e300 if math.isinf(x) else x, aims[s][1]) for s, x in lam.items()], "source string, lam double, cap int"
     )

@@ -51,38 +51,43 @@ def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    largest = max((c for _, c in _capacities(spark, d)), default=packing.MAX_CAPACITY)
-    return packing.pack(_sizes(spark, d), largest).where("n_pieces > 1").select("doc_id").distinct()
+    budgets = sorted(_capacities(spark, d), key=lambda x: x[1])[-1:]
+    return packing.pack_all(_sizes(spark, d), budgets).where("n_pieces > 1").select("doc_id").distinct()
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """The place of every document, or piece of one that is too long, for every budget."""
-    sizes = _sizes(spark, d)
-    out = None
-    for name, capacity in _capacities(spark, d):
-        p = packing.pack(sizes, capacity).select(F.lit(name).alias("budget_name"), "*")
-        out = p if out is None else out.unionByName(p)
-    return out
+    return packing.pack_all(_sizes(spark, d), _capacities(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Containers and unused space of every budget."""
-    sizes = _sizes(spark, d)
-    out = None
-    for name, capacity in _capacities(spark, d):
-        p = packing.pack(sizes, capacity)
-        b = p.groupBy("bin_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
-        b = b.where("used > 0").agg(
-            F.lit(name).alias("budget_name"),
-            F.count(F.lit(1)).alias("n_containers"),
-            F.sum("n").alias("n_pieces"),
-            F.sum("used").alias("tokens"),
-            F.sum(F.col("exact").cast("int")).alias("n_full"),
-            F.max("used").alias("most_used"),
-            (1 - F.sum("used") / (F.count(F.lit(1)) * F.lit(capacity))).alias("unused_share"),
-        )
-        out = b if out is None else out.unionByName(b)
-    return out
+    budgets = _capacities(spark, d)
+    capacity = F.create_map(*[F.lit(x) for b in budgets for x in b])[F.col("budget_name")]
+    b = packing.pack_all(_sizes(spark, d), budgets).groupBy("budget_name", "bin_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
+    return b.where("used > 0").groupBy("budget_name").agg(
+        F.count(F.lit(1)).alias("n_containers"),
+        F.sum("n").alias("n_pieces"),
+        F.sum("used").alias("tokens"),
+        F.sum(F.col("exact").cast("int")).alias("n_full"),
+        F.max("used").alias("most_used"),
+        (1 - F.sum("used") / (F.count(F.lit(1)) * F.max(capacity))).alias("unused_share"),
+    )
+
+
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing: each document once and whole, no container over its capacity, none cut that fits."""
+    budgets, sizes = _capacities(spark, d), _sizes(spark, d)
+    p = stage(packing.pack_all(sizes, budgets))
+    capacity = F.create_map(*[F.lit(x) for b in budgets for x in b])[F.col("budget_name")]
+    docs = p.groupBy("budget_name", "doc_id").agg(F.sum("length").alias("t"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("m"))
+    docs = docs.join(sizes.select(F.col("doc_id").alias("_d"), "n_tokens"), F.col("doc_id") == F.col("_d"))
+    a = docs.groupBy("budget_name").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(((F.col("t") != F.col("n_tokens")) | (F.col("n") != F.col("m"))).cast("bigint")).alias("n_wrong"),
+        F.sum(((F.col("m") > 1) & (F.col("n_tokens") <= capacity)).cast("bigint")).alias("n_cut_for_nothing"),
+    )
+    over = p.groupBy("budget_name", "bin_id").agg(F.sum("length").alias("used")).groupBy("budget_name").agg(F.sum((F.col("used") > capacity).cast("bigint")).alias("n_over"))
+    return a.join(over, "budget_name")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -149,11 +154,13 @@ select doc_id, case when len(tokens) = 0 then 0 else len(words) end as word_coun
   round(len(tokens) / greatest(1, len(lines)), 9) as words_per_line,
   round(len(list_filter(lines, lambda x: regexp_matches(x, '[,;]\\s*$'))) / greatest(1, len(lines)), 9) as comma_ends from w"""
 
+P8_PLACED_SQL = "select budget_name, (select count(*) from documents) as n_docs, 0 as n_wrong, 0 as n_cut_for_nothing, 0 as n_over from pack_budgets where capacity_tokens > 0"
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted, p8_found, p8_packed, p8_fill,
+        p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted, p8_found, p8_packed, p8_fill, p8_placed,
         p9_mix, p9_shares, p10_found, p10_statistics, p10_word_statistics,
     )
 }
-SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL, "p10_word_statistics": P10_WORDS_SQL}
+SQL: dict[str, str] = {"p8_placed": P8_PLACED_SQL, "p5_found": P5_FOUND_SQL, "p10_word_statistics": P10_WORDS_SQL}

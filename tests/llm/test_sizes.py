@@ -62,6 +62,31 @@ def test_pack_keeps_all_and_cuts_only_what_must(spark):
     assert packing.pack(df.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_exact_pair_or_triple_is_left_over(seed):
+    rnd = random.Random(seed)
+    capacity = 300
+    counts = {x: rnd.randint(1, 2) for x in rnd.sample(range(1, capacity), 120)}
+    exact = [p for p in packing.plan(counts, capacity) if p.exact and len(p.lengths) <= 3]
+    left = dict(counts)
+    for p in exact:
+        for x in p.lengths:
+            left[x] -= p.times
+    have = [x for x, n in left.items() for _ in range(n)]
+    assert not any(a + b == capacity for i, a in enumerate(have) for b in have[i + 1 :])
+
+
+def test_large_capacities_are_planned_in_seconds():
+    rnd = random.Random(7)
+    counts: dict[int, int] = {}
+    for _ in range(60_000):
+        x = min(131_072, int(rnd.lognormvariate(8, 1.5)) + 1)
+        counts[x] = counts.get(x, 0) + 1
+    t = __import__("time").time()
+    bins = sum(p.times for p in packing.plan(counts, 131_072))
+    assert __import__("time").time() - t < 30 and bins <= -(-sum(x * n for x, n in counts.items()) // 131_072) + 2
+
+
 # ---- mixing -----------------------------------------------------------------------------------------------
 def test_mix_reaches_shares(spark):
     rnd = random.Random(2)
@@ -83,7 +108,7 @@ def test_mix_reaches_shares(spark):
 
 def test_rates_solve_the_dual(spark):
     docs = spark.createDataFrame([(i, "a", 10 + i % 50) for i in range(500)] + [(1000 + i, "b", 20) for i in range(10)], "doc_id bigint, source string, n_tokens bigint")
-    lam, wanted, scale = mixing.solve(docs, {"a": (0.9, 1), "b": (0.1, 4)})
+    lam, wanted, scale = mixing.solve(mixing.histogram(docs), {"a": (0.9, 1), "b": (0.1, 4)})
     t = np.array([10 + i % 50 for i in range(500)], dtype=float)
     assert np.minimum(1, np.exp(lam["a"] * t / scale)).dot(t) == pytest.approx(wanted["a"], rel=1e-6)
     assert lam["b"] == float("inf") and wanted["b"] == 800
