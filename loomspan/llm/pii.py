@@ -1,10 +1,11 @@
 """Personal information in free text: found, typed and replaced by linked pseudonyms.
 
-Validated numbers (phone and identity numbers) are keyed-permuted within their
+Numbers validated by their format (phone and identity numbers; ``checked`` tells whether the checksum holds, too) are keyed-permuted within their
 format by a Feistel network over their digits, so equal values stay equal in all
 documents while separators, prefix and length remain. Emails, addresses and
 names get a keyed tag. Both stand in a typed placeholder, as in
-``<PHONE +1 226 584 9012>`` or ``<NAME kitavo>``; the rest of the text is untouched.
+``<PHONE +1 226 584 9012>`` or ``<NAME kitavobarunepo>``; the rest of the text is untouched, of a JSON message
+every character outside of the texts that change.
 
 Texts are read whole, one row at a time within Arrow batches: no shuffle, and no
 state but the name lexicon, whose size is checked before it is sent to the workers.
@@ -16,12 +17,13 @@ findings; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import json
 import re
-from collections.abc import Callable, Iterator
-from typing import Any, NamedTuple
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +36,11 @@ TYPES = ("email", "phone", "national_id", "address", "name")
 LEXICON_LIMIT = 2_000_000
 
 
+class Lexicon(NamedTuple):
+    given: frozenset[str]
+    family: frozenset[str]
+
+
 class Span(NamedTuple):
     start: int
     end: int
@@ -75,8 +82,8 @@ def _emails(t: str) -> Iterator[Span]:
 
 # ---- street addresses -------------------------------------------------------------------------------------
 _CAP = r"[A-ZÀ-ÞŠŽ][\w'’À-ÿ-]*"
-# a city of two words only before an end, a number or a lower-case word
-_TOWN = rf"{_CAP}(?: (?:Creek|Vassal|City|Springs|Falls|{_CAP}(?=\s*(?:\d|[,.;/\"\\]|$| [a-z]))))?"
+# a town of one or two words; what opens a sentence or a name is given back by ``_trim``
+_TOWN = rf"{_CAP}(?: {_CAP})?"
 _TOWN_UP = r"[A-ZÀ-Þ'-]{3,}(?: [A-ZÀ-Þ'-]{3,})*"
 # a postal code behind the town, unless it begins a longer number
 _ZIP = r" \d{4,5}(?!\d| ?\d{3}(?!\d))"
@@ -118,11 +125,30 @@ _ADDRESS_HINT = re.compile(
 )
 
 
-def _addresses(t: str) -> Iterator[Span]:
+_LAST_TWO = re.compile(rf"{_CAP}( ({_CAP}))$")
+_NEXT = re.compile(rf" ?(?:{_CAP}|[A-ZÀ-Þ]\.)")
+
+
+def _trim(text: str, end: int, start: int, lex: Lexicon) -> int:
+    """Where an address ends: a second word of its town that is a title, a given or family name, or opens a sentence is none of it."""
+    m = _LAST_TWO.search(text, start, end)
+    if not m:
+        return end
+    w = plain(m.group(2))
+    if w in lex.given or w in lex.family or w in _TITLES or w in _NO_NAME or w == "will" or text[end : end + 1] == "'":
+        return m.start(1)
+    # a capital word behind it too: the second word opens what follows, unless what follows is a name itself
+    n = _NEXT.match(text, end)
+    if n and plain(n.group().strip(" .")) not in lex.given and plain(n.group().strip(" .")) not in _TITLES and plain(n.group().strip(" .")) not in _NO_NAME and len(n.group().strip(" .")) > 1:
+        return m.start(1)
+    return end
+
+
+def _addresses(t: str, lex: Lexicon) -> Iterator[Span]:
     if _ADDRESS_HINT.search(t):
         for p in _ADDRESS:
             for m in p.finditer(t):
-                yield Span(m.start(), m.end(), "address")
+                yield Span(m.start(), _trim(t, m.end(), m.start(), lex), "address")
 
 
 # ---- numbers ----------------------------------------------------------------------------------------------
@@ -164,18 +190,46 @@ def _phones(t: str) -> Iterator[Span]:
             yield Span(m.start(), m.end(), "phone")
 
 
+# The check letters of the Spanish number, prefixes that no British number has.
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_NINO_NEVER = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+
+
+def checked(value: str, kind: str) -> bool | None:
+    """Whether a number passes the rule of its kind: its checksum, or the ranges that are issued; None if it has no rule."""
+    d = re.sub(r"\D", "", value)
+    if kind == "phone":
+        return 9 <= len(re.sub(r"\D", "", re.split(r",? ?(?:ext|x)", value)[0])) <= 15
+    low = value.lower()
+    if "passport" in low:
+        return None
+    if low.startswith(("dni", "nif", "nie")):
+        m = re.search(r"([XYZ]?)(\d{7,8})-?([A-Z])$", value)
+        return bool(m) and _DNI_LETTERS[int(str("XYZ".index(m.group(1)) if m.group(1) else "") + m.group(2)) % 23] == m.group(3)
+    if "steuer" in low or low.startswith("idnr"):
+        p = 10
+        for c in d[:-1]:
+            p = ((int(c) + p) % 10 or 10) * 2 % 11
+        return len(d) == 11 and (11 - p) % 10 == int(d[-1])
+    if low.startswith(("nir", "num")):
+        return len(d) == 15 and 97 - int(d[:13]) % 97 == int(d[13:])
+    if m := re.fullmatch(r"([A-Z]{2}) ?\d\d ?\d\d ?\d\d ?[A-D]", value):
+        return m.group(1) not in _NINO_NEVER and m.group(1)[0] not in "DFIQUV" and m.group(1)[1] not in "DFIOQUV"
+    return len(d) == 9 and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
 # ---- names ------------------------------------------------------------------------------------------------
 # Titles, particles, machine accounts, and words that open sentences or follow given names that are also plain words.
 _TITLES = frozenset("mr mrs ms miss dr prof mr. mrs. ms. dr. prof. sir herr frau señor señora mme m.".split())
 _PARTICLES = frozenset("de la del von van der den le du di da".split())
 _MACHINES = frozenset(
     "dev ci ops build runner workspace code src source internal work root admin agent agents service svc bot test user users shared public data app www git deploy system local tmp"
-    " viewer grid rollup ledger tools parity frontend docs site price sync triage".split()
+    " tools frontend backend docs site server web home".split()
 )
 _NO_NAME = frozenset(
     "the a an this that these those it its in on at of for from to with by as and or but if when while after before since once whenever"
     " please can could would should will may might must do does did is are was were has have had be not no yes why what where who how which"
-    " i we you he she they my our your their his her add ask call ring send ship parcel talked note signed reviewed cc my office site row"
+    " i we you he she they my our your their his her add ask call ring send ship parcel talked note signed reviewed cc my office"
     " der die das den dem des ein eine einer und oder aber nach vor bei mit von zu im am in auf aus für wenn weil dass daher der"
     " el la los las un una unos en de del al y o pero con por para que se si no como cuando"
     " le les un une des du au aux en dans et ou mais avec pour par que qui il elle on nous vous ce cette comme quand"
@@ -197,15 +251,10 @@ _CUE_BEFORE = re.compile(
     r"(?:talked to|spoke (?:to|with)|ask|cc|signed,|signed|regards,|thanks,|assignee[=:]|owner[=:]|author[=:]?|name is|note from|from|contact|reviewed-by:|approved-by:|by:|attn:?)\s*$",
     re.I,
 )
-_CUE_AFTER = re.compile(r"\s*(?:reported|said|says|wrote|asked|told|noted|confirmed|thinks|and the [a-z-]+ agent|on the report|about it|about the)\b")
+_CUE_AFTER = re.compile(r"\s*(?:reported|said|says|wrote|asked|told|noted|confirmed|thinks|asks|replied|added|agreed|approved|about|and (?:the|our|my) (?:[a-z-]+ )?(?:agent|team|engineer|manager|reviewer|developer|user|customer|client|colleague)s?)\b")
 _HOME = re.compile(r"(?:[/\\](?:home|Users|users|clients|people|staff|customers)[/\\])([A-Za-zÀ-ÿ'’-]+(?:[._ ][A-Za-zÀ-ÿ'’-]+){1,4})(?=[/\\]|$|[\s\"'])")
 
 
-class Lexicon(NamedTuple):
-    given: frozenset[str]
-    family: frozenset[str]
-
-
 def plain(s: str) -> str:
     return s.casefold().replace("’", "'")
 
@@ -286,25 +335,31 @@ _DIGIT = re.compile(r"\d")
 def find(text: str, lex: Lexicon) -> list[Span]:
     """All findings of a text in order, without overlaps. What is part of an earlier kind is no later one."""
     spans: list[Span] = []
+    starts: list[int] = []
     masked = text
 
     def take(found: Iterator[Span]) -> None:
         nonlocal masked
-        new = sorted(found)
-        for s in new:
-            if spans and any(s.start < o.end and o.start < s.end for o in spans):
+        parts, at = [], 0
+        for s in sorted(found):
+            k = bisect.bisect_left(starts, s.end)
+            if k and spans[k - 1].end > s.start:
                 continue
-            spans.append(s)
-            masked = masked[: s.start] + "\x01" * (s.end - s.start) + masked[s.end :]
+            starts.insert(k, s.start)
+            spans.insert(k, s)
+            parts += [masked[at : s.start], "\x01" * (s.end - s.start)]
+            at = s.end
+        if parts:
+            masked = "".join(parts) + masked[at:]
 
     take(_emails(masked))
     if _DIGIT.search(masked):
-        take(_addresses(masked))
+        take(_addresses(masked, lex))
         if _NUMBERS_HINT.search(masked):
             take(_ids(masked))
             take(_phones(masked))
     take(_names(masked, lex))
-    return sorted(spans)
+    return spans
 
 
 # ---- pseudonyms -------------------------------------------------------------------------------------------
@@ -354,6 +409,8 @@ def permute_number(value: str, kind: str, key: bytes, back: bool = False) -> str
     return "".join(out) + ext
 
 
+#: Syllables of a tag: 3e14 of them, so two of a million names share one with a chance of 0.2 %.
+TAG_SYLLABLES = 8
 _SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
 
 
@@ -362,7 +419,7 @@ def tag(value: str, kind: str, key: bytes) -> str:
     norm = re.sub(r"\s+", " ", value.casefold().strip())
     h = int.from_bytes(hmac.new(key, kind.encode() + b"\0" + norm.encode(), hashlib.sha256).digest()[:8], "big")
     out = ""
-    for _ in range(5):
+    for _ in range(TAG_SYLLABLES):
         h, k = divmod(h, len(_SYLLABLES))
         out += _SYLLABLES[k]
     return out
@@ -383,44 +440,87 @@ def redact_text(text: str, lex: Lexicon, key: bytes) -> tuple[str, list[str]]:
     return ("".join(parts) + text[at:] if spans else text), [s.kind for s in spans]
 
 
-def _leaves(v: Any, change: Callable[[str], str]) -> Any:
-    if isinstance(v, str):
-        return change(v)
-    if isinstance(v, list):
-        return [_leaves(x, change) for x in v]
-    if isinstance(v, dict):
-        return {k: _leaves(x, change) for k, x in v.items()}
-    return v
+#: String and number tokens of a JSON text.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?')
+_IDENTIFIER = re.compile(r'"[a-z_]*"')
+# Names of fields whose digits are a number of that kind, however they are written.
+_PHONE_FIELD = re.compile(r"(?:^|[_.-])(?:phone|mobile|tel|telephone|fax)(?:$|[_.-]?(?:no|nr|num|number)$)", re.I)
+_ID_FIELD = re.compile(r"(?:^|[_.-])(?:ssn|social_?security|national_?id|passport|dni|nif|nie|steuer_?id|nino|tax_?id)(?:$|[_.-]?(?:no|nr|num|number)$)", re.I)
+_BARE = re.compile(r"\+?[\d ().\-/]{6,20}|[A-Z0-9]{6,15}")
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    except RecursionError:
+        return text.lstrip()[:1] in ("{", "[")  # too deep for the parser, but opened like one
+    return True
 
 
-def _texts(v: Any, out: list[str]) -> None:
-    if isinstance(v, str):
-        out.append(v)
-    elif isinstance(v, list):
-        for x in v:
-            _texts(x, out)
-    elif isinstance(v, dict):
-        for x in v.values():
-            _texts(x, out)
+def _decoded(token: str) -> str:
+    return json.loads(token) if "\\" in token else token[1:-1]
 
 
-def redact_message(message: str, lex: Lexicon, key: bytes, rewrite: bool = True) -> tuple[str, list[str]]:
-    """The same for a JSON message: each of its texts on its own, structure untouched.
+class Token(NamedTuple):
+    start: int
+    end: int
+    text: str
+    field: str | None  # kind of a number that its field's name tells
+
+
+def _tokens(message: str) -> list[Token]:
+    """The texts of a JSON message that may hold something: values and names of fields, and numbers under a telling name."""
+    out: list[Token] = []
+    name = ""
+    for m in _JSON_TOKEN.finditer(message):
+        t = m.group()
+        if t[0] != '"':
+            kind = _field_kind(name, t)
+            if kind:
+                out.append(Token(m.start(), m.end(), t, kind))
+            continue
+        is_name = message[m.end() : m.end() + 8].lstrip()[:1] == ":"
+        if _IDENTIFIER.fullmatch(t):  # nothing matches a plain lower-case word
+            name = t[1:-1] if is_name else name
+            continue
+        x = _decoded(t)
+        if is_name:
+            name = x
+        out.append(Token(m.start(), m.end(), x, None if is_name else _field_kind(name, x)))
+    return out
 
-    ``rewrite=False`` spares the new text and gives only the kinds.
+
+def _field_kind(name: str, value: str) -> str | None:
+    n = _digits(value)
+    if n < 7 or not _BARE.fullmatch(value):
+        return None
+    return "phone" if n <= 15 and _PHONE_FIELD.search(name) else "national_id" if _ID_FIELD.search(name) else None
+
+
+def redact_message(message: str, lex: Lexicon, key: bytes) -> tuple[str, list[str]]:
+    """The same for a JSON message: each of its texts on its own, in place, so all else stays as it is written.
+
+    A number under a telling name becomes a text, as a placeholder is none.
     """
-    try:
-        o = json.loads(message)
-    except ValueError:
+    if not _is_json(message):
         return redact_text(message, lex, key)
-    texts: list[str] = []
-    _texts(o, texts)
-    # one scan over all texts; a text's end ends every pattern
-    joined = " \x00\n ".join(texts)
-    kinds = [s.kind for s in find(joined, lex)]
-    if not kinds or not rewrite:
-        return message, kinds
-    return json.dumps(_leaves(o, lambda s: redact_text(s, lex, key)[0]), ensure_ascii=False, separators=(",", ":")), kinds
+    tokens = _tokens(message)
+    # one scan over all texts tells whether there is anything; a text's end ends every pattern
+    if not any(t.field for t in tokens) and not find(" \x00\n ".join([t.text for t in tokens]), lex):
+        return message, []
+    parts, at = [], 0
+    kinds: list[str] = []
+    for t in tokens:
+        new, found = redact_text(t.text, lex, key)
+        if not found and t.field:
+            new, found = placeholder(t.text, t.field, key), [t.field]
+        if found:
+            kinds += found
+            parts += [message[at : t.start], json.dumps(new, ensure_ascii=False)]
+            at = t.end
+    return "".join(parts) + message[at:], kinds
 
 
 def read_lexicon(names: DataFrame) -> Lexicon:
@@ -430,8 +530,8 @@ def read_lexicon(names: DataFrame) -> Lexicon:
     return Lexicon(part("given"), part("family"))
 
 
-def findings(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """line_id, field_name, pii_type: one row per line, field and type."""
+def findings(lines: DataFrame, names: DataFrame, key: bytes = b"") -> DataFrame:
+    """line_id, field_name, pii_type: one row per line, field and type that was replaced."""
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(read_lexicon(names))
 
@@ -442,18 +542,33 @@ def findings(lines: DataFrame, names: DataFrame) -> DataFrame:
             rows = []
             for i, message, cwd in zip(b["line_id"], b["message"], b["cwd"]):
                 if isinstance(message, str) and message:
-                    rows += [(i, "message", k) for k in set(redact_message(message, lex, b"", False)[1])]
+                    rows += [(i, "message", k) for k in set(redact_message(message, lex, key)[1])]
                 if isinstance(cwd, str) and cwd:
                     if cwd not in paths:
                         if len(paths) > 50_000:
                             paths.clear()
-                        paths[cwd] = tuple({s.kind for s in find(cwd, lex)})
+                        paths[cwd] = tuple(set(redact_text(cwd, lex, key)[1]))
                     rows += [(i, "cwd", k) for k in paths[cwd]]
             yield pd.DataFrame(rows, columns=["line_id", "field_name", "pii_type"])
 
     return spread(lines.select(F.coalesce("line_id", F.lit(-1)).alias("line_id"), "message", "cwd")).mapInPandas(run, "line_id bigint, field_name string, pii_type string")
 
 
+def numbers(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """pii_type, passes (NULL: its kind has no rule), n_values: how many of the numbers found in messages pass the rule of their kind."""
+    shared = lines.sparkSession.sparkContext.broadcast(read_lexicon(names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for m in b["message"]:
+                texts = [] if not isinstance(m, str) else [t.text for t in _tokens(m)] if _is_json(m) else [m]
+                rows += [(s.kind, checked(t[s.start : s.end], s.kind)) for t in texts for s in find(t, shared.value) if s.kind in ("phone", "national_id")]
+            yield pd.DataFrame(rows, columns=["pii_type", "passes"]).astype({"passes": "boolean"})
+
+    return spread(lines.select("message")).mapInPandas(run, "pii_type string, passes boolean").groupBy("pii_type", "passes").agg(F.count(F.lit(1)).alias("n_values"))
+
+
 def redacted(lines: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
     """line_id, message, cwd with placeholders, n_found."""
     shared = lines.sparkSession.sparkContext.broadcast(read_lexicon(names))

@@ -32,7 +32,12 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.findings(table(spark, d, "transcript_lines"), table(spark, d, "name_lexicon"))
+    return pii.findings(table(spark, d, "transcript_lines"), table(spark, d, "name_lexicon"), DEMO_KEY)
+
+
+def p6_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the numbers pass the checksum or range of their kind."""
+    return pii.numbers(table(spark, d, "transcript_lines"), table(spark, d, "name_lexicon"))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +164,7 @@ P8_PLACED_SQL = "select budget_name, (select count(*) from documents) as n_docs,
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p5_found, p5_verdicts, p5_conversations, p6_found, p6_redacted, p8_found, p8_packed, p8_fill, p8_placed,
+        p5_found, p5_verdicts, p5_conversations, p6_found, p6_numbers, p6_redacted, p8_found, p8_packed, p8_fill, p8_placed,
         p9_mix, p9_shares, p10_found, p10_statistics, p10_word_statistics,
     )
 }

@@ -76,10 +76,35 @@ def test_messages_keep_their_structure(spark):
     assert pii.findings(df.limit(0), names).count() == 0
 
 
+def test_messages_are_changed_in_place_only():
+    m = '{ "n": 1e400, "n": 2, "bob@example.org" : [1.50, {"phone":2265849012, "ssn": "899-01-2345"}],\t"t":"caf\\u00e9 a@example.org" }'
+    new, kinds = pii.redact_message(m, LEX, b"k")
+    assert sorted(kinds) == ["email", "email", "national_id", "phone"]
+    for kept in ('{ "n": 1e400, "n": 2, ', "[1.50, ", '\t"t":"café <EMAIL '):
+        assert kept in new
+    assert "bob@" not in new and "2265849012" not in new and "899-01" not in new and json.loads(new)
+    deep = "[" * 20_000 + '"a@example.org"' + "]" * 20_000
+    assert pii.redact_message(deep, LEX, b"k")[1] == ["email"]
+
+
+def test_many_findings_take_linear_time():
+    text = " ".join(f"user{i}@example.org" for i in range(20_000))
+    t = __import__("time").time()
+    assert len(pii.find(text, LEX)) == 20_000 and __import__("time").time() - t < 2
+
+
+@pytest.mark.parametrize("value,kind,want", [
+    ("899-01-2345", "national_id", True), ("000-41-7561", "national_id", False), ("DNI 12345678Z", "national_id", True), ("DNI 12345678A", "national_id", False), ("Steuer-ID 86095742719", "national_id", True),
+    ("AB123456C", "national_id", True), ("TN909481C", "national_id", False), ("passport no. X00550545", "national_id", None), ("+12075550144", "phone", True),
+])
+def test_checks_of_numbers(value, kind, want):
+    assert pii.checked(value, kind) is want
+
+
 def test_texts_do_not_run_into_each_other():
     rnd = random.Random(1)
     texts = [t for _, t in FOUND] + CLEAN
     for _ in range(20):
         some = rnd.sample(texts, 6)
         kinds = {s.kind for t in some for s in pii.find(t, LEX)}
-        assert set(pii.redact_message(json.dumps({"content": some}), LEX, b"k", False)[1]) == kinds
+        assert set(pii.redact_message(json.dumps({"content": some}), LEX, b"k")[1]) == kinds
