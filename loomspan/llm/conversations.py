@@ -20,7 +20,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.runtime import running_total, spread, stage, unstage
+from loomspan.sources.grammar import load
 
 #: Lines of one task's chunk; bounds a task's memory to some 10 MB of links.
 CHUNK = 16_384
@@ -68,7 +68,7 @@ def symbols(transcripts: DataFrame) -> DataFrame:
                 role, text = None, False
                 if isinstance(m, str):
                     try:
-                        o = json.loads(m)
+                        o = load(m)
                     except ValueError:
                         o = None
                     if isinstance(o, dict):
@@ -101,7 +101,7 @@ def symbols(transcripts: DataFrame) -> DataFrame:
     ).mapInPandas(run, _LINES)
 
 
-_OUT = "tag string, session_id string, agent_id string, line_id bigint, uuid string, ref string, prompt string, n bigint, flag boolean"
+_OUT = "tag string, session_id string, agent_id string, line_id bigint, uuid string, ref string, prompt string, n bigint, flag boolean, seq bigint"
 _OUT_COLS = [x.split()[0] for x in _OUT.split(", ")]
 #: Tags of the automaton's output. VERDICT: a whole conversation; the others: parts of a chunked one.
 VERDICT, FACTS, LINE, EXIT, UNANSWERED, ANSWER = "verdict", "facts", "line", "exit", "unanswered", "answer"
@@ -110,8 +110,8 @@ VERDICT, FACTS, LINE, EXIT, UNANSWERED, ANSWER = "verdict", "facts", "line", "ex
 def run_automaton(lines: list[tuple], whole: bool) -> list[tuple]:
     """One conversation (``whole``) or one chunk; lines: (line_id, uuid, parent, symbol) by line_id.
 
-    Returns (tag, line_id, uuid, ref, prompt, n, flag) rows. ``ref`` is the uuid a
-    link leaves the chunk by, ``n`` the links to the top or to there.
+    Returns (tag, line_id, uuid, ref, prompt, n, flag, seq) rows. ``ref`` is the uuid a
+    link leaves the chunk by, ``n`` the links to the top or to there, ``seq`` the highest line number on that way.
     """
     info: dict[str, tuple[str | None, int, int]] = {}
     loose: list[tuple[int, str | None, int]] = []  # lines without uuid
@@ -120,28 +120,30 @@ def run_automaton(lines: list[tuple], whole: bool) -> list[tuple]:
             loose.append((lid, p, sym))
         elif u not in info:
             info[u] = (p, sym, lid)
-    # uuid -> (ref by which the way up leaves, nearest prompt at or above, links up, state, looped)
-    done: dict[str, tuple[str | None, str | None, int, int, bool]] = {}
+    # uuid -> (ref by which the way up leaves, nearest prompt at or above, links up, state, looped, highest line number)
+    Way = tuple[str | None, str | None, int, int, bool, int]
+    done: dict[str, Way] = {}
     answered: set[str] = set()
     exits: dict[str, bool] = {}
 
-    def above(p: str | None) -> tuple[str | None, str | None, int, int, bool]:
+    def above(p: str | None) -> Way:
         if p is None:
-            return None, None, -1, NONE, False
+            return None, None, -1, NONE, False, -1
         if p in info:
             return done[p]
         exits.setdefault(p, False)
-        return p, None, 0, NONE, False
+        return p, None, 0, NONE, False, -1
 
-    def close(u: str | None, p: str | None, sym: int) -> tuple[str | None, str | None, int, int, bool]:
-        ref, near, n, state, looped = above(p)
+    def close(u: str | None, p: str | None, sym: int, lid: int) -> Way:
+        ref, near, n, state, looped, seq = above(p)
         nxt = STEP[state, sym]
         if sym == REPLY:
             if near is not None:
                 answered.add(near)
             elif ref is not None:
                 exits[ref] = True
-        return ref, (u if sym == PROMPT and u is not None else near), (n if p is not None and p not in info else n + 1) if not looped else 0, nxt, looped
+        links = 0 if looped else n if p is not None and p not in info else n + 1
+        return ref, (u if sym == PROMPT and u is not None else near), links, nxt, looped, max(seq, lid)
 
     for u in info:
         way: list[str] = []
@@ -153,15 +155,15 @@ def run_automaton(lines: list[tuple], whole: bool) -> list[tuple]:
             x = info[x][0]
         if x is not None and x in on:  # a loop: it never ends at a line without parent
             for v in way:
-                done[v] = (None, None, 0, NONE, True)
+                done[v] = (None, None, 0, NONE, True, info[v][2])
             continue
         for v in reversed(way):
-            p, sym, _ = info[v]
-            done[v] = close(v, p, sym)
+            p, sym, lid = info[v]
+            done[v] = close(v, p, sym, lid)
     lone_prompt = False
     lone: list[tuple] = []
     for lid, p, sym in loose:
-        lone.append((lid, *close(None, p, sym)))
+        lone.append((lid, *close(None, p, sym, lid)))
         lone_prompt |= sym == PROMPT
     looped = any(d[4] for d in done.values())
     prompts = [u for u, (_, sym, _) in info.items() if sym == PROMPT]
@@ -176,17 +178,17 @@ def run_automaton(lines: list[tuple], whole: bool) -> list[tuple]:
             else "prompt without reply" if lone_prompt or len(answered) < len(prompts)
             else ""
         )
-        return [(VERDICT, None, None, None, reason, len(info) + len(loose), reason != "")] + (
-            [(LINE, info[u][2], u, None, None, done[u][2], False) for u in info]
-            + [(LINE, lid, None, None, None, n, False) for lid, _, _, n, _, _ in lone]
+        return [(VERDICT, None, None, None, reason, len(info) + len(loose), reason != "", None)] + (
+            [(LINE, info[u][2], u, None, None, done[u][2], False, done[u][5]) for u in info]
+            + [(LINE, lid, None, None, None, n, False, seq) for lid, _, _, n, _, _, seq in lone]
             if reason == ""
             else []
         )
-    out: list[tuple] = [(FACTS, None, None, None, "loop" if looped else "lone" if lone_prompt else "", int(has_prompt) + 2 * int(has_reply), looped)]
-    out += [(LINE, info[u][2], u, d[0], d[1], d[2], d[4]) for u, d in done.items()]
-    out += [(LINE, lid, None, ref, near, n, looped_) for lid, ref, near, n, _, looped_ in lone]
-    out += [(EXIT, None, None, r, None, None, f) for r, f in exits.items()]
-    out += [(ANSWER if u in answered else UNANSWERED, None, u, None, None, None, None) for u in prompts]
+    out: list[tuple] = [(FACTS, None, None, None, "loop" if looped else "lone" if lone_prompt else "", int(has_prompt) + 2 * int(has_reply), looped, None)]
+    out += [(LINE, info[u][2], u, d[0], d[1], d[2], d[4], d[5]) for u, d in done.items()]
+    out += [(LINE, lid, None, ref, near, n, looped_, seq) for lid, ref, near, n, _, looped_, seq in lone]
+    out += [(EXIT, None, None, r, None, None, f, None) for r, f in exits.items()]
+    out += [(ANSWER if u in answered else UNANSWERED, None, u, None, None, None, None, None) for u in prompts]
     return out
 
 
@@ -209,7 +211,7 @@ def _automata(batches: Iterator[pd.DataFrame], keep_lines: bool) -> Iterator[pd.
 
     def frame() -> pd.DataFrame:
         p = pd.DataFrame(rows, columns=_OUT_COLS)
-        for c in ("line_id", "n"):
+        for c in ("line_id", "n", "seq"):
             p[c] = p[c].astype("Int64")
         return p
 
@@ -235,16 +237,18 @@ def examine(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(verdicts, lines). verdicts: session_id, agent_id, n_lines, reason ('' if sound).
 
-    lines (with ``keep_lines``): session_id, agent_id, line_id, links_up of the sound conversations.
+    lines (with ``keep_lines``): session_id, agent_id, line_id, links_up, seq of the sound conversations.
     ``flat`` is the staged result of ``symbols``, if the caller has it.
     """
     conv = ["session_id", "agent_id"]
     flat = flat if flat is not None else stage(symbols(transcripts))
     large = flat.groupBy(*conv).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > chunk)
-    large = large.select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"))
+    large = large.select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"), "n_")
+    # lines without a number are spread over as many chunks as the conversation needs
+    spare = -1 - F.pmod(F.xxhash64("uuid"), F.ceil(F.col("n_") / chunk).cast("bigint"))
     cut = flat.join(large, _same(flat, large), "left").select(
         *conv,
-        F.when(F.col("s_").isNotNull(), F.floor(F.col("line_id") / chunk)).otherwise(F.lit(0)).cast("bigint").alias("chunk"),
+        F.when(F.col("s_").isNotNull(), F.when(F.col("line_id") < 0, spare).otherwise(F.floor(F.col("line_id") / chunk))).otherwise(F.lit(0)).cast("bigint").alias("chunk"),
         F.col("s_").isNull().alias("whole"),
         "line_id",
         "uuid",
@@ -258,7 +262,7 @@ def examine(
     chunked = out.where(F.col("tag") == FACTS)
     if chunked.isEmpty():
         verdicts = small
-        lines = _once(out.where(F.col("tag") == LINE).select(*conv, "uuid", "line_id", F.col("n").alias("links_up"))) if keep_lines else None
+        lines = _once(out.where(F.col("tag") == LINE).select(*conv, "uuid", "line_id", F.col("n").alias("links_up"), "seq")) if keep_lines else None
     else:
         big = chunked.select(*[F.col(c).alias(x) for c, x in zip(conv, ("s_", "a_"))]).distinct()
         parts = parts.join(big, _same(parts, big), "left_semi")
@@ -266,11 +270,11 @@ def examine(
         verdicts = small.unionByName(_large_verdicts(parts, at))
         lines = None
         if keep_lines:
-            few = out.where(F.col("tag") == LINE).join(big, _same(out, big), "left_anti").select(*conv, "uuid", "line_id", F.col("n").alias("links_up"))
-            a = at.select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"), F.col("ref").alias("r_"), F.col("n").alias("n_"))
+            few = out.where(F.col("tag") == LINE).join(big, _same(out, big), "left_anti").select(*conv, "uuid", "line_id", F.col("n").alias("links_up"), "seq")
+            a = at.select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"), F.col("ref").alias("r_"), F.col("n").alias("n_"), F.col("seq").alias("q_"))
             ln = parts.where(F.col("tag") == LINE)
             far = ln.join(a, _same(ln, a) & (ln["ref"] == a["r_"]), "left").select(
-                *conv, "uuid", "line_id", (F.col("n") + F.coalesce(F.col("n_") + 1, F.lit(0))).alias("links_up")
+                *conv, "uuid", "line_id", (F.col("n") + F.coalesce(F.col("n_") + 1, F.lit(0))).alias("links_up"), F.greatest("seq", "q_").alias("seq")
             )
             bad = verdicts.where("reason <> ''").select(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"))
             lines = _once(few.unionByName(far.join(bad, _same(far, bad), "left_anti")))
@@ -280,7 +284,7 @@ def examine(
 def _once(lines: DataFrame) -> DataFrame:
     """A line delivered twice comes once, under its first number."""
     key = F.coalesce("uuid", F.concat(F.lit("\x1f"), F.col("line_id").cast("string")))
-    return lines.groupBy("session_id", "agent_id", key.alias("k")).agg(F.min("line_id").alias("line_id"), F.min("links_up").alias("links_up")).drop("k")
+    return lines.groupBy("session_id", "agent_id", key.alias("k")).agg(F.min("line_id").alias("line_id"), F.min("links_up").alias("links_up"), F.min("seq").alias("seq")).drop("k")
 
 
 def _close_exits(parts: DataFrame) -> DataFrame:
@@ -292,7 +296,7 @@ def _close_exits(parts: DataFrame) -> DataFrame:
     lines = (
         parts.where(F.col("tag") == LINE)
         .groupBy(F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"), F.col("uuid").alias("u_"))
-        .agg(F.min_by(F.struct("ref", "prompt", "n", "flag"), "line_id").alias("at"))
+        .agg(F.min_by(F.struct("ref", "prompt", "n", "flag", "seq"), "line_id").alias("at"))
     )
     refs = parts.where(F.col("tag") == EXIT).groupBy(*conv, "ref").agg(F.max("flag").alias("flag"))
     cur = stage(
@@ -304,13 +308,14 @@ def _close_exits(parts: DataFrame) -> DataFrame:
             F.col("at.ref").alias("ptr"),
             F.when(F.col("at.prompt").isNotNull(), F.col("at.prompt")).when(F.col("at.ref").isNull(), "").alias("prompt"),
             F.coalesce(F.col("at.n"), F.lit(0)).alias("n"),
+            F.coalesce(F.col("at.seq"), F.lit(-1)).alias("seq"),
         )
     )
     left, jumps, total = cur.where("fate is null").count(), 1, cur.count()
     while left and jumps <= 2 * total:
         up = cur.select(
             F.col("session_id").alias("s_"), F.col("agent_id").alias("a_"), F.col("ref").alias("r_"), F.col("fate").alias("f_"),
-            F.col("ptr").alias("p_"), F.col("prompt").alias("q_"), F.col("n").alias("n_"),
+            F.col("ptr").alias("p_"), F.col("prompt").alias("q_"), F.col("n").alias("n_"), F.col("seq").alias("m_"),
         )
         moving = cur["fate"].isNull()
         nxt = stage(
@@ -322,6 +327,7 @@ def _close_exits(parts: DataFrame) -> DataFrame:
                 F.when(F.col("fate").isNull(), F.col("p_")).alias("ptr"),
                 F.coalesce("prompt", "q_").alias("prompt"),
                 (F.col("n") + F.when(F.col("fate").isNull(), F.col("n_") + 1).otherwise(0)).alias("n"),
+                F.when(F.col("fate").isNull(), F.greatest("seq", "m_")).otherwise(F.col("seq")).alias("seq"),
             )
         )
         unstage(cur)
@@ -374,11 +380,11 @@ def _large_verdicts(parts: DataFrame, at: DataFrame) -> DataFrame:
 def ordered(transcripts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The sound conversations: session_id, agent_id, turn_no, line_id, role, symbol.
 
-    Lines come after those they answer (links to the top, then sequence number);
+    Lines come by their sequence number, one that was delivered before what it answers right behind that;
     a line delivered twice comes once.
     """
     flat = stage(symbols(transcripts))
     _, lines = examine(transcripts, chunk, True, flat)
-    numbered = running_total(lines.withColumn("one", F.lit(1).cast("bigint")), ["session_id", "agent_id"], ["links_up", "line_id"], "one", "turn_no")
+    numbered = running_total(lines.withColumn("one", F.lit(1).cast("bigint")), ["session_id", "agent_id"], ["seq", "links_up", "line_id"], "one", "turn_no")
     roles = flat.select("session_id", "agent_id", "line_id", "role", "symbol").dropDuplicates(["session_id", "agent_id", "line_id"])
     return numbered.join(roles, ["session_id", "agent_id", "line_id"]).select("session_id", "agent_id", "turn_no", "line_id", "role", "symbol")

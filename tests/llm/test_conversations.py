@@ -79,6 +79,15 @@ def test_verdicts_in_one_piece_and_in_chunks(spark, seed):
         assert not kept & want
     a, b = (sorted(map(tuple, C.ordered(df, c).collect())) for c in (C.CHUNK, 5))
     assert a == b
+    # nothing comes before what it answers, and apart from that the sequence numbers decide
+    parent = {r[3]: r[4] for r in rows}
+    line = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        line.setdefault((r[1], r[3]), r[0])
+    place = {(x[0], x[3]): x[2] for x in a}
+    for (s, u), i in line.items():
+        if (s, i) in place and parent[u]:
+            assert place[s, line[s, parent[u]]] < place[s, i]
     for x, y in zip(a, a[1:]):
         assert (x[2] == 0 and y[2] in (0, 1)) or y[2] == x[2] + 1 or y[2] == 0
 
