@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.hierarchy import resolve
 from loomspan.operators.stats import count_if, money
 from loomspan.runtime import stage, unstage
 
@@ -122,11 +123,66 @@ def topology_edges(sessions: DataFrame, ops: DataFrame, with_root: DataFrame | N
 
 
 def cross_topology(sessions: DataFrame, size: str, most: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(the ``most`` largest sessions, lineage edges among them); the row behind tells that there are more."""
-    top = sessions.orderBy(F.col(size).desc_nulls_last(), "id").limit(most)
+    """(the ``most`` largest sessions, with ``max_size`` of them and ``truncated`` if there are more; lineage edges among them)."""
+    probe = stage(sessions.orderBy(F.col(size).desc_nulls_last(), "id").limit(most + 1))
+    facts = probe.agg((F.count(F.lit(1)) > most).alias("truncated"), F.max(size).alias("max_size"))
+    top = probe.orderBy(F.col(size).desc_nulls_last(), "id").limit(most)
     kept = top.select(F.col("id").alias("_p"))
     edges = top.join(kept, top["parent_session_id"] == kept["_p"]).select(F.col("_p").alias("source"), F.col("id").alias("target"))
-    return top, edges
+    return top.join(F.broadcast(facts)), edges  # one row
+
+
+def session_topology(sessions: DataFrame, ops: DataFrame, with_root: DataFrame, root: object) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the sessions below one root; agents are labelled, the root's as such."""
+    inside = with_root.where(F.col("root_id") == F.lit(root)).select("id")
+    s = sessions.join(inside, "id", "left_semi")
+    label = F.concat(F.coalesce(F.nullif("agent_name", F.lit("")), "kind"), F.when(F.col("parent_session_id").isNull(), " (root)").otherwise(""))
+    s = s.withColumn("agent_name", label)
+    o = ops.join(inside.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    return topology_nodes(s, o), topology_edges(s, o)
+
+
+def merged_tree(ops: DataFrame) -> DataFrame:
+    """All operations below a root as one tree: those without a parent in their session hang below the operation that started the session.
+
+    ops: op_id, session_id, parent_op_id, child_session_id. Returns op_id, session_id, parent, depth, root, pre (the place in a pre-order walk of
+    its tree) and size (operations below, itself included). An unknown parent makes a top; of several operations that started a session
+    the smallest id counts; operations on a loop have depth -1. Heavy paths give all that, so a tree of any size and depth stays distributed.
+    """
+    spawn = ops.where("child_session_id is not null").groupBy(F.col("child_session_id").alias("_cs")).agg(F.min("op_id").alias("_spawn"))
+    known = ops.select(F.col("op_id").alias("_k"), F.col("session_id").alias("_ks"))
+    x = ops.join(known, (ops["parent_op_id"] == known["_k"]) & (ops["session_id"] == known["_ks"]), "left").join(spawn, ops["session_id"] == spawn["_cs"], "left")
+    forest = x.select(F.col("op_id").alias("node"), F.coalesce("_k", F.when(F.col("_spawn") != F.col("op_id"), F.col("_spawn"))).alias("parent"), "session_id")
+    r = resolve(forest)
+    return r.select(F.col("node").alias("op_id"), "session_id", "parent", F.col("depth").cast("int").alias("depth"), F.col("top").alias("root"), "pre", "size")
+
+
+def child_tree(sessions: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+    """id, ancestor, parent, depth, path (ids from below the root down to the session) of all sessions below the roots."""
+    edges = sessions.where("parent_session_id is not null").select("id", F.col("parent_session_id").alias("parent"))
+    frontier = roots.select("id", F.col("id").alias("ancestor"), F.array().cast(f"array<{sessions.schema['id'].dataType.simpleString()}>").alias("path"))
+    out = None
+    for depth in range(1, max_depth + 1):
+        up = frontier.select(F.col("id").alias("_up"), "ancestor", "path")
+        frontier = stage(edges.join(up, edges["parent"] == up["_up"]).select("id", "ancestor", "parent", F.concat("path", F.array("id")).alias("path")))
+        if frontier.isEmpty():
+            break
+        level = frontier.withColumn("depth", F.lit(depth))
+        out = level if out is None else out.unionByName(level)
+    return out if out is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
+
+
+def turn_rollup(ops: DataFrame) -> DataFrame:
+    """session_id, turn_seq, bounds, operations, failures and busiest kind of each turn of a trace."""
+    return ops.groupBy("session_id", "turn_seq").agg(
+        F.min("start_ts").alias("start_ts"), F.max(F.coalesce("end_ts", "start_ts")).alias("end_ts"), F.count(F.lit(1)).alias("n_ops"), count_if(F.col("status") == "failed").alias("failures")
+    )
+
+
+def lanes(sessions: DataFrame, ops: DataFrame) -> DataFrame:
+    """Every session's lane with its spans (start, end, kind, status) in order: one nested row per session."""
+    spans = ops.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("start_ts", F.coalesce("end_ts", "start_ts").alias("end_ts"), "kind", "status"))).alias("spans"))
+    return timeline(sessions, ops).withColumnRenamed("spans", "n_spans").join(spans, "session_id")
 
 
 def op_tree(ops: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.operators.filters import BadRequest, SessionFilter
+from loomspan.operators.filters import apply as filter_sessions
 from loomspan.operators.stats import count_if, money
+from loomspan.operators.windows import positions
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 SPANS = {"hour": HOUR_US, "day": DAY_US}
@@ -97,13 +100,18 @@ def regroup(rollup: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def collapse(rollup: DataFrame, cap: int = CAP) -> DataFrame:
-    """Keeps the cap - 1 largest values per (bucket, format, dimension) if there are more than cap; the rest becomes one."""
-    w = Window.partitionBy("bucket_ts", "source_format", "dimension")
-    ranked = rollup.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
-        "_r", F.row_number().over(w.orderBy(F.desc("op_count"), "dimension_value"))
-    )
-    name = F.when((F.col("_n") > cap) & (F.col("_r") >= cap), OTHER).otherwise(F.col("dimension_value"))
-    return regroup(ranked.withColumn("dimension_value", name).drop("_n", "_r"), KEYS)
+    """Keeps the cap - 1 largest values per (bucket, format, dimension) if there are more than cap; the rest becomes one.
+
+    Only values of groups that are too large are ranked, over range partitions with offsets, so a group of any size stays distributed.
+    """
+    group = ["bucket_ts", "source_format", "dimension"]
+    large = rollup.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap).drop("_n")
+    over = rollup.join(large, group, "left_semi")
+    # NULLs can't be compared in a join but group alike; values of a rollup are never NULL
+    under = rollup.join(large, group, "left_anti")
+    ranked = positions(over.withColumn("_c", -F.col("op_count")), group, ["_c", "dimension_value"], "_r")
+    name = F.when(F.col("_r") >= cap, OTHER).otherwise(F.col("dimension_value"))
+    return under.unionByName(regroup(ranked.withColumn("dimension_value", name).drop("_r", "_c"), KEYS).select(*under.columns))
 
 
 def merged(closed: DataFrame, ops: DataFrame, sessions: DataFrame, sources: DataFrame, span_us: int, now_us: int) -> DataFrame:
@@ -114,6 +122,51 @@ def merged(closed: DataFrame, ops: DataFrame, sessions: DataFrame, sources: Data
     return closed.where(F.col("bucket_ts") < open_from).unionByName(_summed(late))
 
 
+#: What series may be grouped by, and what may be ranked: the first are the defaults.
+GROUPS = ("total", "source_format", "model", "provider", "tool", "agent", "cwd")
+RANKED = ("model", "provider", "tool", "agent", "cwd")
+
+
+def dimension_param(value: str, allowed: tuple[str, ...]) -> str:
+    """A dimension's name, the first allowed one by default; anything else is a BadRequest."""
+    if value and value not in allowed:
+        raise BadRequest(f"no dimension {value}")
+    return value or allowed[0]
+
+
+def window(f: SessionFilter, now_us: int) -> tuple[int, int]:
+    """[from, to) of statistics; without an end the present microsecond still counts."""
+    return f.from_us or 0, f.to_us if f.to_us is not None else now_us + 1
+
+
+def is_stored(f: SessionFilter) -> bool:
+    """Whether stored buckets can answer: only times may be set."""
+    return not (f.agents or f.models or f.tools or f.status or f.sources or f.q)
+
+
+def aggregate(stored: DataFrame, ops: DataFrame, sessions: DataFrame, sources: DataFrame, f: SessionFilter, span_us: int, now_us: int, dimension: str = "", metric: str = "cost") -> DataFrame:
+    """The series of a request, ordered by bucket, value and key.
+
+    Closed buckets come from the stored rollup where only times are set, else from a fold of the filtered sessions; the
+    open bucket is always folded. One reading of the clock decides, and a bucket counts by its start within [from, to).
+    """
+    dimension = dimension_param(dimension, GROUPS)
+    lo, hi = window(f, now_us)
+    open_from = now_us - now_us % span_us
+    live_from = lo if not is_stored(f) else max(lo, open_from)
+    kept = filter_sessions(sessions, f.all_sessions(), ops, time=False)
+    late = _op_rows(ops.where(F.col("start_ts") >= live_from - live_from % span_us), kept, sources, span_us)
+    late = _summed(late.unionByName(_start_rows(kept.where(F.col("start_ts") >= live_from - live_from % span_us), sources, span_us)))
+    rows = late.where(F.col("bucket_ts") >= live_from) if not is_stored(f) else stored.where(F.col("bucket_ts") < open_from).unionByName(late.where(F.col("bucket_ts") >= open_from))
+    rows = rows.where((F.col("bucket_ts") >= lo) & (F.col("bucket_ts") < hi))
+    return series(rows, dimension, metric).orderBy("bucket_ts", F.desc("value"), "key")
+
+
+def in_key_order(rollup: DataFrame) -> DataFrame:
+    """Rollup rows in the order of their keys."""
+    return rollup.orderBy(*KEYS)
+
+
 def series(rollup: DataFrame, dimension: str, metric: str) -> DataFrame:
     """bucket_ts, key, value of one dimension and metric, over all formats; source_format is a dimension too."""
     by_format = dimension == "source_format"

@@ -108,4 +108,19 @@ k as (
   union all select 'log_entry', count(*) from ln where (kind = 'user' and (meta or compact)) or (kind = 'assistant' and not spoken) or kind = 'system')
 select * from k where n > 0"""
 
-LEGACY_SIGNS = """regexp_matches(lower(coalesce(item ->> '$.output', '')), 'denied by sandbox|operation not permitted|sandbox deny')"""
+#: logs: each entry of a ledger once.
+LEDGER_LOGS = f"""{LEDGER},
+le as (select source_id, nullif(sessionid ->> '$', '') as session, kind, turn_n, ts_us, cast(t as json) as j from lg where reason = ''),
+lm0 as (select source_id, session, turn_n as turn_seq, ts_us as ts, case part when 'warnings' then 'WRN' else 'ERR' end as severity, nullif(unnest(cast(json_extract(j, '$.' || part) as json[])) ->> '$', '') as message
+    from le, (values ('warnings'), ('errors')) v(part) where kind = 'turn_end' and json_type(j, '$.' || part) = 'ARRAY'
+  union all select source_id, session, null, ts_us, 'ERR', j ->> '$.error' from le where kind = 'session_summary' and j ->> '$.status' = 'failed' and nullif(j ->> '$.error', '') is not null
+  union all select source_id, session, null, ts_us, 'ERR', nullif(j ->> '$.error', '') from le where kind = 'session_error'),
+logs as (select distinct substr(sha256(concat_ws(chr(31), coalesce(source_id, ''), coalesce(session, ''), coalesce(cast(turn_seq as varchar), ''), '', coalesce(cast(ts as varchar), ''), severity, coalesce(message, ''))), 1, 32) as id,
+  source_id, session, turn_seq, cast(null as bigint) as op_seq, ts, severity, message from lm0)"""
+
+LEDGER_OPS_FOLDED = f"{_SNAPSHOT_NODES}, {_LEDGER_NODES}, {LEDGER_OPS}, folded as ({LEDGER_OPERATIONS[LEDGER_OPERATIONS.rindex('select source_id, session, turn_seq, op_seq'):]})"
+
+#: refs: payloads of operations in ledgers, as often as they are mentioned.
+LEDGER_REFS = f"""{LEDGER}, {_SNAPSHOT_NODES}, {_LEDGER_NODES}, {LEDGER_OPS},
+refs as (select source_id, session, turn_seq, op_seq, nullif(r ->> '$.kind', '') as payload_kind, nullif(r ->> '$.path', '') as location,
+    case when coalesce(json_type(r, '$.originalBytes'), 'NULL') <> 'NULL' then {_n("json_extract(r, '$.originalBytes')")} end as bytes from (select *, unnest(refs) as r from lops))"""

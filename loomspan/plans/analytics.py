@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan import domain
-from loomspan.operators import filters, graph, related, rollups, search, stats
+from loomspan.operators import filters, graph, links, related, rollups, search, stats
 from loomspan.operators.filters import SessionFilter
-from loomspan.runtime import table
+from loomspan.plans import adapter_sql, search_sql
+from loomspan.runtime import kept_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,18 @@ def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query],
     return add
 
 
+def plain_query(sql: str | None) -> Callable[[Query], Query]:
+    """Registers a query whose SQL stands on its own."""
+
+    def add(q: Query) -> Query:
+        QUERIES[q.__name__] = q
+        if sql:
+            SQL[q.__name__] = sql
+        return q
+
+    return add
+
+
 @query(
     f""", s as (select * from sessions_ where id in ({SCOPE_SQL})), o as (select * from ops_ where session_id in (select id from s))
 select (select count(*) from s) as sessions,
@@ -299,6 +312,30 @@ def rollup_failure_rate(spark: SparkSession, d: str) -> DataFrame:
     return rollups.failure_rate(_daily(spark, d), "tool", 3)
 
 
+WINDOW = SessionFilter(from_us=800_000_000_000_000, to_us=900_000_000_000_000)
+
+
+@query(
+    ROLLUP_SQL
+    + """select bucket_ts, dimension_value as key, cast(sum(op_count) as bigint) as value from daily where dimension = 'agent' and bucket_ts >= 800000000000000 and bucket_ts < 900000000000000 group by all"""
+)
+def stats_series_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Only times are set, so closed buckets come from the stored rollup."""
+    x = domain.load(spark, d)
+    return rollups.aggregate(_daily(spark, d), x.ops, x.sessions, x.sources, WINDOW, rollups.DAY_US, OPEN_AT, "agent", "calls")
+
+
+@query(
+    ROLLUP_SQL.replace("from ops_ o join sessions_ s on s.id = o.session_id", "from ops_ o join (select * from sessions_ where status = 'failed') s on s.id = o.session_id").replace("from sessions_ s join sources_ r on r.id = s.source_id cross", "from (select * from sessions_ where status = 'failed') s join sources_ r on r.id = s.source_id cross")
+    + """select bucket_ts, source_format as key, cast(sum(session_starts) as bigint) as value from daily where dimension = 'total' and bucket_ts >= 800000000000000 and bucket_ts < 900000000000000 group by all"""
+)
+def stats_series_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """A further filter is set, so everything is folded."""
+    x = domain.load(spark, d)
+    f = SessionFilter(from_us=WINDOW.from_us, to_us=WINDOW.to_us, status=("failed",), include_empty=True)
+    return rollups.aggregate(_daily(spark, d), x.ops, x.sessions, x.sources, f, rollups.DAY_US, OPEN_AT, "source_format", "sessions")
+
+
 @query(
     """select epoch_us(ts) - epoch_us(ts) % 3600000000 as bucket_ts, event_type, count(*) as n,
   cast(sum(cast(value as decimal(38, 6))) as double) as total, cast(sum(case when value < 0 then 1 else 0 end) as bigint) as negative from events group by all"""
@@ -379,9 +416,85 @@ def _cross(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.cross_topology(s, "month")
 
 
-@query(CROSS_SQL + "select id, month from t")
+@query(CROSS_SQL + "select id, month, (select count(*) > 500 from sessions_) as truncated, (select max(start_ts // 2592000000000) from sessions_) as max_size from t")
 def cross_topology_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _cross(spark, d)[0].select("id", "month")
+    return _cross(spark, d)[0].select("id", "month", "truncated", "max_size")
+
+
+TREE_SQL = """, walk as (select id, id as root_id from sessions_ where parent_session_id is null
+  union all select s.id, w.root_id from walk w join sessions_ s on s.parent_session_id = w.id),
+ts as (select s.*, coalesce(nullif(agent_name, ''), kind) || case when parent_session_id is null then ' (root)' else '' end as label from sessions_ s join walk w on w.id = s.id where w.root_id = 100),
+tf as (select o.*, label, case when o.end_ts > o.start_ts then o.end_ts - o.start_ts else 0 end as took from ops_ o join ts on ts.id = o.session_id)
+"""
+
+
+@query(
+    TREE_SQL
+    + """, u as (select 'agent' as node_kind, label as node, * from tf union all select 'tool', tool, * from tf where kind = 'tool')
+select node_kind, node, count(*) as calls, cast(sum(took) as bigint) as total_us, cast(sum(cast(cost_usd as decimal(38, 6))) as double) as cost_usd,
+  cast(sum(case when status = 'failed' then 1 else 0 end) as bigint) as failures, max(tokens_in) as max_tokens_in from u where node <> '' group by all""",
+    recursive=True,
+)
+def session_topology_nodes(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return graph.session_topology(x.sessions, x.ops, graph.roots(x.sessions), 100)[0]
+
+
+@query(
+    TREE_SQL
+    + """select label as source, tool as target, count(*) as calls, cast(sum(took) as bigint) as total_us, 'calls' as edge_kind from tf where kind = 'tool' and tool <> '' group by all
+union all select p.label, s.label, count(*), 0, 'spawns' from ts s join ts p on p.id = s.parent_session_id group by all""",
+    recursive=True,
+)
+def session_topology_edges(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return graph.session_topology(x.sessions, x.ops, graph.roots(x.sessions), 100)[1]
+
+
+@query(
+    """, walk as (select id, id as ancestor, cast(null as bigint) as parent, 0 as depth, '' as path from sessions_ where kind = 'root'
+  union all select s.id, w.ancestor, s.parent_session_id, w.depth + 1, w.path || '/' || s.id from walk w join sessions_ s on s.parent_session_id = w.id where w.depth < 20)
+select id, ancestor, parent, depth, path from walk where depth > 0""",
+    recursive=True,
+)
+def session_child_tree(spark: SparkSession, d: str) -> DataFrame:
+    s = domain.load(spark, d).sessions
+    t = graph.child_tree(s, s.where("kind = 'root'"))
+    return t.withColumn("path", F.concat(F.lit("/"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/")))
+
+
+def _spliced(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of all sessions with links: by op_seq within a turn, and from the first operation of a session to its children."""
+    o = domain.load(spark, d).ops.select("session_id", "turn_seq", "op_seq").distinct()
+    o = o.withColumn("op_id", F.concat_ws("-", "session_id", "turn_seq", "op_seq"))
+    o = o.withColumn("parent_op_id", F.when(F.col("op_seq") % 2 == 0, F.concat_ws("-", "session_id", "turn_seq", F.floor(F.col("op_seq") / 2).cast("bigint"))))
+    first = o.groupBy(F.col("session_id").alias("_p")).agg(F.min("op_id").alias("_first"))
+    child = domain.load(spark, d).sessions.where("parent_session_id is not null").groupBy(F.col("parent_session_id").alias("_c")).agg(F.min("id").alias("kid"))
+    o = o.join(first, o["session_id"] == first["_p"]).join(child, o["session_id"] == child["_c"], "left")
+    return o.withColumn("child_session_id", F.when(F.col("op_id") == F.col("_first"), F.col("kid"))).select("op_id", "session_id", "parent_op_id", "child_session_id")
+
+
+@query(
+    """, o0 as (select distinct session_id, turn_seq, op_seq from ops_), o1 as (select *, session_id || '-' || turn_seq || '-' || op_seq as op_id,
+    case when op_seq % 2 = 0 then session_id || '-' || turn_seq || '-' || (op_seq // 2) end as parent_op_id from o0),
+f as (select session_id, min(op_id) as first_ from o1 group by 1), k as (select parent_session_id as p, min(id) as kid from sessions_ where parent_session_id is not null group by 1),
+sp as (select k.kid, min(f.first_) as spawn from f join k on k.p = f.session_id group by 1),
+l as (select o1.op_id, o1.session_id, coalesce(p.op_id, sp.spawn) as parent from o1 left join o1 p on p.op_id = o1.parent_op_id and p.session_id = o1.session_id left join sp on sp.kid = o1.session_id),
+w as (select op_id, session_id, parent, 0 as depth, op_id as root from l where parent is null union all select l.op_id, l.session_id, l.parent, w.depth + 1, w.root from w join l on l.parent = w.op_id)
+select l.op_id, l.session_id, l.parent, coalesce(w.depth, -1) as depth, w.root from l left join w using (op_id)""",
+    recursive=True,
+)
+def merged_trace(spark: SparkSession, d: str) -> DataFrame:
+    """One tree of operations across sessions."""
+    return graph.merged_tree(_spliced(spark, d)).select("op_id", "session_id", "parent", "depth", "root")
+
+
+@query(
+    """select session_id, turn_seq, min(start_ts) as start_ts, max(coalesce(end_ts, start_ts)) as end_ts, count(*) as n_ops,
+  cast(sum(case when status = 'failed' then 1 else 0 end) as bigint) as failures from ops_ group by all"""
+)
+def trace_turns(spark: SparkSession, d: str) -> DataFrame:
+    return graph.turn_rollup(domain.load(spark, d).ops)
 
 
 @query(CROSS_SQL + "select p.id as source, c.id as target from t c join t p on p.id = c.parent_session_id")
@@ -422,10 +535,13 @@ from s a join s b on a.h = b.h and a.source_id <> b.source_id and a.source_forma
 )
 def related_by_hash(spark: SparkSession, d: str) -> DataFrame:
     """Prompts found again in another source, over the documents (the recorded hashes seldom repeat)."""
+    return related.related_by_hash(*_prompts(spark, d))
+
+
+def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").where("source is not null and text is not null")
     s = docs.select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source_id"), F.sha2(F.lower(F.trim("text")), 256).alias("first_user_message_hash"))
-    sources = s.select(F.col("source_id").alias("id"), F.concat(F.lit("f"), F.length("source_id")).alias("source_format")).distinct()
-    return related.related_by_hash(s, sources)
+    return s, s.select(F.col("source_id").alias("id"), F.concat(F.lit("f"), F.length("source_id")).alias("source_format")).distinct()
 
 
 @query(
@@ -440,6 +556,33 @@ def related_by_time(spark: SparkSession, d: str) -> DataFrame:
     return related.related_by_time(s, s.where("row_id % 50 = 0"), NOW)
 
 
+@plain_query(
+    """with d as (select doc_id as id, lower(trim(source)) as source_id, sha256(lower(trim(text))) as h from documents where source is not null and text is not null)
+select id, h as prompt_hash, source_id, 'f' || length(source_id) as source_format from d"""
+)
+def related_hash_members(spark: SparkSession, d: str) -> DataFrame:
+    """Who is in which class of equal prompts."""
+    s, sources = _prompts(spark, d)
+    return related.hash_members(s, sources)
+
+
+@query(
+    f""", src as (select id, source_format from sources), h as (select r.id, first_user_message_hash as hash, r.source_id, source_format from recorded_ r join src on src.id = r.source_id where first_user_message_hash <> ''),
+c as (select hash, source_id, source_format, min(id) as first_id from h group by all),
+bh as (select h.id as session_id, c.first_id as related_id, 'hash' as basis, 0 as after_us from h join c on c.hash = h.hash and c.source_id <> h.source_id and c.source_format <> h.source_format
+  where h.id in (select id from recorded_ where row_id % 50 = 0)),
+q as (select id, cwd, start_ts as s0, coalesce(end_ts, {NOW}) as s1, source_id from recorded_ where coalesce(first_user_message_hash, '') = '' and start_ts is not null and cwd <> '' and row_id % 50 = 0),
+p as (select q.id as session_id, r.id as related_id, 'time' as basis, r.start_ts - q.s0 as after_us, row_number() over (partition by q.id order by r.start_ts, r.id) as pos
+  from q join recorded_ r on r.cwd = q.cwd and r.start_ts between q.s0 and q.s1 and r.id <> q.id and r.source_id <> q.source_id),
+u as (select * from bh union all select session_id, related_id, basis, after_us from p where pos <= 10)
+select session_id, related_id, basis, cast(row_number() over (partition by session_id order by basis, after_us, related_id) as int) as pos from u qualify pos <= 10"""
+)
+def related_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of relation in one list of ten."""
+    s = domain.recorded_sessions(spark, d)
+    return related.related(s, table(spark, d, "sources"), s.where("row_id % 50 = 0"), NOW)
+
+
 def _prices(spark: SparkSession, d: str) -> DataFrame:
     """A price list made from parts: two tiers a model, from day 8,000 and day 9,500 on."""
     p = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_size").alias("z"), F.min("p_partkey").alias("k"))
@@ -452,25 +595,33 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
         F.col("t.day").alias("effective_day"),
         (F.col("z") * F.col("t.f")).cast("double").alias("input_per_million"),
         (F.col("z") * F.col("t.f") * 3).cast("double").alias("output_per_million"),
+        (F.col("z") * F.col("t.f") / 4).alias("cache_read_per_million"),
+        (F.col("z") * F.col("t.f") * 2).cast("double").alias("cache_write_per_million"),
     )
 
 
 PRICE_SQL = """, m as (select p_brand, min(p_size) as z from part group by 1),
 tiers as (select lower(p_brand) as model, pr.p as provider, t.day as day, z * t.f as i, z * t.f * 3 as o
   from m cross join (values ('p0'), ('p1'), ('p2'), ('p3')) pr(p) cross join (values (8000, 1), (9500, 2)) t(day, f)),
-x as (select ops_.*, start_ts // 86400000000 as day from ops_ where kind = 'llm'),
+x as (select ops_.*, tokens_in * 5 as tokens_cache_read, tokens_in % 7 as tokens_cache_write, start_ts // 86400000000 as day from ops_ where kind = 'llm'),
 j as (select x.*, (select max(t.day) from tiers t where t.provider = lower(x.provider) and t.model = lower(x.model) and t.day <= x.day) as tier_day from x)
 """
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
-    return related.priced(domain.load(spark, d).ops.where("kind = 'llm'"), related.price_keys(_prices(spark, d)))
+    return related.priced(_metered(spark, d).where("kind = 'llm'"), related.price_keys(_prices(spark, d)))
+
+
+def _metered(spark: SparkSession, d: str) -> DataFrame:
+    """Operations with counts of all four token classes; every third costs nothing yet."""
+    o = domain.load(spark, d).ops
+    return o.withColumns({"tokens_cache_read": F.col("tokens_in") * 5, "tokens_cache_write": F.col("tokens_in") % 7, "cost_usd": F.when(F.col("op_seq") % 3 == 0, 0.0).otherwise(F.col("cost_usd"))})
 
 
 @query(
     PRICE_SQL
     + """select j.model, j.provider, j.tier_day, count(*) as n,
-  cast(sum(cast(round((tokens_in * i + tokens_out * o) / 1000000.0, 9) as decimal(38, 9))) as double) as priced_usd
+  cast(sum(cast(round((tokens_in * i + tokens_out * o + tokens_cache_read * i / 4.0 + tokens_cache_write * i * 2) / 1000000.0, 9) as decimal(38, 9))) as double) as priced_usd
 from j left join tiers t on t.provider = lower(j.provider) and t.model = lower(j.model) and t.day = j.tier_day group by all"""
 )
 def price_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -484,9 +635,46 @@ def price_misses(spark: SparkSession, d: str) -> DataFrame:
     return related.price_misses(_priced(spark, d))
 
 
+@query(
+    PRICE_SQL
+    + """, y as (select *, row_number() over () as rn from ops_), yd as (select *, start_ts // 86400000000 as day from y),
+yt as (select yd.*, (select max(t.day) from tiers t where t.provider = lower(yd.provider) and t.model = lower(yd.model) and t.day <= yd.day) as tier_day from yd),
+n as (select yt.session_id, yt.turn_seq, case when op_seq % 3 = 0 then case when kind = 'llm' and tokens_in > 0 and coalesce(yt.model, '') <> ''
+    then coalesce(round((tokens_in * i + tokens_out * o + tokens_in * 5 * i / 4.0 + (tokens_in % 7) * i * 2) / 1000000.0, 9), 0) else 0 end else cost_usd end as c
+  from yt left join tiers t on t.provider = lower(yt.provider) and t.model = lower(yt.model) and t.day = yt.tier_day),
+tc as (select session_id, turn_seq, cast(sum(cast(c as decimal(38, 6))) as double) as cost_usd from n group by all)
+select session_id, cast(sum(cast(cost_usd as decimal(38, 6))) as double) as cost_usd from tc group by 1"""
+)
+def repriced_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of sessions after operations without a price got one."""
+    return related.cost_cascade(related.repriced(_metered(spark, d), related.price_keys(_prices(spark, d))))[1]
+
+
 IDS = [100, 101, 200]
 
 
+@query(
+    """, h as (select tool, count(*) filter (where session_id = 100) as s0, count(*) filter (where session_id = 101) as s1, count(*) filter (where session_id = 200) as s2
+  from ops_ where kind = 'tool' and session_id in (100, 101, 200) group by 1)
+select tool, case when s0 > 0 and s1 > 0 and s2 > 0 then 'common' when s0 = 0 then 'added' when s1 = 0 and s2 = 0 then 'removed' else 'some' end as change from h"""
+)
+def compare_tool_changes(spark: SparkSession, d: str) -> DataFrame:
+    return related.tool_changes(domain.load(spark, d).ops, IDS)
+
+
+@query(
+    """select min(session_id) as session_id, kind, coalesce(tool, model, '') as name from ops_ where status = 'failed' and session_id in (100, 101, 200)
+group by kind, coalesce(tool, model, '') having count(distinct session_id) = 1"""
+)
+def compare_only_in(spark: SparkSession, d: str) -> DataFrame:
+    return related.only_in(domain.load(spark, d).ops, IDS)
+
+
+@query("select id, agent_name, case id when 200 then 0 when 100 then 1 else 2 end as pos from sessions_ where id in (100, 101, 200)")
+def compare_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return links.in_order(domain.load(spark, d).sessions.select("id", "agent_name"), [200, 100, 101])
+
+
 @query(
     """, h as (select tool, cast(count(*) filter (where session_id = 100) as bigint) as s0, cast(count(*) filter (where session_id = 101) as bigint) as s1,
   cast(count(*) filter (where session_id = 200) as bigint) as s2 from ops_ where kind = 'tool' and session_id in (100, 101, 200) group by 1)
@@ -541,33 +729,60 @@ def search_postings(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(table(spark, d, "documents"), "doc_id", "text").select("doc", "term", F.col("tf").cast("bigint").alias("tf"), F.col("len").cast("bigint").alias("len"))
 
 
-@query(
-    TOKENS_SQL
-    + """, c as (select doc, len(w) as len, len(list_filter(w, lambda x: x = 'cursor')) as a, len(list_filter(w, lambda x: x = 'retry')) as b from t where len(w) > 0),
-f as (select count(*) as n, avg(len) as al, sum((a > 0)::int) as da, sum((b > 0)::int) as db from c),
-g as (select *, case when ln((n - da + 0.5) / (da + 0.5)) <= 0 then 1e-6 else ln((n - da + 0.5) / (da + 0.5)) end as ia,
-  case when ln((n - db + 0.5) / (db + 0.5)) <= 0 then 1e-6 else ln((n - db + 0.5) / (db + 0.5)) end as ib from f)
-select doc, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al))), 9) as rank
-from c, g where a > 0 and b > 0"""
-)
+_DOCS_SQL = "select doc_id as doc, text from documents"
+#: Opened indexes by session and table; they live as long as the session.
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+
+
+def _opened(spark: SparkSession, d: str, name: str, docs: Callable[[], DataFrame]) -> search.Index:
+    """The stored index of a table, written at its first use."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        path, texts = kept_path(spark, f"index-{name}"), docs()
+        search.write_index(texts, "doc", "text", path)
+        _INDEXES[key] = search.open_index(texts, "doc", "text", path)
+    return _INDEXES[key]
+
+
+def _contents(spark: SparkSession, d: str) -> search.Index:
+    return _opened(spark, d, "contents", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+def _found(text: str) -> str:
+    return "with " + search_sql.ranked(_DOCS_SQL, search.parse_query(text), "r")
+
+
+@plain_query(_found("cursor retry") + " select doc, rank from r")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.rank(table(spark, d, "documents"), "doc_id", "text", ["cursor", "retry"])
+    return search.ranked(_contents(spark, d), search.parse_query("cursor retry"))
 
 
-@query(
-    TOKENS_SQL
-    + """select doc from t where (list_contains(w, 'cursor') and len(list_filter(w, lambda x: starts_with(x, 'posit'))) > 0 and not list_contains(w, 'retry'))
-  or contains(' ' || array_to_string(w, ' ') || ' ', ' price lookup ')"""
-)
+GRAMMAR = 'cursor posit* NOT retry OR "price lookup"'
+
+
+@plain_query(_found(GRAMMAR) + " select doc, rank from r")
 def search_grammar(spark: SparkSession, d: str) -> DataFrame:
-    q = search.parse_query('cursor posit* NOT retry OR "price lookup"')
-    return search.match(table(spark, d, "documents"), "doc_id", "text", q).select("doc")
+    """Phrases, prefixes and every branch take part in the rank."""
+    return search.ranked(_contents(spark, d), search.parse_query(GRAMMAR))
 
 
-@query(None)
+NESTED = '("cursor position" OR rollup*) AND (retry OR session NOT ledger)'
+
+
+@plain_query(_found(NESTED) + " select doc, rank from r")
+def search_nested(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(_contents(spark, d), search.parse_query(NESTED))
+
+
+@plain_query(_found("cursor retry") + f", {search_sql.page('r', 50)} select * from r_page")
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     n = filters.clamped(None, filters.SEARCH_DEFAULT, filters.SEARCH_MAX)
-    return search.search(table(spark, d, "documents"), "doc_id", "text", "cursor retry", n)
+    return search.page(_contents(spark, d), search.parse_query("cursor retry"), n).drop("snippet")
+
+
+@plain_query(None)
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return search.page(_contents(spark, d), search.parse_query(GRAMMAR), 50)
 
 
 # ---- event folds, windows, parity -------------------------------------------------------------------------
@@ -687,7 +902,7 @@ def _artifacts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 PARITY_SQL = """, s as (select o_orderkey as key, o_orderpriority as cls, o_orderkey % 1000 as bytes from orders),
 f as (
   select key, case when key % 83 = 0 then 'other' else cls end as cls, 'duplicate' as code, 'derived' as field from s where key % 71 = 0 and key % 97 <> 0
-  union all select key, cls, 'differs', 'bytes' from s where key % 79 = 0 and key % 97 <> 0 and key % 83 <> 0
+  union all select key, cls, 'differs', 'bytes' from s where key % 79 = 0 and key % 97 <> 0 and key % 83 <> 0 and key % 71 <> 0
   union all select key, cls, 'missing', '' from s where key % 97 = 0
   union all select key, cls, 'class mismatch', 'other' from s where key % 83 = 0 and key % 97 <> 0
   union all select key + 1000000000, cls, 'extra', cls from s where key % 89 = 0)
@@ -710,22 +925,9 @@ def parity_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- source adapters --------------------------------------------------------------------------------------
-from loomspan.plans import adapter_sql  # noqa: E402
 from loomspan.sources import adapters, rollouts, transcripts  # noqa: E402
 
 
-def plain_query(sql: str | None) -> Callable[[Query], Query]:
-    """Registers a query whose SQL stands on its own."""
-
-    def add(q: Query) -> Query:
-        QUERIES[q.__name__] = q
-        if sql:
-            SQL[q.__name__] = sql
-        return q
-
-    return add
-
-
 def _ledger_events(spark: SparkSession, d: str) -> DataFrame:
     return adapters.get("aiagent_v3")(table(spark, d, "ledger_lines"), table(spark, d, "sources"))
 
@@ -798,6 +1000,149 @@ def legacy_operations(spark: SparkSession, d: str) -> DataFrame:
     return rollouts.legacy_ops(table(spark, d, "legacy_rollouts"))
 
 
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    return links.log_entries(_ledger_events(spark, d))
+
+
+@plain_query(f"with {adapter_sql.LEDGER_LOGS} select * from logs")
+def ledger_logs(spark: SparkSession, d: str) -> DataFrame:
+    return _logs(spark, d).drop("extras")
+
+
+@plain_query(f"with {adapter_sql.LEDGER_LOGS} select id, ts, severity, message from logs where severity in ('WRN', 'ERR') and ts is not null order by ts, id limit 101")
+def log_list(spark: SparkSession, d: str) -> DataFrame:
+    return links.log_page(_logs(spark, d), ("WRN", "ERR"), 100).select("id", "ts", "severity", "message")
+
+
+@plain_query(f"with {adapter_sql.LEDGER_LOGS} select id, ts from logs where severity = 'ERR' and (ts, id) > (1740000000000000, 'a') order by ts, id limit 101")
+def log_list_next_page(spark: SparkSession, d: str) -> DataFrame:
+    return links.log_page(_logs(spark, d), ("ERR",), 100, (1_740_000_000_000_000, "a")).select("id", "ts")
+
+
+def _some_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Log entries that name a source, or only a session, or neither, or belong to a source itself."""
+    s = domain.recorded_sessions(spark, d).where("error_message <> ''")
+    k = F.col("row_id") % 4
+    return s.select(
+        F.col("id").alias("log_id"), F.when(k < 3, F.col("id")).alias("session_id"), F.when((k == 0) | (k == 3), F.col("source_id")).alias("source_id"), F.coalesce("start_ts", F.lit(NOW)).alias("ts"),
+        F.when(k == 1, "WRN").otherwise("ERR").alias("severity"), F.col("error_message").alias("message"),
+    )
+
+
+SOME_LOGS_SQL = f""", sl as (select id as log_id, case when row_id % 4 < 3 then id end as session_id, case when row_id % 4 in (0, 3) then source_id end as source_id, coalesce(start_ts, {NOW}) as ts,
+  case row_id % 4 when 1 then 'WRN' else 'ERR' end as severity from recorded_ where error_message <> '')
+"""
+
+
+@query(SOME_LOGS_SQL + "select l.log_id, coalesce(l.source_id, r.source_id) as source_id, s.source_format from sl l left join recorded_ r on r.id = l.session_id join sources s on s.id = coalesce(l.source_id, r.source_id)")
+def placed_logs(spark: SparkSession, d: str) -> DataFrame:
+    return links.placed_logs(_some_logs(spark, d), domain.recorded_sessions(spark, d), table(spark, d, "sources")).select("log_id", "source_id", "source_format")
+
+
+@query(SOME_LOGS_SQL + f"select source_id, count(*) as n from sl where source_id is not null and session_id is null and severity = 'ERR' and ts > {NOW} - 3600000000 and ts <= {NOW} group by 1")
+def recent_source_errors(spark: SparkSession, d: str) -> DataFrame:
+    return links.recent_source_errors(_some_logs(spark, d), NOW)
+
+
+def _spawns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Operations that name a child or a call, and sessions to be found by either."""
+    x = domain.load(spark, d)
+    s = x.sessions.select(
+        "id", "source_id", F.col("id").cast("string").alias("native_id"), F.when(F.col("id") % 3 > 0, F.col("parent_session_id")).alias("parent_session_id"),
+        F.col("parent_session_id").cast("string").alias("parent_native_id"), F.concat(F.lit("t"), F.col("id") % 40).alias("tool_use_id"),
+    )
+    o = x.ops.groupBy("session_id", "turn_seq").agg(F.min("op_seq").alias("op_seq"))
+    k = F.col("session_id") + F.col("turn_seq")
+    return o.select(
+        "session_id", "turn_seq", "op_seq", F.when(k % 11 == 0, F.col("session_id")).alias("child_session_id"), F.when(k % 2 == 0, (k + 1).cast("string")).alias("child_native_id"),
+        F.concat(F.lit("t"), k % 40).alias("tool_use_id"),
+    ), s
+
+
+SPAWN_SQL = """, so as (select session_id, turn_seq, min(op_seq) as op_seq, session_id + turn_seq as k from ops_ group by all),
+o as (select session_id, turn_seq, op_seq, case when k % 11 = 0 then session_id end as child_session_id, case when k % 2 = 0 then cast(k + 1 as varchar) end as child_native_id, 't' || (k % 40) as tool_use_id from so),
+c as (select id, source_id, cast(id as varchar) as native_id, case when id % 3 > 0 then parent_session_id end as parent_session_id, cast(parent_session_id as varchar) as parent_native_id, 't' || (id % 40) as tool_use_id from sessions_),
+linked as (select o.session_id, o.turn_seq, o.op_seq, coalesce(o.child_session_id,
+  (select min(c.id) from c where c.source_id = p.source_id and c.native_id = o.child_native_id),
+  (select min(c.id) from c where c.source_id = p.source_id and c.tool_use_id = o.tool_use_id and c.id <> p.id and (c.parent_session_id = p.id or c.parent_native_id = p.native_id))) as child_session_id
+  from o left join c p on p.id = o.session_id)
+"""
+
+
+@query(SPAWN_SQL + "select * from linked")
+def op_child_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return links.child_sessions(*_spawns(spark, d)).select("session_id", "turn_seq", "op_seq", "child_session_id")
+
+
+@query(
+    SPAWN_SQL
+    + """select l.session_id, l.turn_seq, l.op_seq, 'op' as kind, s.source_id, r.source_format, s.agent_name, s.kind as session_kind, count(*) over (partition by l.session_id, l.turn_seq) as turn_ops, l.child_session_id, c2.agent_name as child_agent
+from linked l join sessions_ s on s.id = l.session_id join sources_ r on r.id = s.source_id left join sessions_ c2 on c2.id = l.child_session_id"""
+)
+def op_details(spark: SparkSession, d: str) -> DataFrame:
+    x = domain.load(spark, d)
+    return links.op_details(links.child_sessions(*_spawns(spark, d)).withColumn("kind", F.lit("op")), x.sessions, x.sources)
+
+
+@plain_query(f"with recursive {adapter_sql.LEDGER_REFS} select source_id, session, turn_seq, op_seq, min_by(payload_kind, (payload_kind, location)) as payload_kind, min_by(location, (payload_kind, location)) as location from refs where payload_kind is not null and location is not null group by all")
+def first_payloads(spark: SparkSession, d: str) -> DataFrame:
+    refs = merge.payload_refs(_ledger_events(spark, d)).where("payload_kind is not null and location is not null").select("source_id", "session", "turn_seq", "op_seq", "payload_kind", "location")
+    return links.first_payloads(refs, ["source_id", "session", "turn_seq", "op_seq"], ["payload_kind", "location"])
+
+
+@plain_query(f"with recursive {adapter_sql.LEDGER_REFS} select source_id, session, turn_seq, op_seq, count(*) as n_payloads, cast(sum(bytes) as bigint) as bytes from (select distinct on (source_id, session, turn_seq, op_seq, coalesce(payload_kind, ''), coalesce(location, '')) * from refs order by source_id, session, turn_seq, op_seq, coalesce(payload_kind, ''), coalesce(location, ''), bytes nulls last) group by all")
+def op_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads joined to their operations, by operation."""
+    ev = _ledger_events(spark, d)
+    key = ["source_id", "session", "turn_seq", "op_seq"]
+    refs = ev.where("kind = 'payload_ref'").groupBy(*key, F.coalesce("payload_kind", F.lit("")).alias("k"), F.coalesce("location", F.lit("")).alias("l")).agg(F.min("bytes_in").alias("bytes_in"))
+    return refs.join(merge.fold_ops(ev).select(*key), key).groupBy(*key).agg(F.count(F.lit(1)).alias("n_payloads"), F.sum("bytes_in").alias("bytes"))
+
+
+@plain_query("select 'sources' as table_name, count(*) as n_rows from sources union all select 'sessions', count(*) from sessions union all select 'ledger_lines', count(*) from ledger_lines")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return links.table_counts({t: table(spark, d, t) for t in ("sources", "sessions", "ledger_lines")})
+
+
+def _scopes(spark: SparkSession, d: str) -> dict[str, search.Index]:
+    def ops() -> DataFrame:
+        o = merge.fold_ops(_ledger_events(spark, d)).withColumnRenamed("op_kind", "kind").withColumnRenamed("name", "tool").withColumnRenamed("error_message", "error_text")
+        key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_id", "session", "turn_seq", "op_seq")])
+        return o.select(key.alias("doc"), search.op_document(o).alias("text"))
+
+    def logs() -> DataFrame:
+        return search.logged(_logs(spark, d).select(F.col("id").alias("doc"), "source_id", F.col("message").alias("text")), table(spark, d, "sources")).select("doc", "text")
+
+    return {"op": _opened(spark, d, "ops", ops), "log": _opened(spark, d, "logs", logs), "content": _contents(spark, d)}
+
+
+EVERYWHERE = "tool OR retr* OR (session failed)"
+_EVERY = search.parse_query(EVERYWHERE)
+_SCOPES_SQL = f"""with recursive {adapter_sql.LEDGER_LOGS}, {adapter_sql.LEDGER_OPS_FOLDED},
+dop as (select concat_ws('/', coalesce(source_id, ''), coalesce(session, ''), turn_seq, op_seq) as doc, concat_ws(' ', op_kind, model, provider, namespace, name, error_message) as text from folded),
+dlog as (select l.id as doc, message as text from logs l join sources s on s.id = l.source_id where s.fts5_index_logs = 1),
+{search_sql.ranked('select * from dop', _EVERY, 'ro')}, {search_sql.page('ro', 50)}, {search_sql.ranked('select * from dlog', _EVERY, 'rl')}, {search_sql.page('rl', 50)},
+{search_sql.ranked(_DOCS_SQL, _EVERY, 'rc')}, {search_sql.page('rc', 50)},
+pages as (select 'op' as scope, doc, rank, has_more from ro_page union all select 'log', doc, rank, has_more from rl_page union all select 'content', cast(doc as varchar), rank, has_more from rc_page)
+"""
+
+
+@plain_query(_SCOPES_SQL + "select scope, doc, rank, (select bool_or(has_more) from pages) as has_more from pages")
+def search_all(spark: SparkSession, d: str) -> DataFrame:
+    """Operations, logs and contents in one answer."""
+    return search.envelope(_scopes(spark, d), _EVERY, 50).drop("snippet")
+
+
+@plain_query(_SCOPES_SQL + "select doc, rank from rl")
+def search_logs(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(_scopes(spark, d)["log"], _EVERY)
+
+
+@plain_query(_SCOPES_SQL + "select doc, rank from ro")
+def search_ops(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(_scopes(spark, d)["op"], _EVERY)
+
+
 # ---- further lists ----------------------------------------------------------------------------------------
 @query(
     """select id, case when coalesce(tokens_cache_read, 0) + coalesce(tokens_in, 0) + coalesce(tokens_cache_write, 0) > 0
@@ -838,16 +1183,6 @@ def last_model_operations(spark: SparkSession, d: str) -> DataFrame:
     return x.select("session_id", "turn_seq", F.col("status").alias("last_status"), F.col("start_ts").alias("last_start"))
 
 
-@query(
-    """, t as (select r.id as doc, list_filter(regexp_split_to_array(lower(coalesce(error_message, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w
-  from recorded_ r join sources s on s.id = r.source_id where s.fts5_index_logs = 1 and error_message is not null)
-select doc from t where list_contains(w, 'exit') or len(list_filter(w, lambda x: starts_with(x, 'time'))) > 0"""
-)
-def search_logs(spark: SparkSession, d: str) -> DataFrame:
-    texts = domain.recorded_sessions(spark, d).select(F.col("id").alias("doc"), "source_id", F.col("error_message").alias("text"))
-    return search.logged(texts, table(spark, d, "sources"), search.parse_query("exit OR time*"))
-
-
 @query("select doc, term, count(*) as tf, len from (select doc_id as doc, unnest(w) as term, len(w) as len from (select doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents) where len(w) > 0) group by all")
 def search_reindexed(spark: SparkSession, d: str) -> DataFrame:
     """An index of outdated texts, brought up to date: equal to one made anew."""

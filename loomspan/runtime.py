@@ -66,6 +66,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that lives as long as the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_drop_all)
+    _staged.append((spark, path))
+    return path
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table whose readers have ended."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:

@@ -112,31 +112,123 @@ def test_loops_end(spark):
 
 # ---- search -----------------------------------------------------------------------------------------------
 def test_query_grammar():
-    assert search.parse_query('a "b c" d* NOT e OR f').branches == (((("a",), False, False), (("b", "c"), False, False), (("d",), True, False), (("e",), False, True)), ((("f",), False, False),))
-    assert search.parse_query("Éclair foo_bar").branches == (((("eclair",), False, False), (("foo", "bar"), False, False)),)
-    for bad in ("", "rate-limit", "AND a", "a OR", "NOT a", '"open', "a )", "a\x00"):
+    P = search.Phrase
+    q = search.parse_query('a "b c" d* NOT e OR f')
+    assert q.phrases == (P(("a",)), P(("b", "c")), P(("d",), True), P(("e",)), P(("f",))) and q.tree == ("or", ("and", ("and", 0, 1), ("not", 2, 3)), 4)
+    assert search.parse_query("(a OR b) AND name:c", ("name",)) == search.Query((P(("a",)), P(("b",)), P(("c",), False, "name")), ("and", ("or", 0, 1), 2))
+    assert search.parse_query("Éclair foo_bar").phrases == (P(("eclair",)), P(("foo", "bar")))
+    for bad in ("", "rate-limit", "AND a", "a OR", "NOT a", '"open', "a )", "(a", "()", "a\x00", "name:c", "* a"):
         with pytest.raises(BadRequest):
             search.parse_query(bad)
 
 
-def test_search_page(spark):
-    d = spark.createDataFrame([(1, "the Éclair price lookup"), (2, "lookup price"), (3, None), (4, ""), (5, "price " * 200 + "eclair")], "doc_id bigint, text string")
-    ids = lambda q: {r["doc"] for r in search.search(d, "doc_id", "text", q, 10).collect()}
-    assert ids("eclair") == {1, 5} and ids('"price lookup"') == {1} and ids("pri* NOT eclair") == {2} and ids("none") == set()
-    s = {r["doc"]: r["snippet"] for r in search.search(d, "doc_id", "text", "eclair", 10).collect()}
-    assert s[5].startswith("...") and s[5].endswith("[eclair]")
-    assert [r["doc"] for r in search.search(d, "doc_id", "text", "price", 2, offset=1).collect()].__len__() == 2
+def index_of(spark, tmp_path, rows):
+    d = spark.createDataFrame(rows, "doc bigint, text string")
+    search.write_index(d, "doc", "text", str(tmp_path / "i"))
+    return search.open_index(d, "doc", "text", str(tmp_path / "i"))
+
+
+def test_search_on_stored_postings(spark, tmp_path):
+    i = index_of(spark, tmp_path, [(1, "the Éclair price lookup"), (2, "lookup price"), (3, None), (4, ""), (5, "price " * 200 + "eclair"), (6, "x" * 200_000 + " tail"), (7, "banana split"), (8, "banana banana"), (9, "price price lookup lookup")])
+    ids = lambda q: {r["doc"] for r in search.ranked(i, search.parse_query(q)).collect()}
+    assert ids("eclair") == {1, 5} and ids('"price lookup"') == {1, 9} and ids("pri* NOT eclair") == {2, 9} and ids("none") == set() and ids("tail") == {6} and ids("(eclair OR banana) NOT split") == {1, 5, 8} and ids("p*") == {1, 2, 5, 9}
+    rank = lambda q: {r["doc"]: r["rank"] for r in search.ranked(i, search.parse_query(q)).collect()}
+    both = rank("eclair OR banana")
+    assert set(both) == {1, 5, 7, 8} and all(v < 0 for v in both.values()) and both[8] < both[7] and rank("ban*") == pytest.approx(rank("banana"), abs=1e-9)
+    p = search.page(i, search.parse_query("eclair OR banana"), 3).collect()
+    assert len(p) == 3 and all(r["has_more"] for r in p)
+    s = {r["doc"]: r["snippet"] for r in search.page(i, search.parse_query("eclair"), 10).collect()}
+    assert s[5].startswith("...") and s[5].endswith("[eclair]") and not search.page(i, search.parse_query("eclair"), 10).first()["has_more"]
+    e = search.envelope({"a": i, "b": i}, search.parse_query("banana"), 1).collect()
+    assert [(r["scope"], r["doc"], r["has_more"]) for r in sorted(e)] == [("a", "8", True), ("b", "8", True)]
+    plan = search._hits(i, search.parse_query("banana"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    texts = spark.createDataFrame([(1, "s", "a b c"), (2, "t", "a b c")], "doc bigint, source_id string, text string")
+    on = spark.createDataFrame([("s", 1), ("t", 0)], "id string, fts5_index_logs int")
+    assert [r["doc"] for r in search.logged(texts, on).collect()] == [1]
+    assert [r["doc"] for r in search.match(texts, "doc", "text", search.parse_query('"b c" NOT d')).collect()] == [1, 2]
 
 
 # ---- prices -----------------------------------------------------------------------------------------------
 def test_price_tiers(spark):
-    p = spark.createDataFrame([("Prov", ["pv"], "M", None, 10, 1.0, 2.0), ("Prov", ["pv"], "M", None, 20, 3.0, 4.0)], "provider string, provider_aliases array<string>, model string, model_aliases array<string>, effective_day bigint, input_per_million double, output_per_million double")
+    p = spark.createDataFrame([("Prov", ["pv"], "M", None, 10, 1.0, 2.0, 0.5, 0.25), ("Prov", ["pv"], "M", None, 20, 3.0, 4.0, None, None)], "provider string, provider_aliases array<string>, model string, model_aliases array<string>, effective_day bigint, input_per_million double, output_per_million double, cache_read_per_million double, cache_write_per_million double")
     day = 86_400_000_000
-    o = spark.createDataFrame([(0, "PV", "m", 9 * day), (1, "pv", "m", 10 * day), (2, "Prov", "M", 25 * day), (3, None, "M", 25 * day), (4, "pv", "x", 25 * day)], "i int, provider string, model string, start_ts bigint")
+    o = spark.createDataFrame([(0, "PV", "m", 9 * day), (1, "pv", "m", 10 * day), (2, "Prov", "M", 25 * day), (3, None, "M", 25 * day), (4, "pv", "x", 25 * day), (5, "pv", "m", 0)], "i int, provider string, model string, start_ts bigint")
     o = o.withColumn("kind", F.lit("llm")).withColumn("tokens_in", F.lit(1_000_000)).withColumn("tokens_out", F.lit(1_000_000))
     r = related.priced(o, related.price_keys(p))
-    assert {x["i"]: x["priced_usd"] for x in r.collect()} == {0: None, 1: 3.0, 2: 7.0, 3: None, 4: None}
+    assert {x["i"]: x["priced_usd"] for x in r.collect()} == {0: None, 1: 3.0, 2: 7.0, 3: None, 4: None, 5: 7.0}
     assert related.price_misses(r).count() == 3
+    c = o.withColumn("tokens_cache_read", F.lit(2_000_000)).withColumn("tokens_cache_write", F.lit(4_000_000)).withColumn("cost_usd", F.when(F.col("i") == 2, 9.0).otherwise(0.0)).withColumn("session_id", F.lit("s")).withColumn("turn_seq", F.col("i") % 2)
+    k = related.price_keys(p)
+    assert {x["i"]: x["cost_usd"] for x in related.on_finalize(c, k).collect()} == {0: 0.0, 1: 5.0, 2: 9.0, 3: 0.0, 4: 0.0, 5: 7.0}
+    assert {x["i"]: x["cost_usd"] for x in related.repriced(c.withColumn("tokens_in", F.when(F.col("i") == 5, 0).otherwise(F.col("tokens_in"))), k).collect()} == {0: 0.0, 1: 5.0, 2: 9.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    turns, total = related.cost_cascade(related.repriced(c, k))
+    assert {r["turn_seq"]: r["cost_usd"] for r in turns.collect()} == {0: 9.0, 1: 12.0} and total.first()["cost_usd"] == 21.0
+
+
+# ---- statistics windows, relations, trees, parity -----------------------------------------------------------
+def test_windows_and_dimensions():
+    assert rollups.window(SessionFilter(from_us=5, to_us=9), 100) == (5, 9) and rollups.window(SessionFilter(), 100) == (0, 101)
+    assert rollups.is_stored(SessionFilter(from_us=1, group="all")) and not rollups.is_stored(SessionFilter(q="x"))
+    assert rollups.dimension_param("", rollups.RANKED) == "model" and rollups.dimension_param("cwd", rollups.GROUPS) == "cwd"
+    with pytest.raises(BadRequest):
+        rollups.dimension_param("total", rollups.RANKED)
+
+
+def test_related_by_time_of_a_hot_directory(spark, monkeypatch):
+    monkeypatch.setattr(related, "STARTS", 4)
+    rnd = random.Random(5)
+    rows = [(f"i{k:03d}", rnd.choice(["p", "p", "p", "q"]), rnd.choice("/~"), rnd.randrange(300), None if rnd.random() < 0.3 else 400, None) for k in range(150)]
+    s = spark.createDataFrame(rows, "id string, source_id string, cwd string, start_ts bigint, end_ts bigint, first_user_message_hash string")
+    got = {(r["session_id"], r["related_id"], r["pos"]) for r in related.related_by_time(s, s, 350, 3).collect()}
+    want = set()
+    for i, src, cwd, s0, s1, _ in rows:
+        near = sorted((r0, j) for j, o, c, r0, _, _ in rows if c == cwd and o != src and s0 <= r0 <= (s1 or 350))[:3]
+        want |= {(i, j, k) for k, (_, j) in enumerate(near, 1)}
+    assert got == want
+
+
+def test_truncated_topology(spark):
+    s = spark.createDataFrame([(k, None if k == 1 else 1, k) for k in range(1, 5)], "id bigint, parent_session_id bigint, n bigint")
+    for most, cut in ((3, True), (4, False)):
+        top, edges = graph.cross_topology(s, "n", most)
+        assert {(r["truncated"], r["max_size"]) for r in top.collect()} == {(cut, 4)} and edges.count() == (0 if cut else 3)
+
+
+def test_merged_trees_end(spark):
+    rows = [("a1", "a", None, "b"), ("a2", "a", "a1", None), ("b1", "b", None, "c"), ("b2", "b", "zz", None), ("c1", "c", None, None), ("x1", "x", None, "y"), ("y1", "y", None, "x"), ("s1", "s", None, "s")]
+    t = graph.merged_tree(spark.createDataFrame(rows, "op_id string, session_id string, parent_op_id string, child_session_id string"))
+    got = {r["op_id"]: (r["parent"], r["depth"], r["root"]) for r in t.collect()}
+    assert got == {"a1": (None, 0, "a1"), "a2": ("a1", 1, "a1"), "b1": ("a1", 1, "a1"), "b2": ("a1", 1, "a1"), "c1": ("b1", 2, "a1"), "x1": ("y1", -1, None), "y1": ("x1", -1, None), "s1": (None, 0, "s1")}
+
+
+def test_parity_rules(spark):
+    S = "key string, cls string, availability string, hash_domain string, sha256 string, bytes bigint, chars bigint, selector string, synthetic boolean, reason string"
+    a = lambda k, c="p", av="present", h="x", b=1, ch=None, sy=None, re=None: (k, c, av, "d", h, b, ch, "sel", sy, re)
+    src = spark.createDataFrame([a("bad", av="corrupt"), a("two"), a("two"), a("dif", h="y", ch=3), a("nochars"), a("cls", "q"), a("gone"), a("same"), a("vague")], S)
+    der = spark.createDataFrame([a("two"), a("dif", b=2, ch=4), a("nochars", ch=9), a("cls"), a("same"), a("more"), a("made", sy=True), a("said", sy=True, re="stub"), a("vague", av="unverifiable", h="z")], S)
+    from loomspan.operators import parity
+
+    assert {(r["key"], r["code"], r["field"]) for r in parity.findings(src, der).collect()} == {
+        ("bad", "corrupt", "source"), ("two", "duplicate", "source"), ("dif", "differs", "sha256"), ("dif", "differs", "bytes"), ("dif", "differs", "chars"), ("cls", "class mismatch", "p"), ("gone", "missing", ""), ("more", "extra", "p"),
+        ("made", "undocumented synthetic", "p"), ("vague", "unverifiable", "availability"),
+    }
+
+
+def test_log_pages_have_every_entry_once(spark):
+    from loomspan.operators import links
+
+    logs = spark.createDataFrame([(f"{k:02d}", k % 4, ("ERR", "WRN", "INF")[k % 3], '{"a":"b"}') for k in range(24)], "id string, ts bigint, severity string, extras string")
+    seen, after = [], None
+    while True:
+        rows = links.log_page(logs, ("ERR", "WRN"), 5, after).collect()
+        seen += [(r["ts"], r["id"]) for r in rows[:5]]
+        if len(rows) <= 5:
+            break
+        after = seen[-1]
+    assert seen == sorted(seen) and len(seen) == 16 and rows[0]["extras"] == {"a": "b"}
+    with pytest.raises(BadRequest):
+        links.log_page(logs, ("LOUD",), 5)
 
 
 # ---- event folds ------------------------------------------------------------------------------------------
@@ -434,19 +526,53 @@ def test_growing_files(spark, tmp_path):
     assert [x[2] for x in rows] == ["a line that is longer than a step"] and [x[2] for x in small.read(o1)[0]] == ["next"]
 
 
+DAY = 86_400_000_000
+
+
+def day(i, kind, at, **p):
+    return i, kind, json.dumps({"SourceID": "s", "Ts": at * DAY + i} | p)
+
+
+STREAMED = [
+    [day(1, "session_started", 3, NativeID="a", AgentName="x"), day(2, "session_started", 5, NativeID="b", AgentName="y"), day(3, "session_started", 9, NativeID="open")],
+    [day(4, "session_started", 1, NativeID="late", AgentName="x"), day(5, "session_updated", 6, SessionNativeID="a", AgentName="z"), day(6, "session_finalized", 6, SessionNativeID="b", Status="failed", EndTs=1)],
+    [day(7, "session_started", 2, NativeID="b"), day(8, "source_error", 6)],
+]
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    src, log, out = (str(tmp_path / x) for x in ("in", "log", "out"))
-    for k, part in enumerate((EVENTS[4:], EVENTS[:4])):  # late and out of order
-        spark.createDataFrame(part, EV).coalesce(1).write.parquet(f"{src}/{k}")
-        q = ingest.start(spark.readStream.schema(EV).option("recursiveFileLookup", "true").parquet(src), log, out, str(tmp_path / "cp"), once=True)
+    log, out = (str(tmp_path / x) for x in ("log", "out"))
+    dirs = [str(tmp_path / "in0"), str(tmp_path / "in1")]
+    now = 9 * DAY + 5
+    src = spark.createDataFrame([("s", 1), ("t", 1), ("off", 0)], "id string, enabled int")
+    for d in dirs:
+        spark.createDataFrame([], EV).coalesce(1).write.parquet(f"{d}/none")
+    for k, part in enumerate(STREAMED):  # from two sources, late and out of order
+        spark.createDataFrame(part, EV).coalesce(1).write.parquet(f"{dirs[k % 2]}/{k}")
+        q = ingest.start(ingest.read_events(spark, dirs), log, out, str(tmp_path / "cp"), once=True, sources=src, clock=lambda: now)
         q.awaitTermination()
-    want = merge.fold_sessions(merge.session_events(spark.createDataFrame(EVENTS, EV)))
-    got = spark.read.schema(want.schema).parquet(f"{out}/sessions").select(*want.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    events = [e for part in STREAMED for e in part]
+    want = merge.fold_sessions(merge.session_events(spark.createDataFrame(events, EV)))
+    rows = lambda: sorted(map(str, spark.read.schema(want.schema).parquet(f"{out}/sessions").select(*want.columns).collect()))
+    assert rows() == sorted(map(str, want.collect()))
+    stored = lambda: {(r["bucket_ts"] // DAY, r["agent_name"], r["session_starts"], r["failures"]) for r in spark.read.schema(ingest._BUCKETS).parquet(f"{out}/rollup").collect()}
+    closed = {(3, "z", 1, 0), (1, "x", 1, 0), (2, "y", 1, 1), (5, "", 0, 0)}  # the start of b moved, a was renamed, the ninth day is open
+    assert stored() == closed
+    ingest.close_buckets(spark, out, 10 * DAY)
+    assert stored() == closed | {(9, "", 1, 0)}
+    p = spark.read.parquet(f"{out}/progress").collect()
+    assert [(r["source_id"], r["last_seq"], r["n_errors"]) for r in p] == [("s", 8, 1)]
+    assert {r["source_id"]: r["state"] for r in spark.read.parquet(f"{out}/states").collect()} == {"s": "failing", "t": "waiting", "off": "disabled"}
+    assert {r["native_id"]: r["parent_session_id"] for r in ingest.links(spark, out).collect()}.keys() == {"a", "b", "late", "open"}
+    feed = spark.read.option("basePath", f"{out}/notify").parquet(f"{out}/notify")
+    assert {r["kind"] for r in feed.collect()} == {"session_changed", "stats_invalidated", "source_status_changed"}
+    before = stored(), rows()
+    ingest.step(spark, spark.createDataFrame(STREAMED[2], EV), 2, log, out, now)  # a repeated batch changes nothing
+    assert (stored(), rows()) == before
+    ingest.rebuild(spark, log, out, 10 * DAY)
+    assert stored() == (closed - {(5, "", 0, 0)}) | {(9, "", 1, 0)}
+    assert len(ingest.prune(spark, f"{out}/notify", now + 10 * DAY)) == 1 and not ingest.prune(spark, f"{out}/notify", now + 10 * DAY)
     batch = spark.createDataFrame(EVENTS, EV)
-    ingest.append(batch, 0, log)  # a repeated batch replaces itself
-    ingest.append(batch, 0, log)
-    assert ingest.read_log(spark, log).where("batch = 0").count() == len(EVENTS)
     feed = ingest.notifications(batch, 7)
     subs = spark.createDataFrame([("all", None, None), ("none", "other", None), ("stats", None, "stats_invalidated")], "subscriber string, source_id string, kind string")
     got = {r["subscriber"]: r["n"] for r in ingest.coalesced(ingest.matching(feed, subs)).groupBy("subscriber").agg(F.sum("n").alias("n")).collect()}
