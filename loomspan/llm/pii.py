@@ -23,6 +23,7 @@ import hmac
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -449,14 +450,45 @@ _ID_FIELD = re.compile(r"(?:^|[_.-])(?:ssn|social_?security|national_?id|passpor
 _BARE = re.compile(r"\+?[\d ().\-/]{6,20}|[A-Z0-9]{6,15}")
 
 
-def _is_json(text: str) -> bool:
+def _texts(message: str) -> tuple[list[str], bool] | None:
+    """All texts of a JSON message that may hold something, names of fields included, and whether a name tells a number; None if it is no JSON."""
     try:
-        json.loads(text)
+        top = json.loads(message, object_pairs_hook=list)  # pairs, so a name that is there twice keeps both values
     except ValueError:
-        return False
+        return None
     except RecursionError:
-        return text.lstrip()[:1] in ("{", "[")  # too deep for the parser, but opened like one
-    return True
+        if message.lstrip()[:1] not in ("{", "["):
+            return None
+        return [t.text for t in _tokens(message)], True  # too deep for the parser, but opened like one
+    out: list[str] = []
+    telling = False
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, list):
+            for y in x:
+                if isinstance(y, tuple):
+                    name, value = y
+                    worth, tells = _looked_at(name)
+                    if worth:
+                        out.append(name)
+                    telling = telling or tells
+                    if isinstance(value, (str, list)):
+                        todo.append(value)
+                elif isinstance(y, (str, list)):
+                    todo.append(y)
+    return out, telling
+
+
+_NAME = re.compile(r"[a-z_]*")
+
+
+@lru_cache(maxsize=10_000)
+def _looked_at(name: str) -> tuple[bool, bool]:
+    """Whether a field's name may itself hold something, and whether it tells a number; names repeat."""
+    return not _NAME.fullmatch(name), bool(_PHONE_FIELD.search(name) or _ID_FIELD.search(name))
 
 
 def _decoded(token: str) -> str:
@@ -504,12 +536,13 @@ def redact_message(message: str, lex: Lexicon, key: bytes) -> tuple[str, list[st
 
     A number under a telling name becomes a text, as a placeholder is none.
     """
-    if not _is_json(message):
+    got = _texts(message)
+    if got is None:
         return redact_text(message, lex, key)
-    tokens = _tokens(message)
     # one scan over all texts tells whether there is anything; a text's end ends every pattern
-    if not any(t.field for t in tokens) and not find(" \x00\n ".join([t.text for t in tokens]), lex):
+    if not got[1] and not find(" \x00\n ".join(got[0]), lex):
         return message, []
+    tokens = _tokens(message)
     parts, at = [], 0
     kinds: list[str] = []
     for t in tokens:
@@ -562,7 +595,7 @@ def numbers(lines: DataFrame, names: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for m in b["message"]:
-                texts = [] if not isinstance(m, str) else [t.text for t in _tokens(m)] if _is_json(m) else [m]
+                texts = [] if not isinstance(m, str) else (_texts(m) or ([m], False))[0]
                 rows += [(s.kind, checked(t[s.start : s.end], s.kind)) for t in texts for s in find(t, shared.value) if s.kind in ("phone", "national_id")]
             yield pd.DataFrame(rows, columns=["pii_type", "passes"]).astype({"passes": "boolean"})
 
