@@ -595,7 +595,7 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
         F.col("t.day").alias("effective_day"),
         (F.col("z") * F.col("t.f")).cast("double").alias("input_per_million"),
         (F.col("z") * F.col("t.f") * 3).cast("double").alias("output_per_million"),
-        (F.col("z") * F.col("t.f") / 4).alias("cache_read_per_million"),
+        (F.col("z") * F.col("t.f") / 3).alias("cache_read_per_million"),
         (F.col("z") * F.col("t.f") * 2).cast("double").alias("cache_write_per_million"),
     )
 
@@ -621,7 +621,7 @@ def _metered(spark: SparkSession, d: str) -> DataFrame:
 @query(
     PRICE_SQL
     + """select j.model, j.provider, j.tier_day, count(*) as n,
-  cast(sum(cast(round((tokens_in * i + tokens_out * o + tokens_cache_read * i / 4.0 + tokens_cache_write * i * 2) / 1000000.0, 9) as decimal(38, 9))) as double) as priced_usd
+  cast(sum(cast(round(((0.0::double + tokens_in::double * i::double / 1000000::double + tokens_out::double * o::double / 1000000::double) + (tokens_in * 5)::double * (i::double / 3) / 1000000::double) + (tokens_in % 7)::double * (i * 2)::double / 1000000::double, 9) as decimal(38, 9))) as double) as priced_usd
 from j left join tiers t on t.provider = lower(j.provider) and t.model = lower(j.model) and t.day = j.tier_day group by all"""
 )
 def price_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -640,7 +640,7 @@ def price_misses(spark: SparkSession, d: str) -> DataFrame:
     + """, y as (select *, row_number() over () as rn from ops_), yd as (select *, start_ts // 86400000000 as day from y),
 yt as (select yd.*, (select max(t.day) from tiers t where t.provider = lower(yd.provider) and t.model = lower(yd.model) and t.day <= yd.day) as tier_day from yd),
 n as (select yt.session_id, yt.turn_seq, case when op_seq % 3 = 0 then case when kind = 'llm' and tokens_in > 0 and coalesce(yt.model, '') <> ''
-    then coalesce(round((tokens_in * i + tokens_out * o + tokens_in * 5 * i / 4.0 + (tokens_in % 7) * i * 2) / 1000000.0, 9), 0) else 0 end else cost_usd end as c
+    then coalesce(round(((0.0::double + tokens_in::double * i::double / 1000000::double + tokens_out::double * o::double / 1000000::double) + (tokens_in * 5)::double * (i::double / 3) / 1000000::double) + (tokens_in % 7)::double * (i * 2)::double / 1000000::double, 9), 0) else 0 end else cost_usd end as c
   from yt left join tiers t on t.provider = lower(yt.provider) and t.model = lower(yt.model) and t.day = yt.tier_day),
 tc as (select session_id, turn_seq, cast(sum(cast(c as decimal(38, 6))) as double) as cost_usd from n group by all)
 select session_id, cast(sum(cast(cost_usd as decimal(38, 6))) as double) as cost_usd from tc group by 1"""

@@ -131,9 +131,12 @@ _ITEMS = "select row_id, source_id, file_name, session ->> '$.id' as session_id,
 P7_ROLLOUT_ITEMS = f"""with {ROLLOUTS}, i as ({_ITEMS})
 select row_id, source_id, file_name, session_id, cast(item_no as int) as item_no, item ->> '$.type' as item_type, cast(item as varchar) as item from i"""
 
-P7_LEDGER_ROWS = f"""with {LEDGER}
+P7_LEDGER_ROWS = f"""with {LEDGER},
+lu as (select row_id, unnest(json_keys(t)) as k, generate_subscripts(json_keys(t), 1) as i, t from lg where reason = ''),
+lr as (select lu.row_id, '{{' || string_agg(cast(to_json(lu.k) as varchar) || ':' || cast(json_extract(lu.t, '$."' || lu.k || '"') as varchar), ',' order by lu.i) || '}}' as body
+  from lu where lu.k not in ({_KNOWN_LIST}) and not exists (select 1 from lk where lk.row_id = lu.row_id and lk.k = lu.k and lk.v is not null) group by 1)
 select coalesce(row_id, -1) as row_id, source_id, file_name, coalesce(line_no, -1) as line_no, cast(version_n as int) as version, kind as record_type, seq_n as seq, ts_us,
-  originid ->> '$' as origin_id, sessionid ->> '$' as session_id, turn_n as turn, status ->> '$' as status from lg where reason = ''"""
+  originid ->> '$' as origin_id, sessionid ->> '$' as session_id, turn_n as turn, status ->> '$' as status, coalesce(lr.body, '{{}}') as body from lg left join lr using (row_id) where reason = ''"""
 
 _USUAL = "'\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{3}Z'"
 
