@@ -9,6 +9,7 @@ from loomspan.operators.filters import BadRequest, SessionFilter
 from loomspan.operators.filters import apply as filter_sessions
 from loomspan.operators.stats import count_if, money
 from loomspan.operators.windows import positions
+from loomspan.runtime import stage
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 SPANS = {"hour": HOUR_US, "day": DAY_US}
@@ -105,6 +106,7 @@ def collapse(rollup: DataFrame, cap: int = CAP) -> DataFrame:
     Only values of groups that are too large are ranked, over range partitions with offsets, so a group of any size stays distributed.
     """
     group = ["bucket_ts", "source_format", "dimension"]
+    rollup = stage(rollup)  # read three times, folded once
     large = rollup.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap).drop("_n")
     over = rollup.join(large, group, "left_semi")
     # NULLs can't be compared in a join but group alike; values of a rollup are never NULL
