@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.plans.problem_sql import _LEDGER_NODES, _SNAPSHOT_NODES, LEDGER
+from loomspan.plans.problem_sql import _ITEMS, _LEDGER_NODES, _SNAPSHOT_NODES, LEDGER, ROLLOUTS
 
 
 def _n(c: str) -> str:
@@ -124,3 +124,38 @@ LEDGER_OPS_FOLDED = f"{_SNAPSHOT_NODES}, {_LEDGER_NODES}, {LEDGER_OPS}, folded a
 LEDGER_REFS = f"""{LEDGER}, {_SNAPSHOT_NODES}, {_LEDGER_NODES}, {LEDGER_OPS},
 refs as (select source_id, session, turn_seq, op_seq, nullif(r ->> '$.kind', '') as payload_kind, nullif(r ->> '$.path', '') as location,
     case when coalesce(json_type(r, '$.originalBytes'), 'NULL') <> 'NULL' then {_n("json_extract(r, '$.originalBytes')")} end as bytes from (select *, unnest(refs) as r from lops))"""
+
+_BAD = """case when regexp_matches(lower(coalesce(item ->> '$.output', '')), 'denied by sandbox|operation not permitted|sandbox deny') then 'sandbox_denied'
+  when regexp_matches(lower(coalesce(item ->> '$.output', '')), '"error"|exit code 1|command failed|^error:') then 'tool_error' end"""
+LEGACY_OPERATIONS = f"""with {ROLLOUTS}, i as ({_ITEMS}),
+o as (select source_id, file_name, item_no, min_by(session_id, row_id) as session_id, min_by(item, row_id) as item from i group by all),
+k as (select *, item ->> '$.type' as ptype, item ->> '$.name' as name, item ->> '$.call_id' as call_id, {_BAD} as bad,
+    case when item ->> '$.type' = 'message' and item ->> '$.role' = 'user' then 'internal' when item ->> '$.type' = 'message' and item ->> '$.role' = 'assistant' then 'llm' when item ->> '$.type' = 'reasoning' then 'reasoning'
+      when item ->> '$.type' in ('function_call', 'custom_tool_call', 'local_shell_call', 'tool_search_call') then 'tool' end as op_kind from o),
+n as (select *, row_number() over (partition by source_id, file_name order by item_no) as op_seq from k where op_kind is not null),
+r as (select source_id, file_name, call_id, min_by(struct_pack(b := bad), item_no).b as bad from k where ptype in ('function_call_output', 'custom_tool_call_output') group by all)
+select n.source_id, n.file_name, n.session_id, 1 as turn_seq, op_seq, op_kind, name, case when op_kind = 'tool' then case when ptype in ('custom_tool_call', 'tool_search_call') then 'custom' when ptype = 'local_shell_call' then 'shell'
+    when coalesce(name, '') in ('shell', 'shell_command') or starts_with(coalesce(name, ''), 'exec') then 'shell' when name in ('apply_patch', 'read', 'write', 'edit', 'list_dir', 'view_image') then 'fs' else 'custom' end end as namespace,
+  case when op_kind = 'tool' and r.bad is not null then 'failed' else 'completed' end as status, case when op_kind = 'tool' then r.bad end as error_class
+from n left join r on r.source_id = n.source_id and r.file_name = n.file_name and r.call_id = n.call_id and n.op_kind = 'tool'"""
+
+_DICTS = "len(list_filter(case when json_type({j}, '$.{p}') = 'ARRAY' then cast(json_extract({j}, '$.{p}') as json[]) else [] end, lambda x: json_type(x) = 'OBJECT'))"
+_FAILED = "kind = 'session_summary' and j ->> '$.status' = 'failed' and nullif(j ->> '$.error', '') is not null"
+#: How many events of each kind the lines of a ledger give.
+LEDGER_EVENT_COUNTS = f"""with recursive {LEDGER}, {_SNAPSHOT_NODES}, {_LEDGER_NODES},
+e as (select row_id, source_id, kind, reason, cast(case when reason = '' then t end as json) as j from lg),
+nodes as (select lg.source_id, count(*) as n from lo join lg using (row_id) group by 1), below as (select lg.source_id, part, count(*) as n from lb join lg using (row_id) group by all),
+c as (
+  select source_id, 'session_started' as kind, count(*) as n from e where kind = 'session_start' and reason = '' group by 1
+  union all select source_id, 'session_started', n from below where part = 'childSessions' union all select source_id, 'payload_ref', n from below where part = 'payloadRefs'
+  union all select source_id, 'session_started', sum({_DICTS.format(j='j', p='childSessions')}) from e where kind = 'session_summary' and reason = '' group by 1
+  union all select source_id, case kind when 'turn_start' then 'turn_started' when 'turn_end' then 'turn_finalized' else 'session_finalized' end, count(*) from e where kind <> 'session_start' and reason = '' group by all
+  union all select source_id, 'op_started', n from nodes union all select source_id, 'op_finalized', n from nodes
+  union all select source_id, 'log_entry', sum(case when json_type(j, '$.warnings') = 'ARRAY' then json_array_length(j, '$.warnings') else 0 end + case when json_type(j, '$.errors') = 'ARRAY' then json_array_length(j, '$.errors') else 0 end)
+    from e where kind = 'turn_end' and reason = '' group by 1
+  union all select source_id, 'log_entry', count(*) from e where reason = '' and ({_FAILED} or kind = 'session_error') group by 1
+  union all select source_id, 'session_updated', sum(case when {_FAILED} and regexp_matches(j ->> '$.error', 'last_error=[^;:]+:|slugs=\\s*[^.;\n\\s]|after [^(]*? attempts of |maxTurns=') then 1 else 0 end
+      + case when json_type(j, '$.finalReport') = 'OBJECT' then 1 else 0 end) from e where kind = 'session_summary' and reason = '' group by 1
+  union all select source_id, 'session_updated', count(*) from e where kind = 'session_error' and reason = '' and json_type(j, '$.attributes') = 'OBJECT' and len(json_keys(j, '$.attributes')) > 0 group by 1
+  union all select source_id, 'source_error', count(*) from e where reason <> '' group by 1)
+select source_id, kind, cast(sum(n) as bigint) as n from c group by all having sum(n) > 0"""

@@ -944,7 +944,7 @@ _OP = ["source_id", "session", "turn_seq", "op_seq", "op_kind", "name", "namespa
 _USED = ["tokens_in", "tokens_out", "tokens_cache_read", "tokens_cache_write", "cost_usd"]
 
 
-@plain_query(None)
+@plain_query(adapter_sql.LEDGER_EVENT_COUNTS)
 def ledger_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return _ledger_events(spark, d).groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -995,7 +995,7 @@ def transcript_sessions(spark: SparkSession, d: str) -> DataFrame:
     return merge.fold_sessions(merge.wide_session_events(_transcript_events(spark, d)))
 
 
-@plain_query(None)
+@plain_query(adapter_sql.LEGACY_OPERATIONS)
 def legacy_operations(spark: SparkSession, d: str) -> DataFrame:
     return rollouts.legacy_ops(table(spark, d, "legacy_rollouts"))
 
