@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.operators.bad_rows import _EXPORT_START, _csv_start
-from loomspan.sources.grammar import csv_records, json_records, one_json_object
+from loomspan.sources.grammar import csv_records, json_records, json_text, load, one_json_object
 
 JSON = st.recursive(
     st.none() | st.booleans() | st.integers(-(2**70), 2**70) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=12),
@@ -56,3 +57,22 @@ def test_csv_quotes_and_recovery():
     r, f = csv_records(ROW + '"open\n' + ROW + "x\n" + ROW + "y", _EXPORT_START, _csv_start)
     assert len(f) == 1 and [x.fields[11] for x in r] == ["x", "y"]
     assert csv_records(ROW + '"a"b', _EXPORT_START, _csv_start)[1]
+
+
+def test_recovery_has_no_limit_and_looks_inside_the_broken_record():
+    assert json_records('{"x" ' * 70 + '{"a":1} {"b":2}')[0] == [{"a": 1}, {"b": 2}]
+    records, faults = json_records('{"a": [1,\n{"ok": 1}\n{"ok": 2}\n{"ok": 3}')
+    assert records == [{"ok": 1}, {"ok": 2}, {"ok": 3}] and len(faults) == 1
+    assert json_records('{"kind":1,"in":{"x":2},', lambda o: "kind" in o)[0] == []
+    lines = [ROW + '"open' + str(k) for k in range(70)] + [ROW + "x"]
+    assert [r.fields[11] for r in csv_records("\n".join(lines), _EXPORT_START, _csv_start)[0]][-1] == "x"
+
+
+def test_any_depth_and_all_digits():
+    deep = '{"a":' * 100_000 + "[1e400]" + "}" * 100_000
+    assert json_text(one_json_object(deep)[0]) == deep and json_text(load(deep)) == deep
+    many = '{"a":' * 100_000
+    assert json_records(many)[0] == [] and load("9" * 5000).text == "9" * 5000
+    for bad in ('1}{"v":2', '1,"w":2', '"x', "[1,2", "", " ", "NaN"):
+        with pytest.raises(ValueError):
+            load(bad)

@@ -63,6 +63,19 @@ def test_rollout_and_export_faults(spark):
     assert [x["error_message"] for x in bad_rows.valid_export(e).orderBy("row_id").collect()] == [None, "x\ny"]
 
 
+def test_recovered_records_and_values_beyond_a_column(spark):
+    head = "0123456789abcdef0123456789abcdef,n,s,,r,root,a,ok,"
+    e = spark.createDataFrame([(1, head + "9999999999999999999,2,0.5,"), (2, head + "9223372036854775807,2,0.5,"), (3, head + '1,2,0.5,"open\n' + head + "5,2,0.5,x")], "row_id bigint, raw_text string")
+    assert {r["row_id"]: r["reason"] for r in bad_rows.export_faults(e).collect()} == {1: "value", 3: "syntax"}
+    assert [r["start_ts"] for r in bad_rows.valid_export(e).collect()] == [2**63 - 1]
+    got = [(r["row_id"], r["part"], r["reason"]) for r in bad_rows.recovered(e, "session_export").orderBy("part").collect()]
+    assert got == [(3, "fault", None), (3, "record", "")]
+    led = spark.createDataFrame([(1, "s1", "f", 1, '{"broken": ' + line() + line(seq=0) + "{}", "c", "c", 0), (2, "s1", "f", 2, line(), "c", "c", 0), (3, "s1", "f", 3, line(seq=10**25), "c", "c", 0)], LEDGER)
+    got = [(r["row_id"], r["part"], r["reason"]) for r in bad_rows.recovered(led, "ledger_lines", sources(spark)).orderBy("part", "part_no").collect()]
+    assert got == [(1, "fault", None), (1, "record", ""), (1, "record", "value"), (1, "record", "fields")]
+    assert {r["row_id"]: r["reason"] for r in bad_rows.ledger_faults(led, sources(spark)).collect()} == {1: "syntax", 3: "value"}
+
+
 # ---- hierarchy --------------------------------------------------------------------------------------------
 def brute(parents):
     out = {}
@@ -137,6 +150,21 @@ def test_readings(text, want):
     )
 
 
+def test_long_times_are_read():
+    text = "2025-01-05T09:41:32.521401682" + "0" * 30 + "+01:00[Europe/Berlin]"
+    assert len(text) > 64 and readings(text, None)[0].utc_us == readings("2025-01-05T08:41:32.521401Z", None)[0].utc_us
+
+
+def test_order_chooses_between_senses_of_a_zone(spark):
+    src = sources(spark, [("s1", "x", '{"tz":"America/Chicago"}'), ("s2", "x", '{"tz":"America/Chicago"}')])
+    # CST is -6 h for a writer in Chicago, unless only +8 h keeps the records in order
+    rows = [(1, "s1", "2025-01-05T12:00:00.000Z"), (2, "s1", "2025-01-05 07:00:00 CST"), (3, "s1", "2025-01-05T14:00:00.000Z"), (4, "s2", "2025-01-04T20:00:00.000Z"), (5, "s2", "2025-01-05 07:00:00 CST"), (6, "s2", "2025-01-05T01:00:00.000Z")]
+    t = spark.createDataFrame(rows, "line_id bigint, source_id string, line_timestamp string")
+    got = {r["row_id"]: r["utc_us"] for r in instants.viterbi(instants.text_values(t, "t", "line_id", "line_timestamp", src)).collect()}
+    at = lambda x: readings(x, None)[0].utc_us
+    assert got[2] == at("2025-01-05T13:00:00Z") and got[5] == at("2025-01-04T23:00:00Z")
+
+
 def test_viterbi_is_optimal_over_any_partitions(spark):
     rnd, rows, by = random.Random(3), [], {}
     for src in "AB":
