@@ -269,6 +269,25 @@ def test_flooding_prefers_the_like_name():
     assert s[1, 0] == s.max() and s[1, 0] > s[0, 0] > s[0, 1]
 
 
+def test_renames_in_wide_objects_and_all_that_can_be_had():
+    t = lambda *x: frozenset(x)
+    objects = lambda fields: [("", drift.OBJECTS, "", 2)] + [("", f, k, 2) for f, k in fields.items()]
+    for n in (5, 60, 150):
+        same = {f"field{i:03d}": "string" for i in range(n)}
+        base = {"": {f: (t("string"), True) for f in [*same, "alpha"]}}
+        assert drift.file_changes(objects(same | {"zzz": "string"}), base, False) == [("alpha", "renamed", "zzz")]
+        assert drift.file_changes(objects(same | {"alpha2": "integer"}), base, False) == [("alpha", "removed", None), ("alpha2", "added", None)]
+    # label is like labels, but only zz is left for it if alpha is to have a substitute at all
+    base = {"": {"alpha": (t("string"), True), "label": (t("string", "integer"), True)}}
+    assert set(drift.file_changes(objects({"labels": "string", "zz": "integer"}), base, False)) == {("alpha", "renamed", "labels"), ("label", "renamed", "zz")}
+
+
+def test_flooding_ends_at_its_fixed_point():
+    g = lambda last: tuple(("o", f"field{i:03d}", frozenset(["string"])) for i in range(120)) + (("o", last, frozenset(["string"])),)
+    a, b = (drift.flood(g("alpha"), g("zzz"), eps=e) for e in (1e-4, 1e-9))
+    assert (abs(a - b) / b).max() < 2e-3 and b.min() > 0
+
+
 # ---- nested records ---------------------------------------------------------------------------------------
 def test_nodes(spark):
     tree = {
