@@ -1,10 +1,10 @@
 """Per-document text statistics and whether a text is natural prose.
 
 Each text is read whole and once for its statistics. Every statistic is then
-ranked within its language: values are taken to three significant digits, equal ones are
-counted map-side, the distinct ones are range-partitioned and sorted, and partition offsets
-give each value its exact rank among all documents, so a language or value that a third of all
-documents share stays distributed. From the ranks come both empirical tail
+ranked within its language: equal values are counted in the batches and map-side, the distinct
+ones are range-partitioned and sorted, and partition offsets give each value, unrounded, its
+exact rank among all documents, so a language or value that a third of all documents share stays
+distributed. From the ranks come both empirical tail
 probabilities of each statistic. The outlier score of a document is the weighted sum of
 their logarithms; above the cut it is no prose. Weights are never negative. They are fitted on a
 bounded sample of labelled documents, drawn towards equal weights, which are those without
@@ -35,8 +35,8 @@ from loomspan.runtime import running_total, small_rows, spread, stage
 LABEL_SAMPLE = 20_000
 #: Common words of all languages, at most.
 MAX_COMMON = 1_000_000
-#: Ranks of distinct values that may be sent to every worker, some 32 MB. There are at most
-#: 900 a decade, statistic and language; where there are more, ranks are joined instead.
+#: Ranks of distinct values that may be sent to every worker, some 32 MB; where there are more,
+#: ranks are joined instead.
 RANK_LIMIT = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -123,11 +123,8 @@ def _character(c: str) -> tuple[bool, bool, bool]:
 
 
 def codes(values: np.ndarray) -> np.ndarray:
-    """Values to three significant digits as whole numbers of the same order; 0 and below are 0."""
-    v = np.where(values > 0, values, 1.0)
-    e = np.floor(np.log10(v))
-    m = np.rint(v / 10.0**e * 100)
-    return np.where(values > 0, (e + 100) * 1000 + m, 0).astype(np.int32)
+    """Each value's place among the distinct ones of its column, from 0: the same order, and no two values are one."""
+    return np.stack([np.unique(c, return_inverse=True)[1] for c in values.T], axis=1).astype(np.int32)
 
 
 def statistics(text: str, lists: dict[str, frozenset[str]], lang: str, known: frozenset[str] = frozenset()) -> list[float]:
@@ -238,7 +235,7 @@ def statistics(text: str, lists: dict[str, frozenset[str]], lang: str, known: fr
 
 
 def measure(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, lang, one column per statistic, and their ``codes`` as an array; one row per row."""
+    """doc_id, lang and one column per statistic; one row per row."""
     rows = small_rows(common_words.select("lang", "word").where("lang is not null and word is not null"), MAX_COMMON, "common words")
     lists: dict[str, set[str]] = {}
     for r in rows:
@@ -250,17 +247,39 @@ def measure(docs: DataFrame, common_words: DataFrame) -> DataFrame:
             common, known = shared.value
             got = [statistics(t if isinstance(t, str) else "", common, g, known.get(g, frozenset())) for t, g in zip(b["text"], b["lang"])]
             v = np.array(got, dtype=float).reshape(len(b), len(STATISTICS))
-            yield pd.concat([b[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(v, columns=list(STATISTICS)), pd.DataFrame({"codes": list(codes(v))})], axis=1)
+            yield pd.concat([b[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(v, columns=list(STATISTICS))], axis=1)
 
     return spread(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), language().alias("lang"), "text")).mapInPandas(
-        run, "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS) + ", codes array<int>"
+        run, "doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS)
     )
 
 
+def _stacked(c: pd.Series) -> np.ndarray:
+    return np.stack(c.to_list()) if len(c) else np.zeros((0, len(STATISTICS)))
+
+
+def counts(measured: DataFrame) -> DataFrame:
+    """stat, lang, code, n: how often each value in the array ``codes`` occurs in a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = _stacked(b["codes"])
+            for lang, rows in b.reset_index(drop=True).groupby("lang").indices.items():
+                own, place = v[rows], codes(v[rows])
+                parts = []
+                for k in range(own.shape[1]):
+                    n = np.bincount(place[:, k])
+                    code = np.empty(len(n))
+                    code[place[:, k]] = own[:, k]
+                    parts.append(pd.DataFrame({"stat": k, "lang": lang, "code": code, "n": n}))
+                yield pd.concat(parts)
+
+    return measured.select("lang", "codes").mapInPandas(run, "stat int, lang string, code double, n bigint")
+
+
 def ranks(measured: DataFrame) -> DataFrame:
     """stat, lang, code, low, high: minus the logarithms of P(X <= x) and P(X >= x) within the language, for every distinct value."""
-    long = measured.select("lang", F.posexplode("codes").alias("stat", "code"))
-    distinct = long.groupBy("stat", "lang", "code").agg(F.count(F.lit(1)).alias("n"))
+    distinct = counts(measured).groupBy("stat", "lang", "code").agg(F.sum("n").alias("n"))
     ranked = running_total(distinct, ["stat", "lang"], ["code"], "n", "below")
     total = measured.groupBy("lang").agg(F.count(F.lit(1)).alias("all_n"))  # one row per language
     return ranked.join(total, "lang").select(
@@ -293,7 +312,7 @@ class Table:
 
     def __init__(self, rows: pd.DataFrame) -> None:
         self.parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for (lang, stat), g in rows.sort_values("code").groupby(["lang", "stat"], sort=False):
+        for (lang, stat), g in rows.sort_values("code").groupby(["lang", "stat"], sort=False, observed=True):
             self.parts.setdefault(lang, {})[int(stat)] = g["code"].to_numpy(), g["low"].to_numpy(), g["high"].to_numpy()
 
     def tails(self, langs: pd.Series, code: np.ndarray) -> np.ndarray:
@@ -354,17 +373,18 @@ def judge(docs: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFr
     labels: doc_id, is_prose; a document's majority counts, ties don't.
     """
     spark = docs.sparkSession
-    measured = stage(measure(docs, common_words))
+    measured = stage(measure(docs, common_words)).withColumn("codes", F.array(*STATISTICS))
     ranked = stage(ranks(measured))
     n = len(STATISTICS)
     few = ranked.limit(RANK_LIMIT + 1).count() <= RANK_LIMIT
-    table = spark.sparkContext.broadcast(Table(ranked.toPandas()) if few else None)
+    table = spark.sparkContext.broadcast(Table(ranked.toArrow().to_pandas(categories=["lang"])) if few else None)
     rows = measured if few else tails(measured, ranked)
-    inputs = ["codes"] if few else ["low", "high"]
-    stacked = lambda c: np.stack(c.to_list()) if len(c) else np.zeros((0, n))
+    inputs = [] if few else ["low", "high"]
 
     def tails_of(b: pd.DataFrame, look_up: Table | None) -> np.ndarray:
-        return look_up.tails(b["lang"].reset_index(drop=True), stacked(b["codes"])) if look_up else np.column_stack([stacked(b["low"]), stacked(b["high"])])
+        if look_up:
+            return look_up.tails(b["lang"].reset_index(drop=True), b[list(STATISTICS)].to_numpy(float))
+        return np.column_stack([_stacked(b["low"]), _stacked(b["high"])])
 
     marks = (
         labels.where("is_prose is not null")
@@ -374,7 +394,7 @@ def judge(docs: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFr
         .orderBy(F.xxhash64("_d"))
         .limit(LABEL_SAMPLE)  # a documented bound on what is fitted; scores cover all documents
     )
-    sample = rows.join(marks, rows["doc_id"] == marks["_d"]).select("doc_id", "lang", *inputs, "y").toPandas().sort_values("doc_id", kind="stable")
+    sample = rows.join(marks, rows["doc_id"] == marks["_d"]).select("doc_id", "lang", *(inputs or STATISTICS), "y").toPandas().sort_values("doc_id", kind="stable")
     model = spark.sparkContext.broadcast(Weights(2 * n).fit(tails_of(sample, table.value), (sample["y"] < 0.5).to_numpy(float)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

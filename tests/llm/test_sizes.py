@@ -135,6 +135,25 @@ def test_tails_are_exact_ranks(spark):
         assert np.allclose(looked_up[i], np.append(low, high))
 
 
+def test_near_values_have_ranks_of_their_own(spark):
+    n = len(quality.STATISTICS)
+    v = np.array([[1000.0 + i] * n for i in range(4)] + [[0.12345 + i * 1e-9] * n for i in range(4)] + [[1003.0] * n])
+    code = quality.codes(v)
+    assert (code[:, 0] == [4, 5, 6, 7, 0, 1, 2, 3, 7]).all()
+    df = spark.createDataFrame([(i, "en", c.tolist()) for i, c in enumerate(v)], "doc_id bigint, lang string, codes array<double>")
+    ranked = quality.ranks(df)
+    low = -np.log((v[:, 0] <= v[:, :1]).mean(1))
+    assert np.allclose([r["low"][-1] for r in sorted(quality.tails(df, ranked).collect(), key=lambda r: r["doc_id"])], low)
+    assert np.allclose(quality.Table(ranked.toPandas()).tails(__import__("pandas").Series(["en"] * 9), v)[:, n - 1], low)
+
+
+def test_documents_are_ranked_by_unrounded_values(spark):
+    docs = spark.createDataFrame([(i, "word " * (1000 + i), "en") for i in range(5)], "doc_id bigint, text string, lang string")
+    words, labels = spark.createDataFrame([("en", "the")], "lang string, word string"), spark.createDataFrame([], "doc_id bigint, rater string, is_prose int")
+    r = sorted(quality.judge(docs, words, labels).collect(), key=lambda x: x["doc_id"])
+    assert len({x["outlier"] for x in r}) > 1
+
+
 def test_odd_texts(spark):
     texts = [None, "", " \n", "word", PROSE, PROSE * 400, "- a\n- b", "\x00\ud83d\ude00", "a,b,c\n1,2,3", PROSE]
     docs = spark.createDataFrame([(i, t, l, "c") for i, (t, l) in enumerate(zip(texts, [None, "", "EN-us", "xx", "en", "en", "en", "und", "en", "en"]))], "doc_id bigint, text string, lang string, word_count string")
